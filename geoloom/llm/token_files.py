@@ -25,7 +25,7 @@ from geoloom.llm.common import byte_rows, new_path, table, written
 
 END_ID = 1
 SHARD_IDS = 2_000_000
-#: Texts cut at white space are looked up by piece; the memory of pieces starts anew at this many.
+#: Pieces of text between white space that are remembered in each of two generations.
 PIECES = 300_000
 
 MANIFEST = "part long, shard long, name string, n_docs long, n_ids long"
@@ -34,7 +34,11 @@ ROWS = "name string, row long, doc_id long, n_before long, n_tokens long, ids_cr
 
 class Encoder:
     """Ids of whole texts as little-endian bytes. No token, special or not, spans white space in these vocabularies, so a
-    text's ids are those of its pieces, and a piece met before is not encoded again."""
+    text's ids are those of its pieces, and a piece met lately is not encoded again: pieces are remembered in two
+    generations of at most PIECES, the older of which is dropped when the younger is full."""
+
+    #: Between new pieces, which are encoded many at a time; a control character is no part of any other token.
+    MARK = b" \x01 "
 
     def __init__(self, path: str):
         import os
@@ -42,18 +46,45 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        self.lowers = '"Lowercase"' in self.tokenizer.to_str()
+        mark = self._ids(["\x01"])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        plain = [p for p in pieces if self.mark is not None and b"\x01" not in p and len(p) < 256]
+        odd = set(pieces).difference(plain) if len(plain) < len(pieces) else ()
+        for p in odd:
+            self.young[p] = self._ids([p.decode("utf-8", "replace")])[0].tobytes()
+        groups = [plain[i : i + 128] for i in range(0, len(plain), 128)]
+        for group, ids in zip(groups, self._ids([self.MARK.join(g).decode("utf-8", "replace") for g in groups]), strict=True):
+            raw, cut = ids.tobytes(), np.flatnonzero(ids == self.mark)
+            starts, ends = [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)]
+            self.young.update(zip(group, (raw[a:b] for a, b in zip(starts, ends, strict=True)), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > PIECES:
-            self.known.clear()
-        pieces = [x.split() for x in texts]
-        new = list({p for x in pieces for p in x}.difference(self.known))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in part], add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, x)) for x in pieces]
+        if len(self.young) > PIECES:
+            self.old, self.young = self.young, {}
+        # a tokenizer that lowers all letters gives A-Z no ids of their own; "<|" may begin a special token, which isn't lowered
+        pieces = [(x.lower() if self.lowers and b"<|" not in x else x).split() for x in texts]
+        new = set().union(*pieces).difference(self.young)
+        again = new.intersection(self.old)
+        self.young.update((p, self.old[p]) for p in again)
+        self._learn(list(new.difference(again)))
+        return [b"".join(map(self.young.__getitem__, x)) for x in pieces]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which goes from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, percentile: int = pfor.PERCENTILE) -> DataFrame:
@@ -65,7 +96,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
 
         files, base = fs.FileSystem.from_uri(out_dir)
         files.create_dir(base, recursive=True)
-        part, encoder = TaskContext.get().partitionId(), Encoder(tokenizer)
+        part, encode = TaskContext.get().partitionId(), encoder(tokenizer).encode
         doc_ids, ids, count, n = [], [], 0, 0
 
         def shard() -> pa.RecordBatch:
@@ -78,7 +109,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), byte_rows(batch.column(1))
             for i in range(0, len(texts), 256):
-                for key, got in zip(keys[i : i + 256], encoder.encode(texts[i : i + 256]), strict=True):
+                for key, got in zip(keys[i : i + 256], encode(texts[i : i + 256]), strict=True):
                     doc_ids.append(key)
                     ids.append(got + end)
                     count += len(ids[-1]) // 4
