@@ -2,7 +2,25 @@
 
 from __future__ import annotations
 
+from geoloom.llm.decontaminate import op7_decontaminate
+from geoloom.llm.mixing import op9_mix_sources
+from geoloom.llm.near_dedup import op3_near_dedup
+from geoloom.llm.quality import OP1_SQL, op1_quality_rules
+from geoloom.llm.secret_scan import op8_secret_scan
+from geoloom.llm.substring_dedup import op6_substring_dedup
 from geoloom.llm.token_files import op10_token_files
+from geoloom.llm.toxicity import op5_toxicity
+from geoloom.llm.warc import OP2_SQL, op2_warc_transactions
 
-QUERIES = {"op10_token_files": op10_token_files}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_warc_transactions": op2_warc_transactions,
+    "op3_near_dedup": op3_near_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_mix_sources": op9_mix_sources,
+    "op10_token_files": op10_token_files,
+}
+SQL = {"op1_quality_rules": OP1_SQL, "op2_warc_transactions": OP2_SQL}
