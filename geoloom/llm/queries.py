@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from geoloom.llm.decontaminate import op7_decontaminate
+from geoloom.llm.lm_score import op4_lm_score
 from geoloom.llm.mixing import op9_mix_sources
 from geoloom.llm.near_dedup import op3_near_dedup
 from geoloom.llm.quality import OP1_SQL, op1_quality_rules
@@ -16,11 +18,15 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc_transactions": op2_warc_transactions,
     "op3_near_dedup": op3_near_dedup,
+    "op4_lm_score": op4_lm_score,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_secret_scan": op8_secret_scan,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_files": op10_token_files,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {"op1_quality_rules": OP1_SQL, "op2_warc_transactions": OP2_SQL}
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
