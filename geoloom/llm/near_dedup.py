@@ -39,6 +39,8 @@ PERCENT = 75
 COLLECTIONS = 16
 ROWS = 2
 BLOCK = 512
+#: Up to this many classes, documents are sifted by a bitmap of BITMAP_BITS that every task gets; beyond, by a join.
+BITMAP_CLASSES, BITMAP_BITS = 2_000_000, 1 << 25
 SEED = 20_240_229
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -102,12 +104,31 @@ def sketches(docs: DataFrame, collections: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, text_key binary, sig array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """text -> text_key, shingles; a task gives each word sequence once."""
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Which places, of hashes of the ids, are taken: BITMAP_BITS bits, put together in pieces of 4 KB."""
+    place = F.pmod(F.xxhash64("min_id"), F.lit(BITMAP_BITS))
+    pieces = ids.select(F.shiftright(place, 15).alias("piece"), place.bitwiseAND(32767).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((BITMAP_BITS >> 15, 4096), np.uint8)
+    for r in pieces.collect():  # at most BITMAP_BITS / 32768 rows
+        out[r.piece] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out.reshape(-1)
+
+
+def full_sets(docs: DataFrame, alive: DataFrame) -> DataFrame:
+    """text_key, shingles of the documents that stand for the classes in alive (min_id), and of few more; a task gives each
+    word sequence once."""
+    sift = alive.count() <= BITMAP_CLASSES
+    if sift:
+        shared = docs.sparkSession.sparkContext.broadcast(_bitmap(alive))
+    else:
+        docs = docs.join(alive.select(F.col("min_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, given = WordHashes(), set()
         for batch in batches:
+            if sift:
+                place = batch.column(1).to_numpy()
+                batch = batch.filter(pa.array(shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1))
             for i in range(0, batch.num_rows, 500):
                 sets = {}
                 for text in byte_rows(batch.column(0).slice(i, 500)):
@@ -117,7 +138,8 @@ def full_sets(docs: DataFrame) -> DataFrame:
                         sets[key] = shingle_set(words, hashes).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.binary()), pa.array(list(sets.values()), pa.list_(pa.int64()))], names=["text_key", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "text_key binary, shingles array<long>")
+    known = docs.where("doc_id is not null").select("text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("place"))
+    return known.mapInArrow(run, "text_key binary, shingles array<long>")
 
 
 def _linked(common, n, m, percent):
@@ -163,8 +185,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame
     hubs = keys.groupBy("key", "key2").agg(F.min("text_key").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = written(keys.join(hubs, ["key", "key2"]).where("text_key <> hub").select("hub", "text_key").distinct(), "near-pairs")
 
-    with_text = docs.join(alive.select(F.col("min_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = written(full_sets(with_text), "near-sets")
+    sets = written(full_sets(docs, alive), "near-sets")
     n = F.size("shingles")
     member = pairs.join(sets, "text_key").select("hub", "text_key", F.col("shingles").alias("own"), n.alias("n_own"))
     hub = sets.select(F.col("text_key").alias("hub"), "shingles", n.alias("n_hub"))
