@@ -16,16 +16,21 @@ def _grams(text: str) -> frozenset[str]:
     return frozenset(text[i : i + 3] for i in range(len(text) - 2))
 
 
+def _least(sets: set[frozenset[str]]) -> list[frozenset[str]]:
+    """The sets that hold no other one: A or (A and B) is A."""
+    return sorted((s for s in sets if not any(t < s for t in sets)), key=sorted)
+
+
 def _either(texts: set[str]) -> list[frozenset[str]] | None:
     sets = {_grams(t) for t in texts}
-    return None if frozenset() in sets else sorted(sets, key=sorted)
+    return None if frozenset() in sets else _least(sets)
 
 
 def _both(a, b):
     if a is None or b is None:
         return a if b is None else b
-    out = {x | y for x in a for y in b}
-    return sorted(out, key=sorted) if len(out) <= MOST else a
+    out = _least({x | y for x in a for y in b})
+    return out if len(out) <= MOST else a
 
 
 def _walk(nodes) -> tuple[set[str] | None, list[frozenset[str]] | None]:
