@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,13 @@ ROWS = "name string, row long, doc_id long, n_before long, n_tokens long, ids_cr
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes. No token, special or not, spans white space in these vocabularies, so a
-    text's ids are those of its pieces, and a piece met lately is not encoded again: pieces are remembered in two
-    generations of at most PIECES, the older of which is dropped when the younger is full."""
+    """Ids of whole texts as little-endian bytes, by a tokenizer that drops white space: no token of it, special or not, spans
+    white space, so a text's ids are those of its pieces, and a piece met lately is not encoded again. Pieces are remembered
+    in two generations of at most PIECES, the older of which is dropped when the younger is full.
+
+    A word with a comma or full stop behind it is two pieces, if the tokenizer parts letters from marks. Words of letters
+    alone, lowered and composed already, need no normalizer and no cutting; they go to the same model without these steps.
+    """
 
     #: Between new pieces, which are encoded many at a time; a control character is no part of any other token.
     MARK = b" \x01 "
@@ -44,37 +49,66 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
         self.lowers = '"Lowercase"' in self.tokenizer.to_str()
-        mark = self._ids(["\x01"])[0]
+        mark = self._ids(self.tokenizer, ["\x01"])[0]
         self.mark = mark[0] if len(mark) == 1 else None
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        plain = [p for p in pieces if self.mark is not None and b"\x01" not in p and len(p) < 256]
-        odd = set(pieces).difference(plain) if len(plain) < len(pieces) else ()
-        for p in odd:
-            self.young[p] = self._ids([p.decode("utf-8", "replace")])[0].tobytes()
-        groups = [plain[i : i + 128] for i in range(0, len(plain), 128)]
-        for group, ids in zip(groups, self._ids([self.MARK.join(g).decode("utf-8", "replace") for g in groups]), strict=True):
+        self.parts = self._whole(b"er,") == self._whole(b"er") + self._whole(b",") and self._whole(b"er.") == self._whole(b"er") + self._whole(b".")
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.simple = self.lowers and self.parts and all(self._ids(self.plain, [x])[0].tobytes() == self._whole(x.encode()) for x in ("er", "thereupon", "été", "größe"))
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _whole(self, piece: bytes) -> bytes:
+        return self._ids(self.tokenizer, [piece.decode("utf-8", "replace")])[0].tobytes()
+
+    def _many(self, tokenizer, pieces: list[bytes]) -> None:
+        groups = [pieces[i : i + 256] for i in range(0, len(pieces), 256)]
+        for group, ids in zip(groups, self._ids(tokenizer, [self.MARK.join(g).decode("utf-8", "replace") for g in groups]), strict=True):
             raw, cut = ids.tobytes(), np.flatnonzero(ids == self.mark)
             starts, ends = [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)]
             self.young.update(zip(group, (raw[a:b] for a, b in zip(starts, ends, strict=True)), strict=True))
 
+    def _is_simple(self, piece: bytes) -> bool:
+        if piece.isascii():
+            return piece.isalpha() and piece.islower()
+        text = piece.decode("utf-8", "replace")
+        return text.isalpha() and text == text.lower() and is_normalized("NFC", text)
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        """Puts the pieces, none of which is in young, there."""
+        again = pieces.intersection(self.old)
+        self.young.update((p, self.old[p]) for p in again)
+        pieces = pieces.difference(again)
+        marked = [p for p in pieces if p[-1:] in (b",", b".") and p[-2:-1].isalpha()] if self.parts else []
+        todo = pieces.difference(marked)
+        todo.update({p[:-1] for p in marked}.union([b",", b"."] if marked else []).difference(self.young))
+        odd = {p for p in todo if self.mark is None or b"\x01" in p or len(p) > 255}
+        simple = {p for p in todo.difference(odd) if self._is_simple(p)} if self.simple else set()
+        for p in odd:
+            self.young[p] = self._whole(p)
+        self._many(self.plain, list(simple))
+        self._many(self.tokenizer, list(todo.difference(odd, simple)))
+        self.young.update((p, self.young[p[:-1]] + self.young[p[-1:]]) for p in marked)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.young) > PIECES:
             self.old, self.young = self.young, {}
         # a tokenizer that lowers all letters gives A-Z no ids of their own; "<|" may begin a special token, which isn't lowered
         pieces = [(x.lower() if self.lowers and b"<|" not in x else x).split() for x in texts]
-        new = set().union(*pieces).difference(self.young)
-        again = new.intersection(self.old)
-        self.young.update((p, self.old[p]) for p in again)
-        self._learn(list(new.difference(again)))
-        return [b"".join(map(self.young.__getitem__, x)) for x in pieces]
+        found = [list(map(self.young.get, x)) for x in pieces]
+        gaps = [[i for i, y in enumerate(f) if y is None] for f in found]
+        self._learn({x[i] for x, g in zip(pieces, gaps, strict=True) for i in g})
+        for x, f, g in zip(pieces, found, gaps, strict=True):
+            for i in g:
+                f[i] = self.young[x[i]]
+        return [b"".join(f) for f in found]
 
 
 _ENCODERS: dict[str, Encoder] = {}
