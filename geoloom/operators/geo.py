@@ -92,3 +92,39 @@ def overlapping_pairs(boxed: DataFrame, least_iou: float, kind: str = "entity_ty
     on = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col(f"a.{kind}") == F.col(f"b.{kind}")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
     first = (F.floor(F.greatest("a.x1", "b.x1") / size) == F.col("a.cx")) & (F.floor(F.greatest("a.y1", "b.y1") / size) == F.col("a.cy"))
     return a.join(b, on).where(first).select(F.col(f"a.{key}").alias("left_id"), F.col(f"b.{key}").alias("right_id"), overlap("a", "b")[1].alias("iou")).where(F.col("iou") > least_iou)
+
+
+# --- rings: arrays of struct(x, y), the first corner repeated at the end --------------------------------------------------
+
+
+def _edges(ring: str, step) -> Column:
+    n = F.size(ring) - 1
+    return F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), step)
+
+
+def ring_area(ring: str) -> Column:
+    """Signed area by the shoelace rule, about the first corner so that small rings far from the origin keep their digits."""
+    o = F.get(ring, F.lit(0))
+    terms = _edges(ring, lambda p, q: (p.x - o.x) * (q.y - o.y) - (q.x - o.x) * (p.y - o.y))
+    return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t) / 2
+
+
+def ring_centroid(ring: str) -> tuple[Column, Column]:
+    o, six = F.get(ring, F.lit(0)), 6 * ring_area(ring)
+
+    def axis(name: str) -> Column:
+        terms = _edges(ring, lambda p, q: ((p[name] - o[name]) + (q[name] - o[name])) * ((p.x - o.x) * (q.y - o.y) - (q.x - o.x) * (p.y - o.y)))
+        return o[name] + F.aggregate(terms, F.lit(0.0), lambda s, t: s + t) / six
+
+    return axis("x"), axis("y")
+
+
+def ring_orientation(ring: str) -> Column:
+    """The direction of the longest edge, in degrees from 0 to 180; the first of equal ones."""
+    edges = _edges(ring, lambda p, q: F.struct(F.round(F.hypot(q.x - p.x, q.y - p.y), 9).alias("d"), F.round(F.pmod(F.degrees(F.atan2(q.y - p.y, q.x - p.x)), F.lit(180.0)), 6).alias("a")))
+    longest = F.array_max(F.transform(edges, lambda e: F.struct(e.d.alias("d"), (-e.a).alias("a"))))
+    return F.abs(longest.a)
+
+
+def ring_closed(ring: str) -> Column:
+    return (F.size(ring) >= 4) & (F.get(ring, F.lit(0)) == F.element_at(ring, -1))

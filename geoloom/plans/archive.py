@@ -100,7 +100,7 @@ def _(a):
     return temporal.cusum(rows).select("cell_id", "i", "cusum")
 
 
-@query("w06_w07_w15_runs", f"WITH {LIVE} SELECT cell_id, i, run FROM r WHERE run >= 3")
+@query("w06_w07_w15_runs", f"WITH {LIVE} SELECT cell_id, i, run::BIGINT AS run FROM r WHERE run >= 3")
 def _(a):
     rows = temporal.cusum(temporal.indexed(a.trajectory).where("valid_fraction >= 0.8 AND i >= 11"))
     return temporal.exceedance_runs(rows).where("run >= 3").select("cell_id", "i", "run")

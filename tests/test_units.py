@@ -104,3 +104,30 @@ def test_gates_and_fusion(spark):
         S.agreement(F.lit(5.2), F.lit(4.1), F.lit(0.05)).change_class.alias("both"), S.agreement(F.lit(5.2), F.lit(0.1), F.lit(0.4)).change_class.alias("cloud"), S.spatial_relevance(F.lit(None).cast("double")).alias("unknown"),
     ).first()
     assert tuple(row) == (5, "structural", "cloud_artifact_suspected", 0.5)
+
+
+def test_config(tmp_path):
+    from geoloom.sources import config
+
+    (tmp_path / "c.yaml").write_text("ranking: {change: 0.4, semantic: 0.1}\ntemporal: {limit: 5}\n")
+    s = config.load(str(tmp_path / "c.yaml"))
+    assert s.weights["change"] == 0.4 and s.weights["spatial"] == 0.25 and s.limit == 5.0 and s.drift == 0.5
+    (tmp_path / "c.json").write_text('{"ranking": {"change": 0.9}}')
+    with pytest.raises(ValueError):
+        config.load(str(tmp_path / "c.json"))
+
+
+def test_engine(spark, sf):
+    from geoloom.engine import Engine
+    from geoloom.sources import sinks
+
+    e = Engine(spark, sf)
+    assert e.search(Q, limit=5, like="ENT_000007").count() <= 5
+    assert e.explain(e.compile(Q))[0] == "spatial"
+    assert e.entity("ENT_000001").count() == 1 and e.layer("ref_water").count() > 0
+    assert "ENT_000007" not in {r.entity_id for r in e.similar("ENT_000007").collect()}
+    assert not {"ENT_000001", "ENT_000002"} & {r.entity_id for r in e.similar_sites(["ENT_000001", "ENT_000002"], 5).collect()}
+    ledger = sinks.chained(e.archive.audit.where("log_id < 4"))
+    entry = spark.createDataFrame([(99, "a", "confirm", "ENT_000001", "{}")], e.archive.audit.schema)
+    grown = e.verdict(ledger, entry)
+    assert sinks.verify_chain(grown).where("NOT (linked AND intact)").count() == 0 and grown.count() == 5
