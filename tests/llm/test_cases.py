@@ -284,7 +284,7 @@ def test_gru_gradients():
     keep[0] = 0
     before = {k: v.copy() for k, v in model.p.items()}
     squares = {k: np.full_like(v, 1e12) for k, v in model.p.items()}
-    model._window(np.zeros((1, 4)), x, y, keep, live, squares)
+    model._window(np.zeros((4, 1)), x, y, keep, live, squares)
     for name, w in model.p.items():
         seen[name] = (before[name] - w) / gru.RATE * 1e6  # the step was RATE * g / 1e6
     model.p = {k: v.copy() for k, v in before.items()}
