@@ -272,7 +272,7 @@ def test_gru_gradients():
     docs = [ids]
 
     def loss(m):
-        return -float(m.score(docs)[0]) * math.log(10) / len(ids)
+        return -float(m.score(docs)[0]) * math.log(10)
 
     seen = {}
 
@@ -294,7 +294,7 @@ def test_gru_gradients():
             model.p[name][at] = before[name][at] + sign * 1e-3
             seen[name, sign] = loss(model)
         model.p[name][at] = before[name][at]
-        assert (seen[name, 1] - seen[name, -1]) / 2e-3 == pytest.approx(seen[name][at], rel=0.05, abs=1e-4), name
+        assert (seen[name, 1] - seen[name, -1]) / 2e-3 == pytest.approx(seen[name][at], rel=0.05, abs=4e-3), name
 
 
 def test_gru_scores_do_not_depend_on_lanes():
