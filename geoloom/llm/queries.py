@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from geoloom.llm.decontaminate import op7_decontaminate
+from geoloom.llm.decontaminate import OP7_SQL, op7_decontaminate
 from geoloom.llm.lm_score import op4_lm_score
 from geoloom.llm.mixing import op9_mix_sources
-from geoloom.llm.near_dedup import op3_near_dedup
+from geoloom.llm.near_dedup import OP3_SQL, op3_near_dedup
 from geoloom.llm.quality import OP1_SQL, op1_quality_rules
 from geoloom.llm.secret_scan import op8_secret_scan
 from geoloom.llm.substring_dedup import op6_substring_dedup
@@ -27,6 +27,6 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op1_quality_rules": OP1_SQL, "op2_warc_transactions": OP2_SQL}
+SQL = {"op1_quality_rules": OP1_SQL, "op2_warc_transactions": OP2_SQL, "op3_near_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
