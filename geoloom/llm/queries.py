@@ -8,7 +8,7 @@ from geoloom.llm.lm_score import op4_lm_score
 from geoloom.llm.mixing import op9_mix_sources
 from geoloom.llm.near_dedup import OP3_SQL, op3_near_dedup
 from geoloom.llm.quality import OP1_SQL, op1_quality_rules
-from geoloom.llm.secret_scan import op8_secret_scan
+from geoloom.llm.secret_scan import OP8_SQL, op8_secret_scan
 from geoloom.llm.substring_dedup import op6_substring_dedup
 from geoloom.llm.token_files import op10_token_files
 from geoloom.llm.toxicity import op5_toxicity
@@ -27,6 +27,6 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op1_quality_rules": OP1_SQL, "op2_warc_transactions": OP2_SQL, "op3_near_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL}
+SQL = {"op1_quality_rules": OP1_SQL, "op2_warc_transactions": OP2_SQL, "op3_near_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL, "op8_secret_scan": OP8_SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -108,3 +108,25 @@ def scan_secrets(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rul
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def check_sql(base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE) -> str:
+    """DuckDB SQL for scan_secrets: matches and the pieces between them, added up."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rules, n = base + more, len(base)
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS ord, '{r.kind}' AS kind, {r.at_least} AS least, regexp_extract_all(text, {quoted(r.regex)}) AS hits, regexp_extract_all(text, {quoted(r.regex)}, {r.group}) AS judged, string_split_regex(text, {quoted(r.regex)}) AS parts FROM t WHERE regexp_matches(text, {quoted(r.prefilter or r.regex)})"
+        for i, r in enumerate(rules)
+    )
+    counts = ", ".join(f"count(*) FILTER (ord = {i}) AS n_{r.kind}" for i, r in enumerate(base))
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({found}), x AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m),
+y AS (SELECT doc_id, ord, kind, least, i, length(hits[i]) AS size, length(judged[i]) AS judged, length(parts[i]) AS before FROM x),
+z AS (SELECT *, sum(before + size) OVER (PARTITION BY doc_id, ord ORDER BY i)::BIGINT AS stop FROM y),
+s AS (SELECT doc_id, ord, stop - size AS start, kind || ':' || (stop - size) || ':' || stop AS said FROM z WHERE judged >= least),
+g AS (SELECT doc_id, {counts}, string_agg(said, ',' ORDER BY start, ord) FILTER (ord < {n}) AS base, string_agg(said, ',' ORDER BY start, ord) AS spans FROM s GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in base)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g ON g.doc_id = t.doc_id
+"""
+
+
+OP8_SQL = check_sql()
