@@ -1,8 +1,8 @@
 """A gated recurrent language model with a class-factored softmax, in numpy.
 
 The state after the words so far gives the next word's probability as that of its class times that within its class;
-classes are runs of words by frequency, so a word costs two short softmaxes in place of one over the vocabulary. Id
-n_words is the tail (any other word), a class by itself; id n_words + 1 opens a document.
+classes are runs of words by frequency, about sqrt(n_words) each, so a word costs two short softmaxes in place of one over
+the vocabulary. Id n_words is the tail (any other word), a class by itself; id n_words + 1 opens a document.
 
 Training is truncated backpropagation: windows of WINDOW steps over many lanes side by side, the state carried from window
 to window and cleared where a document starts, with Adagrad steps. Scoring packs whole documents into lanes and carries the
@@ -12,11 +12,11 @@ state across windows, so that a document of any length is scored with all that c
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 
 HIDDEN = 16
-PER_CLASS = 32
 WINDOW = 16
 LANES = 512
 LANE = 512
@@ -25,9 +25,10 @@ RATE = 0.1
 
 
 class Gru:
-    def __init__(self, counts: np.ndarray, tail: float, hidden: int = HIDDEN, per_class: int = PER_CLASS, seed: int = 3):
+    def __init__(self, counts: np.ndarray, tail: float, hidden: int = HIDDEN, per_class: int | None = None, seed: int = 3):
         """counts: of the model's words, in descending order; tail: of all other words."""
         n, rng = len(counts), np.random.default_rng(seed)
+        per_class = per_class or max(1, math.ceil(math.sqrt(n)))
         self.n, self.m, self.h = n, per_class, hidden
         k = -(-n // per_class)
         self.cls = np.append(np.arange(n) // per_class, [k, k]).astype(np.int64)

@@ -2,8 +2,9 @@
 
 1. The words of all training documents are counted (partial counts in each task, then a shuffle by word) and the table is
    written; the sums N and V come from it.
-2. The most frequent words, at most DICTIONARY, are sent to every task, the first MODEL_WORDS of them are the model's words,
-   and all others are its tail. Both bounds are fixed numbers; rarer words find their counts by a join in the shuffle.
+2. The most frequent words, at most DICTIONARY, are sent to every task. The model's words are the first of them, as many as
+   cover COVERAGE of the training tokens and MODEL_WORDS at least, so they grow with the corpus up to the dictionary; all
+   others are its tail. Words beyond the dictionary find their counts by a join in the shuffle.
 3. Every task trains a copy of one initial model on all training documents of its partition, by truncated backpropagation;
    the copies are averaged by weight of their tokens, as sums over the weights' places.
 4. Every document is scored whole: the model gives each word's probability, and that of a tail word is the tail's times
@@ -35,7 +36,8 @@ from geoloom.llm.gru import LANE, LANES, Gru
 FOLDS = 7
 HELD_OUT = 2
 DICTIONARY = 1 << 18
-MODEL_WORDS = 1024
+MODEL_WORDS = 2048
+COVERAGE = 0.6
 END = b""
 
 
@@ -89,7 +91,8 @@ class Words:
         self.place = {w: i for i, (w, _) in enumerate(ranked)}
         self.counts = np.array([n for _, n in ranked], np.float64)
         self.log = np.log10(self.counts + 1)
-        self.k = min(MODEL_WORDS, len(ranked))
+        covering = int(np.searchsorted(np.cumsum(self.counts), COVERAGE * total)) + 1
+        self.k = min(max(MODEL_WORDS, covering), len(ranked))
         self.tail = total - self.counts[: self.k].sum()
 
     @classmethod

@@ -327,3 +327,15 @@ def test_lm_scores(spark, odd, none, monkeypatch):
         assert all(r.score < 0 for r in got)
     assert lm_score.lm_scores(odd).count() == odd.count()
     assert lm_score.lm_scores(none).count() == 0
+
+
+def test_lm_model_words_follow_the_coverage():
+    """Flat counts, where a fixed number of words would leave most tokens to the tail."""
+    for n in (1500, 3000, 9000):
+        ranked = [(b"w%d" % i, 9 + (i < 50)) for i in range(n)]
+        total = sum(c for _, c in ranked) + 500  # and words beyond the dictionary
+        words = lm_score.Words(ranked, total)
+        assert words.k >= min(n, 2048) and sum(c for _, c in ranked[: words.k]) >= lm_score.COVERAGE * total
+        assert words.tail == total - sum(c for _, c in ranked[: words.k])
+        k, _, m = words.model().p["W"].shape
+        assert k * m >= words.k and abs(k - m) <= 1
