@@ -13,7 +13,8 @@ are put together to spans; spans of less than MIN_CHARS characters are chance ph
 (by doc_id) of a digest holds the original; removing spans that lie elsewhere too deduplicates.
 
 Defined cases: null and empty texts have no chunks; a row without doc_id takes no part; rows with one doc_id count as one
-document, so repeats within it are none; an empty table gives no rows; other columns are ignored.
+document, so repeats within it are none: rows with the same text give its spans once, other texts of the doc_id give theirs
+too; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,8 +70,8 @@ def cuts(text: bytes) -> np.ndarray:
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, seq, start, stop (in code points), d1, d2 (the digest)."""
-    names = ["doc_id", "seq", "start", "stop", "d1", "d2"]
+    """doc_id, text_key (tells the texts of a doc_id apart), seq, start, stop (in code points), d1, d2 (the digest)."""
+    names = ["doc_id", "text_key", "seq", "start", "stop", "d1", "d2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +81,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
                 return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
 
-            for key, text in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1)), strict=True):
+            for key, text_key, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), byte_rows(batch.column(1)), strict=True):
                 ends = cuts(text)
                 if not len(ends):
                     continue
@@ -89,7 +90,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 digests = np.frombuffer(whole, np.int64).reshape(-1, 2)
                 points = np.append(0, np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80))
                 k = len(ends)
-                parts.append((np.full(k, key, np.int64), np.arange(k, dtype=np.int32), points[starts].astype(np.int32), points[ends].astype(np.int32), digests[:, 0], digests[:, 1]))
+                parts.append((np.full(k, key, np.int64), np.full(k, text_key, np.int64), np.arange(k, dtype=np.int32), points[starts].astype(np.int32), points[ends].astype(np.int32), digests[:, 0], digests[:, 1]))
                 size += k
                 if size > 100_000:
                     yield out()
@@ -97,28 +98,29 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
             if parts:
                 yield out()
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text <> ''")
-    return texts.mapInArrow(run, "doc_id long, seq int, start int, stop int, d1 long, d2 long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).where("doc_id is not null and text <> ''")
+    return texts.mapInArrow(run, "doc_id long, text_key long, seq int, start int, stop int, d1 long, d2 long")
 
 
 def repeated_spans(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, start, stop, n_chunks, first_doc: the spans of documents whose chunks other documents hold too."""
+    """doc_id, text_key, start, stop, n_chunks, first_doc: the spans of texts whose chunks other documents hold too."""
     chunks = chunk_rows(docs)
     repeated = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc").drop("last_doc")
-    hits = chunks.join(repeated, ["d1", "d2"]).select("doc_id", "seq", "start", "stop", "first_doc")
-    run = F.col("seq") - F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
-    spans = hits.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_chunks"), F.min("first_doc").alias("first_doc"))
+    hits = chunks.join(repeated, ["d1", "d2"]).select("doc_id", "text_key", "seq", "start", "stop", "first_doc")
+    run = F.col("seq") - F.dense_rank().over(Window.partitionBy("doc_id", "text_key").orderBy("seq"))  # a repeated row's chunks have equal ranks
+    spans = hits.withColumn("run", run).groupBy("doc_id", "text_key", "run")
+    spans = spans.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("seq") - F.min("seq") + 1).cast("long").alias("n_chunks"), F.min("first_doc").alias("first_doc"))
     return spans.where(F.col("stop") - F.col("start") >= min_chars).drop("run")
 
 
 def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs whose text lacks the spans that an earlier document holds; all rows stay."""
-    cut = repeated_spans(docs, min_chars).where("first_doc < doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cut"))
-    cut = cut.select(F.col("doc_id").alias("_cut_doc"), "_cut")
+    cut = repeated_spans(docs, min_chars).where("first_doc < doc_id").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cut"))
+    cut = cut.select(F.col("doc_id").alias("_cut_doc"), F.col("text_key").alias("_cut_text"), "_cut")
     edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"))), F.col("_cut"))
     after = F.concat(F.transform("_cut", lambda x: x.start), F.array(F.length("text")))
     left = F.array_join(F.zip_with(edges, after, lambda e, a: F.substring(F.col("text"), e.stop + 1, a - e.stop)), "")
-    return docs.join(cut, F.col("doc_id") == F.col("_cut_doc"), "left").withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    return docs.join(cut, (F.col("doc_id") == F.col("_cut_doc")) & (F.xxhash64("text") == F.col("_cut_text")), "left").withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

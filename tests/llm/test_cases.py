@@ -199,6 +199,22 @@ def test_repeated_passages(spark, odd, none):
     assert substring_dedup.repeated_spans(none).count() == 0
 
 
+def test_repeated_rows_have_the_spans_of_one(spark):
+    """Rows that occur two and three times, and a second text of a doc_id, don't break or mix spans."""
+    rng = random.Random(14)
+    passage = prose(rng, 60)
+    rows = [(i, f"{prose(rng, 40 + i)} {passage} {prose(rng, 30)}") for i in range(4)]
+    other = (2, prose(rng, 70))
+    spans = lambda x: sorted((r.doc_id, r.start, r.stop, r.n_chunks, r.first_doc) for r in substring_dedup.repeated_spans(spark.createDataFrame(x, "doc_id long, text string")).collect())
+    want = spans(rows)
+    assert {k for k, *_ in want} == {0, 1, 2, 3}
+    many = [*rows, rows[1], rows[2], rows[2], other]
+    assert spans(many) == want
+    clean = Counter(tuple(r) for r in substring_dedup.deduplicated(spark.createDataFrame(many, "doc_id long, text string")).collect())
+    once = {r.doc_id: r.text for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean == Counter([*once.items(), (1, once[1]), (2, once[2]), (2, once[2]), other])
+
+
 def test_toxicity(spark, odd, none):
     rng = random.Random(8)
     rows, labels = [], []
