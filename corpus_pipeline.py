@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from geoloom.llm.common import table, written
 from geoloom.llm.decontaminate import drop_contaminated
 from geoloom.llm.mixing import mix_sources
-from geoloom.llm.near_dedup import near_duplicates
+from geoloom.llm.near_dedup import judged_rows
 from geoloom.llm.token_files import tokenized
 from geoloom.llm.toxicity import keep_clean, train
 
@@ -24,9 +24,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group; documents without doc_id stay."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("gone"), "left_anti")
+    """The document with the least doc_id of each group; documents without doc_id stay. Rows of one doc_id go or stay each by
+    its own text."""
+    gone = judged_rows(docs).where("not kept").select(F.col("doc_id").alias("gone"), F.col("row_key").alias("gone_text")).distinct()
+    return docs.join(gone, (docs.doc_id == F.col("gone")) & (F.xxhash64(docs.text) == F.col("gone_text")), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ def _text_key(words: list[bytes]) -> bytes:
 
 
 def sketches(docs: DataFrame, collections: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, text_key (of the word sequence), sig (a hash for each collection)."""
+    """doc_id, row_key (of the text as it is), n_shingles, text_key (of the word sequence), sig (a hash for each collection)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (a, b) = WordHashes(), _coefficients(collections * rows)
@@ -99,9 +99,9 @@ def sketches(docs: DataFrame, collections: int, rows: int) -> DataFrame:
                 n.append(len(found))
                 keys.append(_text_key(words) if words else None)
                 sigs.append(collection_hashes(found, a, b, rows).view(np.int64) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "text_key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "row_key", "n_shingles", "text_key", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, text_key binary, sig array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row_key")).mapInArrow(run, "doc_id long, row_key long, n_shingles long, text_key binary, sig array<long>")
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -212,8 +212,8 @@ def link_classes(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame
     return written(stars.unionByName(rest), "near-links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, collections: int = COLLECTIONS, rows: int = ROWS) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id, kept."""
+def judged_rows(docs: DataFrame, percent: int = PERCENT, collections: int = COLLECTIONS, rows: int = ROWS) -> DataFrame:
+    """Per document row: doc_id, row_key (xxhash64 of the text), n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = written(sketches(docs, collections, rows), "near-sketches")
     classes = seen.where("doc_id is not null and text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("min_id"), F.first("sig").alias("sig"))
@@ -223,9 +223,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, collections: int =
     least = labels.groupBy("component").agg(F.min("min_id").alias("component_id"))
     linked = labels.join(least, "component").select("text_key", "component_id")
     results = classes.select("text_key", "min_id").join(linked, "text_key", "left").select("text_key", F.coalesce("component_id", "min_id").alias("component_id"))
-    out = seen.select("doc_id", "n_shingles", "text_key").join(results, "text_key", "left")
+    out = seen.select("doc_id", "row_key", "n_shingles", "text_key").join(results, "text_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "row_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, collections: int = COLLECTIONS, rows: int = ROWS) -> DataFrame:
+    """Per document row: doc_id, n_shingles, component_id, kept."""
+    return judged_rows(docs, percent, collections, rows).drop("row_key")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

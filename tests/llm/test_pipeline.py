@@ -64,6 +64,17 @@ def test_stages(spark, tmp_path):
             docs = spark.createDataFrame(after, docs.schema)
 
 
+def test_near_dedup_judges_each_text_of_an_id(spark, tmp_path):
+    import random
+
+    from test_cases import prose
+
+    rng = random.Random(15)
+    a, b = prose(rng, 60), prose(rng, 60)
+    docs = spark.createDataFrame([(5, a), (5, b), (2, b), (9, a), (None, a)], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()), key=str) == sorted([(2, b), (5, a), (None, a)], key=str)
+
+
 def test_run_applies_the_stages(spark, tmp_path):
     path, _ = _write(spark, tmp_path)
     got = {r.doc_id for r in corpus_pipeline.run(spark, path).collect()}
