@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,19 +45,25 @@ def entry_text(prev: Column) -> Column:
 
 def chained(df: DataFrame, prev_hash: str = GENESIS, chain: str | None = None) -> DataFrame:
     """df with prev_hash and entry_hash in order of log_id. A chain is serial by its nature: one batch, or one `chain`
-    value, is folded in a single expression; chains of different values are folded side by side."""
-    by = [chain] if chain else []
-    entry = F.struct("log_id", "action", "actor", "entity_id", "payload")
-    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(entry)).alias("rows"))
-    done = F.struct(F.array().cast("array<struct<log_id:bigint,prev_hash:string,entry_hash:string>>").alias("out"), F.lit(prev_hash).alias("prev"))
-
-    def add(acc, x):
-        text = F.to_json(F.struct(x.action.alias("action"), x.actor.alias("actor"), x.entity_id.alias("entity_id"), x.log_id.alias("log_id"), x.payload.alias("payload"), acc.prev.alias("prev_hash")))
-        digest = F.sha2(text, 256)
-        return F.struct(F.concat(acc.out, F.array(F.struct(x.log_id.alias("log_id"), acc.prev.alias("prev_hash"), digest.alias("entry_hash")))).alias("out"), digest.alias("prev"))
-
-    links = rows.select(F.explode(F.aggregate("rows", done, add).out).alias("h")).select("h.*")
-    return df.join(links, "log_id")
+    value, passes through one task, in order and in batches of rows; only the last hash is carried from row to row."""
+    key = F.col(chain).cast("string") if chain else F.lit("")
+    # prev_hash is the last key and hex, so the text of an entry is that with an empty one, and the hash put in
+    rows = df.select(key.alias("chain"), "log_id", entry_text(F.lit("")).alias("text"))
+    rows = (rows.repartition("chain") if chain else rows.coalesce(1)).sortWithinPartitions("chain", "log_id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last = (), prev_hash  # no chain equals ()
+        for f in frames:
+            out = []
+            for of, log_id, text in f.itertuples(index=False):
+                if of != at:
+                    at, last = of, prev_hash
+                digest = hashlib.sha256((text[:-2] + last + '"}').encode()).hexdigest()
+                out.append((log_id, last, digest))
+                last = digest
+            yield pd.DataFrame(out, columns=["log_id", "prev_hash", "entry_hash"])
+
+    return df.join(rows.mapInPandas(run, "log_id long, prev_hash string, entry_hash string"), "log_id")
 
 
 def verify_chain(ledger: DataFrame, chain: str | None = None) -> DataFrame:
