@@ -6,6 +6,8 @@ lowers A-Z only. Texts reach Python as UTF-8 bytes, so no task decodes a text it
 
 from __future__ import annotations
 
+import functools
+import gc
 import tempfile
 import uuid
 
@@ -22,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where unset (tests), a local folder is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -42,6 +46,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidied(run):
+    """run (Arrow data in, Arrow data out), after which a Python worker, which goes on to other tasks, gives freed memory back."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
+def slices(data, rows: int = 512):
+    """An Arrow batch or array in slices, so that a task holds few texts as Python objects at once; an empty one as it is."""
+    for i in range(0, max(len(data), 1), rows):
+        yield data.slice(i, rows)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from the columns (in either case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def byte_rows(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8 bytes; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -15,6 +15,7 @@ import numpy as np
 MAGIC = b"GLPFOR01"
 BLOCK = 256
 PERCENTILE = 90
+AT_ONCE = BLOCK << 12
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -45,10 +46,17 @@ def _within(counts: np.ndarray) -> np.ndarray:
 
 
 def encode_ids(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The blocks, and by block its start, minimum, width and number of exceptions."""
-    n_blocks = -(-len(ids) // BLOCK)
-    if not n_blocks:
+    """The blocks, and by block its start, minimum, width and number of exceptions; AT_ONCE ids are worked on at a time."""
+    parts = [_encode_some(ids[i : i + AT_ONCE], percentile) for i in range(0, len(ids), AT_ONCE)]
+    if not parts:
         return b"", *(np.zeros(0, t) for t in (np.uint64, np.uint32, np.uint8, np.uint16))
+    sizes = np.array([len(x[0]) for x in parts], np.uint64)
+    starts = [x[1] + before for x, before in zip(parts, np.cumsum(sizes) - sizes, strict=True)]
+    return b"".join(x[0] for x in parts), np.concatenate(starts), *(np.concatenate(x) for x in list(zip(*parts, strict=True))[2:])
+
+
+def _encode_some(ids: np.ndarray, percentile: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n_blocks = -(-len(ids) // BLOCK)
     rows = np.concatenate([ids, np.repeat(ids[-1:], n_blocks * BLOCK - len(ids))]).astype(np.uint64).reshape(n_blocks, BLOCK)
     low = rows.min(1)
     rows = rows - low[:, None]
@@ -73,6 +81,12 @@ def encode_ids(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[bytes, np
 
 def decode_ids(blocks: bytes, starts: np.ndarray, low: np.ndarray, width: np.ndarray, n_odd: np.ndarray, n_ids: int) -> np.ndarray:
     data, starts, wide, odd = np.frombuffer(blocks, np.uint8), starts.astype(np.int64), width.astype(np.int64), n_odd.astype(np.int64)
+    some = AT_ONCE // BLOCK
+    parts = [_decode_some(data, starts[i : i + some], low[i : i + some], wide[i : i + some], odd[i : i + some]) for i in range(0, len(starts), some)]
+    return np.concatenate(parts)[:n_ids] if parts else np.zeros(0, np.uint32)
+
+
+def _decode_some(data: np.ndarray, starts: np.ndarray, low: np.ndarray, wide: np.ndarray, odd: np.ndarray) -> np.ndarray:
     rows = np.zeros((len(starts), BLOCK), np.uint64)
     for w in np.unique(wide[wide > 0]):
         at_w = np.flatnonzero(wide == w)
@@ -82,7 +96,7 @@ def decode_ids(blocks: bytes, starts: np.ndarray, low: np.ndarray, width: np.nda
     place = (starts + 32 * wide)[block]
     values = np.ascontiguousarray(data[(place + odd[block] + 4 * rank)[:, None] + np.arange(4)]).view("<u4").reshape(-1)
     rows[block, data[place + rank]] = values
-    return (rows + low.astype(np.uint64)[:, None]).reshape(-1)[:n_ids].astype(np.uint32)
+    return (rows + low.astype(np.uint64)[:, None]).reshape(-1).astype(np.uint32)
 
 
 def encode_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:

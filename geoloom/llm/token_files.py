@@ -13,7 +13,6 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.llm import pfor
-from geoloom.llm.common import byte_rows, new_path, table, written
+from geoloom.llm.common import byte_rows, new_path, slices, table, tidied, written
 
 END_ID = 1
-SHARD_IDS = 2_000_000
+SHARD_IDS = 8_000_000
+#: So many tasks write to one folder.
+FOLDER_PARTS = 1000
 #: Pieces of text between white space that are remembered in each of two generations.
 PIECES = 300_000
 
@@ -33,40 +34,55 @@ MANIFEST = "part long, shard long, name string, n_docs long, n_ids long"
 ROWS = "name string, row long, doc_id long, n_before long, n_tokens long, ids_crc32 long"
 
 
-class Encoder:
-    """Ids of whole texts as little-endian bytes, by a tokenizer that drops white space: no token of it, special or not, spans
-    white space, so a text's ids are those of its pieces, and a piece met lately is not encoded again. Pieces are remembered
-    in two generations of at most PIECES, the older of which is dropped when the younger is full.
+#: Of a tokenizer that lowers and drops white space, what Encoder's way by pieces relies on (fixed values of that form).
+LETTERS_AND_MARKS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUTS = [
+    {"type": "Split", "pattern": {"Regex": LETTERS_AND_MARKS}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
 
-    A word with a comma or full stop behind it is two pieces, if the tokenizer parts letters from marks. Words of letters
-    alone, lowered and composed already, need no normalizer and no cutting; they go to the same model without these steps.
+class Encoder:
+    """Ids of whole texts as little-endian bytes. A tokenizer of another form than NORMALIZERS and CUTS encodes whole texts.
+
+    With one of that form, no token, special or not, spans ASCII white space, and nothing composes across it, so a text's ids
+    are those of its pieces, and a piece met lately is not encoded again. Pieces are remembered in two generations of at most
+    PIECES, the older of which is dropped when the younger is full. What is done to a piece beforehand is done to ASCII alone:
+    - A-Z are lowered, unless "<|" may begin a special token, which is found before lowering;
+    - a comma or full stop at the end, behind a letter, is a piece by itself, as letters and marks are cut apart;
+    - a piece of a-z alone needs no normalizer and no cutting, and goes to the same model without these steps.
+    A piece with any other character is encoded as it stands, since capitals compose otherwise than small letters.
     """
 
     #: Between new pieces, which are encoded many at a time; a control character is no part of any other token.
     MARK = b" \x01 "
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
-        self.lowers = '"Lowercase"' in self.tokenizer.to_str()
+        form = json.loads(self.tokenizer.to_str())
+        known = (form["normalizer"] or {}).get("normalizers") == NORMALIZERS and (form["pre_tokenizer"] or {}).get("pretokenizers") == CUTS
+        known = known and form["model"]["type"] == "BPE" and not form["model"]["dropout"] and form["model"]["unk_token"] is None
+        known = known and all(t["content"].startswith("<|") and not t["normalized"] and not set(t["content"]) & set(" \t\n\x0b\x0c\r\x01") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in form["added_tokens"])
         mark = self._ids(self.tokenizer, ["\x01"])[0]
-        self.mark = mark[0] if len(mark) == 1 else None
-        self.parts = self._whole(b"er,") == self._whole(b"er") + self._whole(b",") and self._whole(b"er.") == self._whole(b"er") + self._whole(b".")
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.simple = self.lowers and self.parts and all(self._ids(self.plain, [x])[0].tobytes() == self._whole(x.encode()) for x in ("er", "thereupon", "été", "größe"))
+        self.by_pieces = known and len(mark) == 1
+        if self.by_pieces:
+            self.mark = mark[0]
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     @staticmethod
     def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _whole(self, piece: bytes) -> bytes:
-        return self._ids(self.tokenizer, [piece.decode("utf-8", "replace")])[0].tobytes()
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        return [x.tobytes() for x in self._ids(self.tokenizer, [t.decode("utf-8", "replace") for t in texts])]
 
     def _many(self, tokenizer, pieces: list[bytes]) -> None:
         groups = [pieces[i : i + 256] for i in range(0, len(pieces), 256)]
@@ -75,35 +91,37 @@ class Encoder:
             starts, ends = [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)]
             self.young.update(zip(group, (raw[a:b] for a, b in zip(starts, ends, strict=True)), strict=True))
 
-    def _is_simple(self, piece: bytes) -> bool:
-        if piece.isascii():
-            return piece.isalpha() and piece.islower()
-        text = piece.decode("utf-8", "replace")
-        return text.isalpha() and text == text.lower() and is_normalized("NFC", text)
-
     def _learn(self, pieces: set[bytes]) -> None:
         """Puts the pieces, none of which is in young, there."""
         again = pieces.intersection(self.old)
         self.young.update((p, self.old[p]) for p in again)
         pieces = pieces.difference(again)
-        marked = [p for p in pieces if p[-1:] in (b",", b".") and p[-2:-1].isalpha()] if self.parts else []
+        marked = [p for p in pieces if p[-1:] in (b",", b".") and p[-2:-1].isalpha()]
         todo = pieces.difference(marked)
         todo.update({p[:-1] for p in marked}.union([b",", b"."] if marked else []).difference(self.young))
-        odd = {p for p in todo if self.mark is None or b"\x01" in p or len(p) > 255}
-        simple = {p for p in todo.difference(odd) if self._is_simple(p)} if self.simple else set()
-        for p in odd:
-            self.young[p] = self._whole(p)
-        self._many(self.plain, list(simple))
-        self._many(self.tokenizer, list(todo.difference(odd, simple)))
+        odd = {p for p in todo if b"\x01" in p or len(p) > 255}
+        plain = {p for p in todo.difference(odd) if p.isalpha() and p.islower()}  # of bytes: a-z alone
+        self.young.update(zip(odd, self._whole(list(odd)), strict=True))
+        self._many(self.plain, list(plain))
+        self._many(self.tokenizer, list(todo.difference(odd, plain)))
         self.young.update((p, self.young[p[:-1]] + self.young[p[-1:]]) for p in marked)
 
+    @staticmethod
+    def _pieces(text: bytes) -> list[bytes]:
+        if text.isascii():
+            return (text if b"<|" in text else text.lower()).split()
+        if b"<|" in text:
+            return text.split()
+        return [x.lower() if x.isascii() else x for x in text.split()]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_pieces:
+            return self._whole(texts)
         if len(self.young) > PIECES:
             self.old, self.young = self.young, {}
-        # a tokenizer that lowers all letters gives A-Z no ids of their own; "<|" may begin a special token, which isn't lowered
-        pieces = [(x.lower() if self.lowers and b"<|" not in x else x).split() for x in texts]
+        pieces = [self._pieces(x) for x in texts]
         found = [list(map(self.young.get, x)) for x in pieces]
-        gaps = [[i for i, y in enumerate(f) if y is None] for f in found]
+        gaps = [[i for i, y in enumerate(f) if y is None] if None in f else () for f in found]
         self._learn({x[i] for x, g in zip(pieces, gaps, strict=True) for i in g})
         for x, f, g in zip(pieces, found, gaps, strict=True):
             for i in g:
@@ -125,12 +143,14 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
     """Writes docs (doc_id, text) as shards under out_dir, a folder that all executors reach; returns the manifest."""
     end = np.array([end_id], "<u4").tobytes()
 
+    @tidied
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         files, base = fs.FileSystem.from_uri(out_dir)
-        files.create_dir(base, recursive=True)
         part, encode = TaskContext.get().partitionId(), encoder(tokenizer).encode
+        base = f"{base}/{part // FOLDER_PARTS:06d}"
+        files.create_dir(base, recursive=True)
         doc_ids, ids, count, n = [], [], 0, 0
 
         def shard() -> pa.RecordBatch:
@@ -141,9 +161,8 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
             return pa.RecordBatch.from_pydict({"part": [part], "shard": [n], "name": [name], "n_docs": [len(ids)], "n_ids": [count]})
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), byte_rows(batch.column(1))
-            for i in range(0, len(texts), 256):
-                for key, got in zip(keys[i : i + 256], encode(texts[i : i + 256]), strict=True):
+            for some in slices(batch, 256):
+                for key, got in zip(some.column(0).to_pylist(), encode(byte_rows(some.column(1))), strict=True):
                     doc_ids.append(key)
                     ids.append(got + end)
                     count += len(ids[-1]) // 4
@@ -163,6 +182,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
 def read_token_files(spark: SparkSession, out_dir: str, manifest: DataFrame) -> DataFrame:
     """A row per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and the shard it is in."""
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -182,7 +202,7 @@ def read_token_files(spark: SparkSession, out_dir: str, manifest: DataFrame) ->
     if manifest.isEmpty():
         found = spark.createDataFrame([], ROWS)
     else:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(out_dir).select("path", "content")
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").option("recursiveFileLookup", "true").load(out_dir).select("path", "content")
         found = files.mapInArrow(rows, ROWS)
     return found.join(starts, "name").select("doc_id", (F.col("shard_start") + F.col("n_before")).alias("start"), "n_tokens", "ids_crc32", F.col("name").alias("shard_name"))
 
