@@ -21,12 +21,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import byte_rows, table, written
+from geoloom.llm.common import byte_rows, slices, table, tidied, written
 from geoloom.llm.decontaminate import words
 
 MAX_LABELLED = 12_000
@@ -37,6 +36,7 @@ FOLDS = 3
 ITERATIONS = 200
 RIDGE = 1e-3
 THRESHOLD = 0.35  # missing a toxic document costs more than losing a clean one
+MODELS = pa.schema([("target", pa.int32()), ("weights", pa.list_(pa.float64())), ("ids", pa.list_(pa.int64())), ("p", pa.list_(pa.float64()))])
 #: The chain, in order: category and its SQL over the labels table.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
@@ -47,21 +47,21 @@ def features(text: bytes, index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarr
     return np.fromiter(found.keys(), np.int64, len(found)), np.log1p(np.fromiter(found.values(), np.float64, len(found)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, iterations: int = ITERATIONS, ridge: float = RIDGE) -> np.ndarray:
-    """Weights of a logistic regression, bias last, by Nesterov's accelerated gradient on scaled columns."""
+def fit(z: np.ndarray, y: np.ndarray, iterations: int = ITERATIONS, ridge: float = RIDGE) -> np.ndarray:
+    """Weights of a logistic regression, bias last, by Nesterov's accelerated gradient on scaled columns. z: features, and a
+    last column of ones; it is scaled in place, so that a fit needs no second matrix."""
     if not len(y) or y.min() == y.max():
-        return np.append(np.zeros(x.shape[1]), 40.0 if len(y) and y[0] else -40.0)
-    scale = 1 / np.maximum(np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)), 1e-6)
-    z = np.ones((len(x), x.shape[1] + 1), x.dtype)
-    np.multiply(x, scale, out=z[:, :-1], casting="same_kind")
-    v = np.full(z.shape[1], 1 / np.sqrt(z.shape[1]), x.dtype)
+        return np.append(np.zeros(z.shape[1] - 1), 40.0 if len(y) and y[0] else -40.0)
+    scale = 1 / np.maximum(np.sqrt(np.einsum("ij,ij->j", z, z) / len(z))[:-1], 1e-6)
+    np.multiply(z[:, :-1], scale, out=z[:, :-1], casting="same_kind")
+    v = np.full(z.shape[1], 1 / np.sqrt(z.shape[1]), z.dtype)
     for _ in range(8):
         v = z.T @ (z @ v)
         v /= np.linalg.norm(v)
     step = 1 / (0.25 * np.linalg.norm(z @ v) ** 2 / len(y) * 1.05 + ridge)
     w, look = np.zeros(z.shape[1]), np.zeros(z.shape[1])
     for i in range(iterations):
-        slope = z.T @ (sigmoid(z @ look.astype(x.dtype)) - y).astype(x.dtype) / len(y) + ridge * np.append(look[:-1], 0)
+        slope = z.T @ (sigmoid(z @ look.astype(z.dtype)) - y).astype(z.dtype) / len(y) + ridge * np.append(look[:-1], 0)
         new = look - step * slope
         look, w = new + i / (i + 3) * (new - w), new
     return np.append(w[:-1] * scale, w[-1])
@@ -71,10 +71,11 @@ def sigmoid(t: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(t, -40, 40)))
 
 
-def _dense(places, values, n: int) -> np.ndarray:
-    x = np.zeros((len(places), n), np.float32)
-    for row, (i, v) in enumerate(zip(places, values, strict=True)):
-        x[row, i] = v
+def _dense(places, values, before, n: int) -> np.ndarray:
+    """Words, earlier probabilities and a column of ones."""
+    x = np.zeros((len(places), n + len(before[0]) + 1) if len(places) else (0, n + 1), np.float32)
+    for row, (i, v, p) in enumerate(zip(places, values, before, strict=True)):
+        x[row, i], x[row, n:-1], x[row, -1] = v, p, 1
     return x
 
 
@@ -105,10 +106,10 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CA
 def vocabulary(sample: DataFrame, categories: dict[str, str] = CATEGORIES) -> list[bytes]:
     """The words with the largest chi-squared scores by category."""
 
+    @tidied
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
+            for part in slices(batch, 200):
                 found = [sorted(set(words(t))) for t in byte_rows(part.column(0))]
                 yield pa.RecordBatch.from_arrays([pa.array([w for f in found for w in f], pa.binary()), *(pa.array(np.repeat(c.to_numpy(), [len(f) for f in found])) for c in part.columns[1:])], names=["word", *ys])
 
@@ -125,12 +126,16 @@ def vocabulary(sample: DataFrame, categories: dict[str, str] = CATEGORIES) -> li
 
 
 def _fold(name: str, n: int):
-    def fitted(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+    def fitted(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:  # at most the bound of labelled rows
         """Weights without fold key (all folds: -1), and with them the probabilities of that fold."""
-        x = np.hstack([_dense(f.places, f.counts, n), np.array(f.before.tolist(), np.float32).reshape(len(f), -1)])
-        inside = (f.fold != key[0]).to_numpy()
-        w = fit(x[inside], f[f"y_{name}"].to_numpy()[inside])
-        return pd.DataFrame({"target": key[0], "weights": [w], "ids": [f.doc_id[~inside].to_numpy()], "p": [sigmoid(x[~inside] @ w[:-1] + w[-1])]})
+        inside = rows["fold"].to_numpy() != key[0].as_py()
+        parts = [rows[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("places", "counts", "before")]
+        w = fit(_dense(*(x[inside] for x in parts), n), rows[f"y_{name}"].to_numpy()[inside])
+        outside = [x[~inside] for x in parts]
+        p = [float(sigmoid(np.asarray(v @ w[i] + b @ w[n:-1] + w[-1]))) for i, v, b in zip(*outside, strict=True)]
+        out = pa.table({"target": [key[0].as_py()], "weights": [w.tolist()], "ids": [rows["doc_id"].to_numpy()[~inside].tolist()], "p": [p]}, MODELS)
+        pa.default_memory_pool().release_unused()
+        return out
 
     return fitted
 
@@ -141,17 +146,22 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
     vocab = vocabulary(sample, categories)
     index, n = {w: i for i, w in enumerate(vocab)}, len(vocab)
 
-    def featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [features((t or "").encode(), index) for t in f.text]
-            yield f.drop(columns="text").assign(places=[i for i, _ in found], counts=[v for _, v in found])
+    @tidied
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = [features(t, index) for t in byte_rows(part.column("text"))]
+                places, counts = pa.array([i for i, _ in found], pa.list_(pa.int64())), pa.array([v for _, v in found], pa.list_(pa.float64()))
+                rest = part.drop_columns(["text"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, places, counts], names=[*rest.schema.names, "places", "counts"])
 
     ys = ", ".join(f"y_{name} double" for name in names)
-    rows = written(sample.mapInPandas(featured, f"doc_id long, {ys}, fold int, places array<long>, counts array<double>"), "toxicity-features")
+    rows = sample.select("doc_id", *(f"y_{name}" for name in names), "fold", "text")
+    rows = written(rows.mapInArrow(featured, f"doc_id long, {ys}, fold int, places array<long>, counts array<double>"), "toxicity-features")
     rows, weights = rows.withColumn("before", F.array().cast("array<double>")), {}
     for name in names:
         targets = rows.withColumn("target", F.explode(F.array(*(F.lit(k) for k in range(-1, FOLDS)))))
-        models = written(targets.groupBy("target").applyInPandas(_fold(name, n), "target int, weights array<double>, ids array<long>, p array<double>"), "toxicity-models")
+        models = written(targets.repartitionByRange(FOLDS + 1, "target").groupBy("target").applyInArrow(_fold(name, n), "target int, weights array<double>, ids array<long>, p array<double>"), "toxicity-models")
         final = models.where("target = -1").select("weights").first()
         weights[name] = np.array(final.weights) if final else np.append(np.zeros(n + len(weights)), -40.0)
         if name != names[-1]:
@@ -160,32 +170,32 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
     return Chain(vocab, weights)
 
 
-def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """A row per document row: doc_id, and p_<category> for each category."""
-    names = list(chain.weights)
-    vocab, weights = list(chain.index), {k: v.tolist() for k, v in chain.weights.items()}
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, weights))
+def probabilities(docs: DataFrame, chain: Chain, text: str = "text") -> Column:
+    """The struct of the categories' probabilities of docs' text. Only the texts go to Python; the weights, of bounded size,
+    are sent to every task."""
+    names, numbers = list(chain.weights), {k: v.tolist() for k, v in chain.weights.items()}
+    shared = docs.sparkSession.sparkContext.broadcast((list(chain.index), numbers))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<" + ", ".join(f"{c}: double" for c in names) + ">")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Chain(shared.value[0], {k: np.array(v) for k, v in shared.value[1].items()})
-        for batch in batches:
-            p = np.array([model.score(t) for t in byte_rows(batch.column(1))]).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in p.T)], names=["doc_id", *(f"p_{c}" for c in names)])
+        for column in columns:
+            p = np.array([model.score(t) for part in slices(column) for t in byte_rows(part)]).reshape(-1, len(names))
+            yield pa.StructArray.from_arrays([pa.array(x) for x in p.T], names)
+        pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"p_{c} double" for c in names))
+    return run(docs[text])
 
 
-def keep_clean(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs below the threshold, all columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast((list(chain.index), {k: v.tolist() for k, v in chain.weights.items()}))
-    at, place = list(chain.weights).index(category), docs.columns.index("text")
+def score(docs: DataFrame, chain: Chain) -> DataFrame:
+    """A row per document row: doc_id, and p_<category> for each category."""
+    scored = docs.select(docs.doc_id.cast("long").alias("doc_id"), probabilities(docs, chain).alias("p"))
+    return scored.select("doc_id", *(F.col(f"p.{c}").alias(f"p_{c}") for c in chain.weights))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Chain(shared.value[0], {k: np.array(v) for k, v in shared.value[1].items()})
-        for batch in batches:
-            yield batch.filter(pa.array([model.score(t)[at] < threshold for t in byte_rows(batch.column(place))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def keep_clean(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs below the threshold, all columns as they are."""
+    return docs.where(probabilities(docs, chain)[category] < threshold)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
