@@ -29,6 +29,7 @@ MOST_BLOCKS = 65_536
 LEVELS = 4
 ROUNDS = 10
 SEED = 17
+MIXTURE = ("mix_tokens", "mix_epoch", "mix_block", "mix_weight")
 
 
 def _evaluate(shares: DataFrame, exponents: list[float]) -> dict[float, tuple[float, float, float]]:
@@ -61,7 +62,10 @@ def bisect_exponent(shares: DataFrame, too_flat, rounds: int = ROUNDS) -> float:
 
 def source_weights(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget_share: float = 1.0) -> DataFrame:
     """docs (source, n_tokens) -> source, tokens, weight, budget. target_entropy is a share of the largest possible one,
-    between that of the plain shares (1 is reached by equal weights); max_repeats bounds budget / tokens of every source."""
+    between that of the plain shares, which stay where they are flatter than that, and 1, of equal weights; max_repeats bounds
+    budget / tokens of every source, and can't be less than budget_share."""
+    if max_repeats is not None and budget_share > max_repeats:
+        raise ValueError(f"a budget of {budget_share} times all tokens repeats some source more than {max_repeats} times")
     sums = written(docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "mix-sources")
     total, n = sums.agg(F.sum("tokens"), F.count("*")).first()
     if not n:
@@ -79,10 +83,18 @@ def source_weights(docs: DataFrame, target_entropy: float | None = None, max_rep
     return shares.select("source", "tokens", weight.alias("weight"), F.round(weight * F.lit(float(budget))).cast("long").alias("budget"))
 
 
-def mix_sources(docs: DataFrame, keep: list[str] | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, **target) -> DataFrame:
+def mix_sources(docs: DataFrame, keep: list[str] | None = None, **options) -> DataFrame:
     """docs (doc_id, text, source, ...) -> the columns of keep (all), mix_tokens, mix_epoch, mix_block, mix_weight: a row for
-    each time that the mixture takes a document. target: see source_weights."""
-    keep = [c for c in keep or docs.columns if not c.startswith("mix_")]
+    each time that the mixture takes a document. Columns of docs with one of these four names give way. options: see mixture."""
+    keep = [c for c in keep or docs.columns if c.lower() not in MIXTURE]
+    mixed = mixture(docs, keep, **options)
+    return mixed.select("doc.*", *MIXTURE)
+
+
+def mixture(docs: DataFrame, keep: list[str] | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, **target) -> DataFrame:
+    """docs -> doc (a struct of the columns of keep, all by default), mix_tokens, mix_epoch, mix_block, mix_weight.
+    target: see source_weights."""
+    keep = docs.columns if keep is None else keep
     n_tokens = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), rf"{SPACE_CLASS}+"), "")).cast("long")
     rows = docs.select("source", F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"), n_tokens.alias("n_tokens"), F.struct(*keep).alias("doc"))
     keys = written(rows.select("source", "key", "n_tokens"), "mix-keys")
@@ -114,7 +126,7 @@ def mix_sources(docs: DataFrame, keep: list[str] | None = None, block_tokens: in
     once_more = F.col("partial").isNotNull() & (F.col("last").isNull() | (F.col("key") <= F.col("last")))
     times = F.col("epochs") + once_more.cast("long")
     out = out.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
-    return out.select("doc.*", F.col("n_tokens").alias("mix_tokens"), F.col("epoch").alias("mix_epoch"), F.col("block").alias("mix_block"), F.col("weight").alias("mix_weight"))
+    return out.select("doc", F.col("n_tokens").alias("mix_tokens"), F.col("epoch").alias("mix_epoch"), F.col("block").alias("mix_block"), F.col("weight").alias("mix_weight"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

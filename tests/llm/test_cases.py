@@ -19,6 +19,7 @@ import brute
 from geoloom.llm import decontaminate, gru, lm_score, mixing, near_dedup, pfor, quality, secret_scan, substring_dedup, token_files, toxicity, trigrams, warc
 from geoloom.llm.common import new_path
 
+CLASHES = ("gone", "gone_id", "gone_text", "hit_digest", "cut_doc", "cut", "_cut_doc", "_cut", "mix_block", "mix_weight", "mix_tokens", "doc", "p", "row", "original", "w_source", "start", "value")
 EXTRA = "text string, doc_id long, source string, lang string, n_chars long, key string, digest string, rep long, component long, tokens long, block long, fold int, place long, label int"
 
 
@@ -33,12 +34,12 @@ def odd(spark):
     a, b = prose(rng, 120), prose(rng, 90)
     texts = [(1, a), (1, a), (2, a), (3, None), (4, ""), (5, " \n\t "), (None, b), (None, None), (6, b), (7, "one"), (8, "one"), (9, prose(rng, 60_000)), (1, b), (10, "é" * 5000), (11, "x\x01y <|endoftext|> <|ENDOFTEXT|> Ünï"), (12, "password = abcdefgh12 AKIA1234567890ABCD " + "0a" * 20)]
     rows = [(t, k, None if i % 3 else "s", None, None, "k", None, 7, None, 1, None, 0, None, 1) for i, (k, t) in enumerate(texts)]
-    return spark.createDataFrame(rows, EXTRA).repartition(3)
+    return spark.createDataFrame(rows, EXTRA).repartition(3).withColumns({c: F.lit(3) for c in CLASHES})
 
 
 @pytest.fixture(scope="module")
 def none(spark):
-    return spark.createDataFrame([], EXTRA)
+    return spark.createDataFrame([], EXTRA).withColumns({c: F.lit(3) for c in CLASHES})
 
 
 def by(rows, *names):
@@ -142,6 +143,28 @@ def test_pfor_round_trip():
     assert keys == [3, None] and lengths.tolist() == [2, 1] and ids.tolist() == [1, 2, 3]
 
 
+def test_encoder_on_random_texts(monkeypatch):
+    """10,000 texts of marks behind capitals, special tokens, control characters and any other code points."""
+    rng, bound = random.Random(21), 300
+    monkeypatch.setattr(token_files, "PIECES", bound)
+    odd = [*"abcXYZTHWJ .,'’\n\t\x01\x85 <|>-0129ßÄéΣσςKΩﬁİı가中", *map(chr, (0x300, 0x308, 0x331, 0x30A, 0x30C, 0x323, 0x345, 0x1100, 0x1161, 0x11A8, 0x200D, 0x2028, 0x1F600)), "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "Don't", "T\u0308", "H\u0331", "W\u030a"]
+    ranges = ((1, 0x7F), (0x80, 0x24F), (0x300, 0x36F), (0x370, 0xD7FF), (0xE000, 0x1FFFF))
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 30))) if i % 2 else "".join(chr(rng.randint(*rng.choice(ranges))) for _ in range(rng.randint(0, 25))) for i in range(10_000)]
+    encoder = token_files.Encoder(token_files.tokenizer_path())
+    assert encoder.by_pieces
+    for i in range(0, len(texts), 100):
+        want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts[i : i + 100], add_special_tokens=False)]
+        assert encoder.encode([t.encode() for t in texts[i : i + 100]]) == want
+
+
+def test_encoder_of_another_form():
+    """A tokenizer that keeps white space encodes whole texts."""
+    encoder = token_files.Encoder(token_files.tokenizer_path("byte_bpe_50k.json"))
+    assert not encoder.by_pieces
+    texts = ["Two  words\n", "", "T\u0308 <|endoftext|> x"]
+    assert encoder.encode([t.encode() for t in texts]) == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_token_files(spark, odd, none):
     from tokenizers import Tokenizer
 
@@ -240,7 +263,7 @@ def test_logistic_fit():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 3))
     y = (x @ [2, -1, 0] + 0.5 + rng.logistic(size=2000) > 0).astype(float)
-    w = toxicity.fit(x, y, iterations=300, ridge=0.0)
+    w = toxicity.fit(np.column_stack([x, np.ones(len(x))]), y, iterations=300, ridge=0.0)
     assert w == pytest.approx([2, -1, 0, 0.5], abs=0.25)
 
 
@@ -272,6 +295,10 @@ def test_mixing(spark, odd, none):
             assert max(epochs.values()) - min([*epochs.values(), want // n]) <= 1
             if "max_repeats" in target:
                 assert want / n <= target["max_repeats"] + 0.01
+    with pytest.raises(ValueError):
+        mixing.mix_sources(df, max_repeats=0.5)
+    kept = mixing.mixture(odd, target_entropy=0.99)
+    assert kept.columns[0] == "doc" and kept.select("doc.*").columns == odd.columns
     again = mixing.mix_sources(df.repartition(7), block_tokens=300)
     assert again.count() == mixing.mix_sources(df, block_tokens=300).count()
     assert mixing.mix_sources(none, target_entropy=0.9).count() == 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
@@ -75,6 +77,19 @@ def test_near_dedup_judges_each_text_of_an_id(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()), key=str) == sorted([(2, b), (5, a), (None, a)], key=str)
 
 
+def test_columns_with_the_stages_names(spark, tmp_path):
+    """Extra columns keep their names and values, whatever the stages call theirs."""
+    from test_cases import CLASHES
+
+    path, _ = _write(spark, tmp_path)
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({c: F.lit(3) for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, path)
+        if name != "token_ids":
+            assert out.columns == docs.columns and out.select(*CLASHES).distinct().collect() == [(3,) * len(CLASHES)], name
+        assert out.count() > 0
+
+
 def test_run_applies_the_stages(spark, tmp_path):
     path, _ = _write(spark, tmp_path)
     got = {r.doc_id for r in corpus_pipeline.run(spark, path).collect()}
