@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import table, written
+from geoloom.llm.common import fresh, table, written
 from geoloom.llm.decontaminate import drop_contaminated
-from geoloom.llm.mixing import mix_sources
+from geoloom.llm.mixing import mixture
 from geoloom.llm.near_dedup import judged_rows
 from geoloom.llm.token_files import tokenized
 from geoloom.llm.toxicity import keep_clean, train
@@ -26,8 +26,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group; documents without doc_id stay. Rows of one doc_id go or stay each by
     its own text."""
-    gone = judged_rows(docs).where("not kept").select(F.col("doc_id").alias("gone"), F.col("row_key").alias("gone_text")).distinct()
-    return docs.join(gone, (docs.doc_id == F.col("gone")) & (F.xxhash64(docs.text) == F.col("gone_text")), "left_anti")
+    id_name, text_name = fresh(docs.columns, "gone_id", "gone_text")
+    gone = judged_rows(docs).where("not kept").select(F.col("doc_id").alias(id_name), F.col("row_key").alias(text_name)).distinct()
+    return docs.join(gone, (docs.doc_id.cast("long") == gone[id_name]) & (F.xxhash64(docs.text) == gone[text_name]), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of the tokens, at the weights nearest to equal that take no document twice: small sources stay whole."""
-    return mix_sources(docs, max_repeats=1.0, budget_share=0.9).select(*docs.columns)
+    return mixture(docs, max_repeats=1.0, budget_share=0.9).select("doc.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
