@@ -103,7 +103,26 @@ def test_decontaminate(spark, odd, none):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(odd, empty).where("contaminated").count() == 0
     assert decontaminate.decontaminate(none, bench).count() == 0
-    assert decontaminate.drop_contaminated(odd, bench).columns == odd.columns
+    for limit in (1 << 20, 0):
+        assert decontaminate.drop_contaminated(odd, bench, limit).columns == odd.columns
+
+
+def test_decontaminate_repeated_words(spark):
+    """Long runs of one word, and one passage in 1,000 items, cost no more than other texts; both ways agree."""
+    import time
+
+    rng = random.Random(31)
+    shared = prose(rng, 14)
+    items = [(i, f"{prose(rng, 6)} {shared}") for i in range(1000)] + [(2000, "no " * 4000), (2001, "no " * 9)]
+    benchmark = decontaminate.Benchmark([(k, t.encode()) for k, t in items])
+    began = time.time()
+    hit, found = benchmark.hits([b"no"] * 60_000)
+    assert hit.all() and found == {2000, 2001} and time.time() - began < 1
+    docs = [(0, "no " * 300), (1, f"{prose(rng, 30)} {shared} {shared}"), (2, prose(rng, 50)), (1, None), (3, "no " * 9), (3, "no " * 8)]
+    want = sorted(((k, *brute.contaminated(t, items)) for k, t in docs), key=str)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (1 << 24, 0):
+        assert by(decontaminate.decontaminate(df, bench, limit).collect(), "doc_id", "n_words", "n_hit", "n_items", "items_sha256") == want
 
 
 def test_winnow_keeps_a_hash_of_each_window():
