@@ -4,9 +4,10 @@ The state after the words so far gives the next word's probability as that of it
 classes are runs of words by frequency, about sqrt(n_words) each, so a word costs two short softmaxes in place of one over
 the vocabulary. Id n_words is the tail (any other word), a class by itself; id n_words + 1 opens a document.
 
-Training is truncated backpropagation: windows of WINDOW steps over many lanes side by side, the state carried from window
-to window and cleared where a document starts, with Adagrad steps. Scoring packs whole documents into lanes and carries the
-state across windows, so that a document of any length is scored with all that came before.
+Training is truncated backpropagation: documents in a row are dealt to lanes in runs of equal length, and windows of WINDOW
+steps go over all lanes side by side, the state carried from window to window and cleared where a document starts, with
+Adagrad steps. Scoring packs whole documents into lanes and carries the state across windows, so that a document of any
+length is scored with all that came before.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ import numpy as np
 HIDDEN = 16
 WINDOW = 16
 LANES = 512
-LANE = 512
-SCORE_WINDOW = 64
+#: A lane of training has so many steps at least, so few words make few lanes.
+LEAST = 128
+SCORE_WINDOW = 32
 RATE = 0.1
 
 
@@ -43,20 +45,23 @@ class Gru:
             "W": np.zeros((k, hidden, per_class), np.float32), "w": within.reshape(k, per_class).astype(np.float32),
         }
 
+        self.squares = {name: np.ones_like(x) for name, x in self.p.items()}  # Adagrad's sums
+
     def vector(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.p.values()])
+        """The weights, then Adagrad's sums."""
+        return np.concatenate([x.ravel() for part in (self.p, self.squares) for x in part.values()])
 
     def load(self, vector: np.ndarray) -> None:
         at = 0
-        for name, x in self.p.items():
-            self.p[name] = np.asarray(vector[at : at + x.size], np.float32).reshape(x.shape)
-            at += x.size
+        for part in (self.p, self.squares):
+            for name, x in part.items():
+                part[name] = np.array(vector[at : at + x.size], np.float32).reshape(x.shape)
+                at += x.size
 
-    def _by_class(self, cls: np.ndarray):
-        """Places of each class's words, without the tail."""
-        order = np.argsort(cls, kind="stable")
-        ends = np.cumsum(np.bincount(cls, minlength=len(self.p["W"]) + 1))
-        return [(k, order[a:b]) for k, (a, b) in enumerate(zip(np.append(0, ends[:-2]), ends[:-1], strict=True)) if b > a]
+    def _by_class(self, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order of the places by class, and (class, from, to) in it, without the tail."""
+        ends = np.cumsum(np.bincount(cls, minlength=len(self.p["W"]) + 1)).tolist()
+        return np.argsort(cls.astype(np.int16), kind="stable"), [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends[:-2]], ends[:-1], strict=True)) if b > a]
 
     def _steps(self, h: np.ndarray, x: np.ndarray, keep: np.ndarray, tape: list | None = None) -> np.ndarray:
         """States after each step, as steps by features by lanes, so that each feature's lanes lie side by side; h: features
@@ -84,38 +89,45 @@ class Gru:
 
     # --- training -----------------------------------------------------------------------------------------------------
 
-    def train(self, ids: np.ndarray, starts: np.ndarray, squares: dict) -> None:
-        """ids: words of documents in a row; starts: whether a document starts there. squares: Adagrad's sums, kept."""
-        lanes = -(-len(ids) // LANE)
-        pad = lanes * LANE - len(ids)
+    def train(self, ids: np.ndarray, starts: np.ndarray) -> None:
+        """ids: words of documents in a row; starts: whether a document starts there. A lane that begins within a document
+        does so without its state."""
+        lanes = min(LANES, max(1, len(ids) // LEAST))
+        steps = -(-len(ids) // lanes)
+        pad = lanes * steps - len(ids)
         before = np.append(self.n + 1, ids[:-1])
         before[starts] = self.n + 1
-        shape = lambda x, fill: np.append(x, np.full(pad, fill, x.dtype)).reshape(lanes, LANE).T
+        shape = lambda x, fill: np.append(x, np.full(pad, fill, x.dtype)).reshape(lanes, steps).T
         x, y, keep, live = shape(before, 0), shape(ids, 0), shape(1 - starts.astype(np.float32), 0), shape(np.ones(len(ids), np.float32), 0)
         h = np.zeros((self.h, lanes), np.float32)
-        for t in range(0, LANE, WINDOW):
+        for t in range(0, steps, WINDOW):
             w = slice(t, t + WINDOW)
-            h = self._window(h, x[w], y[w], keep[w], live[w], squares)
+            h = self._window(h, x[w], y[w], keep[w], live[w])
 
-    def _window(self, h, x, y, keep, live, squares) -> np.ndarray:
-        p, n, tape = self.p, self.h, []
+    def _window(self, h, x, y, keep, live) -> np.ndarray:
+        p, squares, n, tape = self.p, self.squares, self.h, []
         states = self._steps(h, x, keep, tape)
-        flat, target, weight = _rows(states), y.ravel(), live.ravel()  # sums: means are small enough for slow subnormal squares
-        cls, pos = self.cls[target], self.pos[target]
-        d = np.exp(flat @ p["C"] + p["c"])
-        d /= d.sum(1, keepdims=True)
+        flat, target, weight = _rows(states), y.ravel(), live.ravel()[:, None]  # sums: means are small enough for slow subnormal squares
+        some_padding = not live.all()
+        cls = self.cls[target]
+        d = _shares(flat, p["C"], p["c"])
         d[np.arange(len(d)), cls] -= 1
-        d *= weight[:, None]
+        if some_padding:
+            d *= weight
+        order, parts = self._by_class(cls)
+        mine, pos, rows = flat[order], self.pos[target[order]], np.arange(len(flat))
         grads = {"C": flat.T @ d, "c": d.sum(0), "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
+        inner = np.zeros_like(mine)
+        for k, a, b in parts:
+            e = _shares(mine[a:b], p["W"][k], p["w"][k])
+            e[rows[: b - a], pos[a:b]] -= 1
+            if some_padding:
+                e *= weight[order[a:b]]
+            np.matmul(mine[a:b].T, e, out=grads["W"][k])
+            e.sum(0, out=grads["w"][k])
+            np.matmul(e, p["W"][k].T, out=inner[a:b])
         back = d @ p["C"].T
-        for k, at in self._by_class(cls):
-            mine = flat[at]
-            e = np.exp(mine @ p["W"][k] + p["w"][k])
-            e /= e.sum(1, keepdims=True)
-            e[np.arange(len(at)), pos[at]] -= 1
-            e *= weight[at][:, None]
-            grads["W"][k], grads["w"][k] = mine.T @ e, e.sum(0)
-            back[at] += e @ p["W"][k].T
+        back[order] += inner
         back = np.ascontiguousarray(back.reshape(len(x), -1, n).transpose(0, 2, 1))
         into = np.empty((len(x), 3 * n, x.shape[1]), back.dtype)  # gradients of the inputs
         through = np.empty(into.shape[1:], back.dtype)  # and of a step's recurrent products
@@ -147,9 +159,6 @@ class Gru:
             p[name] -= RATE * g / np.sqrt(squares[name])
         return states[-1]
 
-    def squares(self) -> dict:
-        return {name: np.ones_like(x) for name, x in self.p.items()}
-
     # --- scoring ------------------------------------------------------------------------------------------------------
 
     def score(self, docs: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
@@ -184,15 +193,32 @@ class Gru:
         return out / np.log(10)
 
     def _log_p(self, flat: np.ndarray, target: np.ndarray) -> np.ndarray:
-        cls, pos = self.cls[target], self.pos[target]
-        logits = flat @ self.p["C"] + self.p["c"]
-        out = logits[np.arange(len(flat)), cls].astype(np.float64) - np.log(np.exp(logits).sum(1))
-        for k, at in self._by_class(cls):
-            inner = flat[at] @ self.p["W"][k] + self.p["w"][k]
-            out[at] += inner[np.arange(len(at)), pos[at]] - np.log(np.exp(inner).sum(1))
+        cls = self.cls[target]
+        logits = flat @ self.p["C"]
+        logits += self.p["c"]
+        out = logits[np.arange(len(flat)), cls].astype(np.float64)
+        out -= np.log(np.exp(logits, out=logits).sum(1))
+        order, parts = self._by_class(cls)
+        mine, pos, rows = flat[order], self.pos[target[order]], np.arange(len(flat))
+        inside = np.zeros(len(flat))
+        for k, a, b in parts:
+            inner = mine[a:b] @ self.p["W"][k]
+            inner += self.p["w"][k]
+            inside[a:b] = inner[rows[: b - a], pos[a:b]]
+            inside[a:b] -= np.log(np.exp(inner, out=inner).sum(1))
+        out[order] += inside
         return out
 
 
+def _shares(flat: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Softmax of each row."""
+    out = flat @ weights
+    out += bias
+    np.exp(out, out=out)
+    out /= out.sum(1, keepdims=True)
+    return out
+
+
 def _rows(x: np.ndarray) -> np.ndarray:
     """Steps by features by lanes as a row for each step and lane."""
     return np.ascontiguousarray(x.transpose(0, 2, 1)).reshape(-1, x.shape[1])

@@ -5,9 +5,12 @@
 2. The most frequent words, at most DICTIONARY, are sent to every task. The model's words are the first of them, as many as
    cover COVERAGE of the training tokens and MODEL_WORDS at least, so they grow with the corpus up to the dictionary; all
    others are its tail. Words beyond the dictionary find their counts by a join in the shuffle.
-3. Every task trains a copy of one initial model on all training documents of its partition, by truncated backpropagation;
-   the copies are averaged by weight of their tokens, as sums over the weights' places.
-4. Every document is scored whole: the model gives each word's probability, and that of a tail word is the tail's times
+3. Every document is turned into the model's ids once; the table of ids is written, and later steps read no texts.
+4. Training documents are dealt by hashes to ROUNDS rounds and to shards of about SHARD_TOKENS tokens (over all rounds). In a
+   round each shard trains a copy of the model so far on its documents, in an order by hash, by truncated backpropagation,
+   and the copies are averaged by weight of their tokens, as sums over the weights' places. Every training document is read
+   in one round. Shards follow from the data alone, so the model does not depend on how tasks split it.
+5. Every document is scored whole: the model gives each word's probability, and that of a tail word is the tail's times
    its add-one share of the tail, (c + 1) / (N_tail + V_tail + 1). The same counts give the base score.
 
 Training documents are those whose crc32 of the doc_id as text, mod FOLDS, is not HELD_OUT. Words are runs of bytes other
@@ -30,14 +33,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import byte_rows, table, written
-from geoloom.llm.gru import LANE, LANES, Gru
+from geoloom.llm.common import byte_rows, slices, table, tidied, written
+from geoloom.llm.gru import Gru
 
 FOLDS = 7
 HELD_OUT = 2
 DICTIONARY = 1 << 18
 MODEL_WORDS = 2048
 COVERAGE = 0.6
+SHARD_TOKENS = 2_000_000
+SHARDS = 4  # at least
+ROUNDS = 4
+#: A task trains on so many tokens at a time, whatever its shard's size.
+AT_ONCE = 1 << 20
 END = b""
 
 
@@ -52,6 +60,7 @@ def tokens(text: bytes) -> list[bytes]:
 def count_words(docs: DataFrame) -> DataFrame:
     """(word binary, n long) over the texts of docs."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Counter()
 
@@ -59,8 +68,9 @@ def count_words(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for text in byte_rows(batch.column(0)):
-                found.update(tokens(text))
+            for part in slices(batch):
+                for text in byte_rows(part.column(0)):
+                    found.update(tokens(text))
                 if len(found) > 400_000:
                     yield out()
                     found.clear()
@@ -83,9 +93,7 @@ def dictionary_limit(counts: DataFrame, most: int) -> int:
 
 
 class Words:
-    """The dictionary's places and counts, and an initial model; built once in each Python worker that needs it."""
-
-    last: tuple | None = None
+    """The dictionary's places and counts, and which of them are the model's words."""
 
     def __init__(self, ranked: list[tuple[bytes, int]], total: int):
         self.place = {w: i for i, (w, _) in enumerate(ranked)}
@@ -95,12 +103,6 @@ class Words:
         self.k = min(max(MODEL_WORDS, covering), len(ranked))
         self.tail = total - self.counts[: self.k].sum()
 
-    @classmethod
-    def of(cls, shared) -> Words:
-        if cls.last is None or cls.last[0] != shared.value[0]:
-            cls.last = (shared.value[0], cls(*shared.value[1:]))
-        return cls.last[1]
-
     def places(self, words: list[bytes]) -> np.ndarray:
         """In the dictionary; -1 for other words."""
         return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
@@ -112,86 +114,162 @@ class Words:
         return Gru(self.counts[: self.k], self.tail)
 
 
-def train(docs: DataFrame, shared) -> np.ndarray | None:
-    """The averaged weights of the copies that the partitions of docs train."""
+class LocalWords:
+    """A Python worker's Words, of the last dictionary that it was sent."""
+
+    last: tuple | None = None
 
+    @classmethod
+    def of(cls, shared) -> Words:
+        if cls.last is None or cls.last[0] != shared.value[0]:
+            cls.last = None
+            cls.last = (shared.value[0], Words(*shared.value[1:]))
+        return cls.last[1]
+
+
+NUMBERS = ("n_tokens", "n_head", "head_log", "tail_log", "n_tail")
+ENCODED = "doc_id long, held_out boolean, n_tokens long, n_head long, head_log double, tail_log double, n_tail long, key binary, ids array<int>, rare array<struct<word: binary, tf: long>>"
+
+
+def encode(docs: DataFrame, shared) -> DataFrame:
+    """docs (doc_id, held_out, text) -> ENCODED: numbers of the base score, the text's digest, its ids, and its words beyond
+    the dictionary with their times."""
+
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words.of(shared)
-        model, seen, waiting, size = words.model(), 0, [], 0
-        squares = model.squares()
+        words = LocalWords.of(shared)
+        for batch in batches:
+            for part in slices(batch):
+                yield encoded(part, words)
+
+    def encoded(batch: pa.RecordBatch, words: Words) -> pa.RecordBatch:
+        texts, ids, rows, rare = byte_rows(batch.column(2)), [], [], []
+        for text in texts:
+            t = tokens(text)
+            places = words.places(t)
+            known = places[places >= 0]
+            logs = words.log[known]
+            ids.append(words.ids(places).astype(np.int32))
+            rows.append((len(t), len(known), float(logs.sum()), float(logs[known >= words.k].sum()), int(len(t) - (known < words.k).sum())))
+            rare.append(Counter(t[i] for i in np.flatnonzero(places < 0).tolist()) if len(known) < len(t) else {})
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
+        keys = pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())
+        words_of, times = pa.array([w for x in rare for w in x], pa.binary()), pa.array([n for x in rare for n in x.values()], pa.int64())
+        ends = pa.array(np.append(0, np.cumsum([len(x) for x in rare])), pa.int32())
+        pairs = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([words_of, times], ["word", "tf"]))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, keys, _lists(ids), pairs], names=["doc_id", "held_out", *NUMBERS, "key", "ids", "rare"])
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, ENCODED)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in arrays])), pa.int32()), pa.array(flat, pa.int32()))
+
+
+def _train_round(dealt: DataFrame, shape) -> DataFrame:
+    """dealt (shard, ids), a shard in one task and in order -> place, value: by place, the sum of the copies' weights by tokens,
+    and last the sum of the tokens. shape: a broadcast of the model's counts, tail and weights so far."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, tail, vector = shape.value
+        shard, model, seen, waiting, size = None, None, 0, [], 0
+        total, tokens_of_all = None, 0
 
         def learn() -> None:
+            lengths = np.concatenate([n for _, n in waiting])
             starts = np.zeros(size, bool)
-            starts[np.append(0, np.cumsum([len(x) for x in waiting])[:-1])] = True
-            model.train(np.concatenate(waiting), starts, squares)
+            starts[np.cumsum(lengths) - lengths] = True
+            model.train(np.concatenate([x for x, _ in waiting]), starts)
+
+        def finish() -> None:
+            nonlocal total, tokens_of_all
+            if size:
+                learn()
+            n = seen + size
+            if model is not None and n:
+                part = n * model.vector().astype(np.float64)
+                total, tokens_of_all = part if total is None else total + part, tokens_of_all + n
 
         for batch in batches:
-            for text in byte_rows(batch.column(0)):
-                waiting.append(words.ids(words.places(tokens(text))))
-                size += len(waiting[-1])
-                if size >= LANES * LANE:
-                    learn()
-                    seen, waiting, size = seen + size, [], 0
-        if waiting:
-            learn()
-        if seen + size:
-            yield pa.RecordBatch.from_arrays([pa.array([float(seen + size)]), pa.array([model.vector()], pa.list_(pa.float32()))], names=["tokens", "weights"])
-
-    copies = written(docs.select("text").mapInArrow(run, "tokens double, weights array<float>"), "lm-copies")
-    places = copies.select("tokens", F.posexplode("weights").alias("place", "w"))
-    mean = places.groupBy("place").agg((F.sum(F.col("tokens") * F.col("w")) / F.sum("tokens")).alias("w"))
-    got = mean.orderBy("place").toPandas()  # as many rows as the model has weights
-    return got.w.to_numpy() if len(got) else None
+            shards = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b > a and shards[a] != shard:
+                    finish()
+                    shard, model, seen, waiting, size = shards[a], Gru(counts, tail), 0, [], 0
+                    if vector is not None:
+                        model.load(vector)
+                for part in slices(batch.column(1).slice(a, b - a)):
+                    ids = part.flatten().to_numpy().astype(np.int64)
+                    waiting.append((ids, np.diff(part.offsets.to_numpy())))
+                    size += len(ids)
+                    if size >= AT_ONCE:
+                        learn()
+                        seen, waiting, size = seen + size, [], 0
+        finish()
+        if tokens_of_all:
+            values = np.append(total, tokens_of_all)
+            for i in range(0, len(values), 100_000):
+                some = values[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(some))), pa.array(some)], names=["place", "value"])
+
+    return dealt.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
+
+
+def train(table_of_ids: DataFrame, words: Words, total: int) -> np.ndarray | None:
+    """The weights after all rounds; None without training documents."""
+    spark, vector = table_of_ids.sparkSession, None
+    n_shards = max(SHARDS, -(-total // SHARD_TOKENS))
+    tasks = min(n_shards, max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    at = lambda salt, n: F.pmod(F.xxhash64("key", "doc_id", F.lit(salt)), F.lit(n))
+    training = table_of_ids.where("not held_out").select(at(1, ROUNDS).alias("round"), at(2, n_shards).alias("shard"), F.xxhash64("key", "doc_id", F.lit(3)).alias("place"), "ids")
+    for turn in range(ROUNDS if total else 0):
+        shape = spark.sparkContext.broadcast((words.counts[: words.k], words.tail, vector))
+        mine = training.where(F.col("round") == turn).repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "place").select("shard", "ids")
+        sums = _train_round(mine, shape).toArrow()  # as many rows as the model has weights
+        if sums.num_rows:
+            values = np.empty(sums.num_rows)
+            values[sums["place"].to_numpy()] = sums["value"].to_numpy()
+            vector = values[:-1] / values[-1]
+        shape.destroy()
+    return vector
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    training = docs.where("not held_out")
-    counts = written(count_words(training), "lm-counts")
+    counts = written(count_words(docs.where("not held_out")), "lm-counts")
     total, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
     least = dictionary_limit(counts, DICTIONARY)
-    ranked = sorted(((bytes(r.word), r.n) for r in counts.where(F.col("n") > least).toLocalIterator()), key=lambda x: (-x[1], x[0]))
+    top = counts.where(F.col("n") > least).toArrow()  # DICTIONARY rows at most
+    ranked = sorted(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     shared = spark.sparkContext.broadcast((hashlib.sha1(repr(ranked).encode()).hexdigest(), ranked, total))
     words = Words(ranked, total)
-    weights = train(training, shared)
-    fitted = spark.sparkContext.broadcast(weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words.of(shared)
-        model = words.model()
-        if fitted.value is not None:
-            model.load(fitted.value)
-        for batch in batches:
-            texts, ids, rows, rare = byte_rows(batch.column(2)), [], [], []
-            for text in texts:
-                t = tokens(text)
-                places = words.places(t)
-                known = places[places >= 0]
-                logs = words.log[known]
-                ids.append(words.ids(places).astype(np.int32))
-                rows.append((len(t), len(known), float(logs.sum()), float(logs[known >= words.k].sum()), int(len(t) - (known < words.k).sum())))
-                rare.append(Counter(t[i] for i in np.flatnonzero(places < 0).tolist()))
-            p = model.score(ids) if ids else []
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
-            keys = pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())
-            words_of, times = pa.array([w for x in rare for w in x], pa.binary()), pa.array([n for x in rare for n in x.values()], pa.int64())
-            ends = pa.array(np.append(0, np.cumsum([len(x) for x in rare])), pa.int32())
-            pairs = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([words_of, times], ["word", "tf"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(p, pa.float64()), keys, pairs], names=names)
-
-    names = ["doc_id", "held_out", "n_tokens", "n_head", "head_log", "tail_log", "n_tail", "model_log", "key", "rare"]
-    kinds = "doc_id long, held_out boolean, n_tokens long, n_head long, head_log double, tail_log double, n_tail long, model_log double, key binary, rare array<struct<word: binary, tf: long>>"
-    scored = written(docs.select("doc_id", "held_out", "text").mapInArrow(run, kinds), "lm-scored")
-    out = scored.drop("rare")
+    found = written(encode(docs, shared), "lm-ids")
+    shared.destroy()
+    fitted = spark.sparkContext.broadcast((words.counts[: words.k], words.tail, train(found, words, total)))
+
+    @F.arrow_udf("double")
+    def model_log(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        counts, tail, vector = fitted.value
+        model = Gru(counts, tail)
+        if vector is not None:
+            model.load(vector)
+        for ids in columns:
+            yield pa.array(model.score([x.values.to_numpy() for x in ids]) if len(ids) else [], pa.float64())
+        pa.default_memory_pool().release_unused()
+
+    out = found.select("doc_id", "held_out", *NUMBERS, "key", model_log("ids").alias("model_log"))
     if distinct > len(ranked):  # the words beyond the dictionary, and their counts
         rest = counts.where(F.col("n") <= least)
-        found = scored.select("key", F.explode("rare").alias("x")).select("key", "x.word", "x.tf").join(rest, "word")
-        found = found.groupBy("key").agg(F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("rare_log"), F.sum("tf").alias("n_rare"))
-        copies = scored.groupBy("key").agg(F.count("*").alias("copies"))  # each copy of a text has brought its words
-        out = out.join(found.join(copies, "key"), "key", "left")
+        rare = found.select("key", F.explode("rare").alias("x")).select("key", "x.word", "x.tf").join(rest, "word")
+        rare = rare.groupBy("key").agg(F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("rare_log"), F.sum("tf").alias("n_rare"))
+        copies = found.groupBy("key").agg(F.count("*").alias("copies"))  # each copy of a text has brought its words
+        out = out.join(rare.join(copies, "key"), "key", "left")
         rare_log, n_rare = F.coalesce(F.col("rare_log") / F.col("copies"), F.lit(0.0)), F.coalesce((F.col("n_rare") / F.col("copies")).cast("long"), F.lit(0).cast("long"))
     else:
         rare_log, n_rare = F.lit(0.0), F.lit(0).cast("long")

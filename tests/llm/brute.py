@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -89,3 +90,23 @@ def secrets(text):
     said = ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out))
     n = Counter(k for _, _, k, _ in out)
     return n["assign"], n["access"], n["hex"], hashlib.sha256(said.encode()).hexdigest(), said
+
+
+def gru_score(model, ids):
+    """log10 probability of one document, a word at a time."""
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    p, n = {k: v.astype(float) for k, v in model.p.items()}, model.h
+    h, before, out = [0.0] * n, model.n + 1, 0.0
+    for y in ids:
+        given, u = p["E"][before], [sum(h[i] * p["U"][i][j] for i in range(n)) for j in range(3 * n)]
+        z, r = ([sigmoid(given[j + at] + u[j + at]) for j in range(n)] for at in (0, n))
+        new = [math.tanh(given[2 * n + j] + r[j] * u[2 * n + j]) for j in range(n)]
+        h = [z[j] * h[j] + (1 - z[j]) * new[j] for j in range(n)]
+        c = [sum(h[i] * p["C"][i][k] for i in range(n)) + p["c"][k] for k in range(len(p["c"]))]
+        k = int(model.cls[y])
+        out += c[k] - math.log(sum(map(math.exp, c)))
+        if y < model.n:
+            w = [sum(h[i] * p["W"][k][i][j] for i in range(n)) + p["w"][k][j] for j in range(model.m)]
+            out += w[int(model.pos[y])] - math.log(sum(map(math.exp, w)))
+        before = y
+    return out / math.log(10)

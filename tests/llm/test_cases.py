@@ -337,16 +337,12 @@ def test_gru_gradients():
         return -float(m.score(docs)[0]) * math.log(10)
 
     seen = {}
-
-    class Spy(dict):
-        pass
-
     x, y = np.append(7, ids[:-1])[:, None], ids[:, None]
     keep, live = np.ones((40, 1)), np.ones((40, 1))
     keep[0] = 0
     before = {k: v.copy() for k, v in model.p.items()}
-    squares = {k: np.full_like(v, 1e12) for k, v in model.p.items()}
-    model._window(np.zeros((4, 1)), x, y, keep, live, squares)
+    model.squares = {k: np.full_like(v, 1e12) for k, v in model.p.items()}
+    model._window(np.zeros((4, 1)), x, y, keep, live)
     for name, w in model.p.items():
         seen[name] = (before[name] - w) / gru.RATE * 1e6  # the step was RATE * g / 1e6
     model.p = {k: v.copy() for k, v in before.items()}
@@ -368,6 +364,37 @@ def test_gru_scores_do_not_depend_on_lanes():
     assert model.score(docs, lanes=3) == pytest.approx(one, rel=1e-4) and model.score(docs) == pytest.approx(one, rel=1e-4)
 
 
+def test_gru_scores_word_by_word():
+    """Scores against plain loops over the recurrence, in Python floats."""
+    rng = np.random.default_rng(8)
+    model = gru.Gru(np.array([9.0, 7, 5, 3, 2, 1, 1]), 2.0, hidden=3, per_class=3)
+    for name, x in model.p.items():
+        model.p[name] = (x + rng.normal(0, 0.4, x.shape)).astype(np.float32)
+    docs = [rng.integers(0, 8, n) for n in (1, 5, 90)]
+    assert model.score(docs) == pytest.approx([brute.gru_score(model, d.tolist()) for d in docs], rel=1e-5)
+
+
+def test_gru_vector_round_trip():
+    a, b = (gru.Gru(np.array([3.0, 2, 1]), 1.0, hidden=2, seed=s) for s in (1, 2))
+    a.train(np.array([0, 1, 2, 3, 0]), np.array([True, False, False, True, False]))
+    b.load(a.vector())
+    assert (a.vector() == b.vector()).all()
+
+
+def test_lm_model_does_not_depend_on_partitions(spark, monkeypatch):
+    """Several shards and rounds; texts with a pattern that a unigram model can't see; any number of tasks."""
+    rng = random.Random(16)
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 3000)
+    nouns = ["an", "er", "th", "on"]
+    rows = [(i, " ".join(f"{w} {w}s" for w in (rng.choice(nouns) for _ in range(rng.randint(20, 60))))) for i in range(240)] + [(1000, None), (None, "an ans")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({r.doc_id: r for r in lm_score.lm_scores(df.repartition(n)).collect()} for n in (2, 7))
+    for k, r in one.items():
+        assert two[k].score == pytest.approx(r.score, rel=1e-6)
+    held = [r for r in one.values() if r.held_out and r.n_tokens > 10]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
 def test_lm_scores(spark, odd, none, monkeypatch):
     rng = random.Random(6)
     rows = [(i, prose(rng, rng.randint(5, 120))) for i in range(120)] + [(None, "er th"), (200, None), (201, None), (7, "an an unknownword")]
