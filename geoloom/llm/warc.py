@@ -3,31 +3,35 @@
 Writing: payloads are told apart by SHA-1. Of the records with equal payloads of at least MIN_REVISIT bytes the one with the
 largest key is the response, the others revisit it; the largest key comes from an aggregation with partial maxima, and only
 keys and digests meet in that join. A capture's records are one line of text with CRLF CRLF after each record, so the
-archives are written by Spark's own text writer, with its commit of finished tasks, as gzip files.
+archives are written by Spark's own text writer, with its commit of finished tasks, as gzip files of at most CAPTURES
+captures.
 
-Reading: each archive is read whole by the binaryFile source (their size follows the input splits) and parsed by
-Content-Length, so payloads may hold anything. A record is a row.
+Reading: an archive comes compressed from the binaryFile source, and its records are read one after the other by
+Content-Length, so payloads may hold anything and no archive is unpacked whole. A record is a row.
 
 Assembly: metadata and request records name the response or revisit that they belong to in WARC-Concurrent-To; they are
 joined through it, and each capture is one nested row. Revisits find their original through WARC-Refers-To.
 
-Defined cases: a null payload counts as empty; rows without a key are not captures and are left out; repeated rows of one
-key are one capture, with the greatest payload; a null url is written as empty; an empty table gives no archives and no
-rows; other columns are ignored.
+Defined cases: a null payload counts as empty; each row is a capture, repeated rows and rows without a key too (a null key is
+less than any other, among equal keys any one row is the response); a null url is written as empty; an empty table gives no
+archives and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import new_path, table, written
+from geoloom.llm.common import new_path, table, tidied, written
 
 MIN_REVISIT = 0
+CAPTURES = 20_000
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,9 +50,9 @@ def base32_sha1(payload: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), letters), "")
 
 
-def urn(key: Column, role: str) -> Column:
-    """A record id that follows from key and role, in the form of a UUID."""
-    h = F.md5(F.concat(key.cast("string"), F.lit(f"/{role}")))
+def urn(name: Column, role: str) -> Column:
+    """A record id that follows from a capture's name and the record's role, in the form of a UUID."""
+    h = F.md5(F.concat(name, F.lit(f"/{role}")))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
@@ -60,18 +64,21 @@ def _record(kind: str, headers: list[tuple[str, Column]], block: Column) -> Colu
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)
 
 
-def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_revisit: int = MIN_REVISIT) -> None:
-    """Writes a capture for each key under path."""
-    pages = pages.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(payload, F.lit("")).alias("payload")).where("key is not null")
-    if pages.groupBy("key").count().where("count > 1").limit(1).count():
-        pages = pages.groupBy("key").agg(F.max_by("url", F.struct("payload", "url")).alias("url"), F.max("payload").alias("payload"))
+def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_revisit: int = MIN_REVISIT, captures: int = CAPTURES) -> None:
+    """Writes a capture for each row under path."""
+    pages = pages.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(payload, F.lit("")).alias("payload"))
+    if pages.groupBy("key").count().where("count > 1").limit(1).count():  # rows of one key are told apart by numbers, written so that they stay
+        pages = written(pages.withColumn("number", F.monotonically_increasing_id()), "warc-numbered")
+    else:
+        pages = pages.withColumn("number", F.lit(0).cast("long"))
+    pages = pages.withColumn("name", F.concat_ws("/", F.coalesce(F.col("key").cast("string"), F.lit("")), F.col("number").cast("string")))
     pages = pages.withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload"))
-    digests = pages.select("key", "digest", "bytes")
-    first = digests.where(F.col("bytes") >= min_revisit).groupBy("digest", "bytes").agg(F.max("key").alias("original"), F.count("*").alias("n")).where("n > 1")
-    revisits = digests.join(first, ["digest", "bytes"]).where("key <> original").select("key", "original")
-    pages = pages.join(revisits, "key", "left")
+    digests = pages.select("name", F.struct("key", "number", "name").alias("place"), "digest", "bytes")
+    first = digests.where(F.col("bytes") >= min_revisit).groupBy("digest", "bytes").agg(F.max("place").alias("original"), F.count("*").alias("n")).where("n > 1")
+    revisits = digests.join(first, ["digest", "bytes"]).where("name <> original.name").select("name", F.col("original.name").alias("original"))
+    pages = pages.join(revisits, "name", "left")
 
-    me = urn(F.col("key"), "response")
+    me = urn(F.col("name"), "response")
     uri = ("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", " "))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
@@ -80,21 +87,21 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     revisit = _record("revisit", [("WARC-Record-ID", me), uri, digest, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", urn(F.col("original"), "response")), kind], http)
     concurrent = ("WARC-Concurrent-To", me)
     ask = F.concat(F.lit("GET "), uri[1], F.lit(f" HTTP/1.1{END}"))
-    request = _record("request", [("WARC-Record-ID", urn(F.col("key"), "request")), uri, concurrent, ("Content-Type", F.lit("application/http; msgtype=request"))], ask)
-    metadata = _record("metadata", [("WARC-Record-ID", urn(F.col("key"), "metadata")), uri, concurrent, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("capture-key: "), F.col("key").cast("string"), F.lit("\r\n")))
+    request = _record("request", [("WARC-Record-ID", urn(F.col("name"), "request")), uri, concurrent, ("Content-Type", F.lit("application/http; msgtype=request"))], ask)
+    metadata = _record("metadata", [("WARC-Record-ID", urn(F.col("name"), "metadata")), uri, concurrent, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("capture-key: "), F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit("\r\n")))
     line = F.concat_ws(END, request, F.when(F.col("original").isNull(), response).otherwise(revisit), metadata)
-    pages.select(line.alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    pages.select(line.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", captures).text(path)
 
 
-def parse_archive(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers in lower case, block) of each record."""
-    at = 0
-    while (start := raw.find(b"WARC/", at)) >= 0:
-        end = raw.index(b"\r\n\r\n", start)
-        lines = raw[start:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        at = end + 4 + int(headers["content-length"])
-        yield headers, raw[end + 4 : at]
+def parse_archive(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers in lower case, block) of each record; what lies between records is passed over."""
+    while line := stream.readline():
+        if line.startswith(b"WARC/"):
+            headers = {}
+            while line := stream.readline().rstrip(b"\r\n"):
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                headers[name.lower()] = value.strip()
+            yield headers, stream.read(int(headers["content-length"]))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -102,6 +109,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     names = ("warc-record-id", "warc-type", "warc-concurrent-to", "warc-refers-to", "warc-target-uri", "warc-payload-digest")
     schema = pa.schema([*((n.split()[0], pa.string()) for n in RECORD.split(", ")[:7]), ("payload", pa.binary())])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -109,8 +117,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for given in batches:
             for content in given.column(0):
                 rows, size = [], 0
-                raw = content.as_py()
-                for headers, block in parse_archive(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                raw = io.BytesIO(content.as_buffer())
+                packed = raw.getbuffer()[:2] == b"\x1f\x8b"
+                for headers, block in parse_archive(gzip.GzipFile(fileobj=raw) if packed else raw):
                     head, payload = "", block
                     if headers.get("content-type", "").startswith("application/http"):
                         head, _, payload = (x if i else x.decode("latin-1") for i, x in enumerate(block.partition(b"\r\n\r\n")))
@@ -137,6 +146,8 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per page, out of the nested rows of its transactions: of the response and of its revisits the payload's size and
+    digest, of the metadata the key, of the request its line. Payloads are measured on reading, before assembly."""
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     records = read_archives(spark, path)
@@ -145,21 +156,22 @@ def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.when(F.col("record_type") == "metadata", F.regexp_extract(F.col("payload").cast("string"), r"capture-key: (-?\d+)", 1).try_cast("long"))
     read_back = F.col("record_type") == "response"  # of a response the payload itself is measured
     records = records.select(
-        "record_id", "record_type", "concurrent_to", "refers_to", "target_uri", key.alias("key"),
+        "record_id", "record_type", "concurrent_to", "refers_to", "target_uri", "http_head", key.alias("key"),
         F.when(read_back, F.octet_length("payload").cast("long")).otherwise(http_length).alias("payload_bytes"),
         F.when(read_back, base32_sha1(F.col("payload"))).otherwise(digest).alias("payload_digest"),
     )
-    captures = written(assemble(written(records, "warc-records")).select("record_id", F.col("metadata.key").alias("page_id"), "capture.payload_bytes", "capture.payload_digest", "capture.record_type", F.col("capture.refers_to").alias("original")), "warc-captures")
+    captures = written(assemble(written(records, "warc-records")), "warc-captures")
+    captures = captures.select("record_id", F.col("metadata.key").alias("page_id"), "capture.payload_bytes", "capture.payload_digest", "capture.record_type", F.col("capture.refers_to").alias("original"), F.col("request.http_head").alias("request_line"))
     originals = captures.where("record_type = 'response'").select(F.col("record_id").alias("original"), F.col("page_id").alias("refers_to"))
-    return captures.join(originals, "original", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return captures.join(originals, "original", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "request_line")
 
 
 OP2_SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
-d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, upper(sha1(b)) AS hex FROM p),
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, 'GET ' || regexp_replace(coalesce(url, ''), '[\\r\\n]+', ' ', 'g') || ' HTTP/1.1' AS request_line FROM pages),
+d AS (SELECT page_id, request_line, octet_length(b)::BIGINT AS payload_bytes, upper(sha1(b)) AS hex FROM p),
 w AS (SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS original FROM d),
 c AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> (15 - 5 * k)) & 31)::INT + 1, 1), '' ORDER BY i, k) AS payload_digest
   FROM (SELECT page_id, i, ('0x' || substr(hex, 5 * i + 1, 5))::BIGINT AS v FROM d, (SELECT unnest(range(8))::INT AS i)), (SELECT unnest(range(4))::INT AS k) GROUP BY page_id)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> original THEN original END AS refers_to FROM w JOIN c USING (page_id)
+  CASE WHEN page_id <> original THEN original END AS refers_to, request_line FROM w JOIN c USING (page_id)
 """

@@ -200,14 +200,18 @@ def test_token_files(spark, odd, none):
 
 def test_warc(spark):
     html = ["<p>a</p>", "<p>a</p>", None, "", "x\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc", "é" * 3000, "<p>a</p>"]
-    rows = [(i, None if i == 1 else f"http://h/{i}", h, "zz") for i, h in enumerate(html)] + [(None, "u", "h", "zz"), (6, "http://h/6", "<p>a</p>", "yy")]
-    pages, path = spark.createDataFrame(rows, "page_id long, url string, html string, digest string"), new_path(spark, "warc")
-    warc.write_archives(pages, path)
+    rows = [(i, None if i == 1 else f"http://h/{i}", h, "zz") for i, h in enumerate(html)] + [(None, "u", "h", "zz"), (None, "u", "<p>a</p>", "zz"), (6, "http://h/6", "<p>a</p>", "yy"), (6, "http://h/6", "<p>a</p>", "yy")]
+    pages, path = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").withColumns({c: F.lit(3) for c in CLASHES}), new_path(spark, "warc")
+    warc.write_archives(pages, path, captures=2)
     got = warc.assemble(warc.read_archives(spark, path)).collect()
-    assert len(got) == 7 and all(r.request is not None and r.metadata is not None for r in got)
+    assert len(got) == len(rows) == len({r.record_id for r in got}) and all(r.request is not None and r.metadata is not None for r in got)
+    key = lambda r: bytes(r.metadata.payload).decode().removeprefix("capture-key: ").strip()
+    assert Counter(map(key, got)) == Counter("" if k is None else str(k) for k, *_ in rows)
     revisits = [r for r in got if r.capture.record_type == "revisit"]
-    assert len(revisits) == 3 and len({r.capture.refers_to for r in revisits}) == 2
-    assert sorted(bytes(r.capture.payload).decode() for r in got if r.capture.record_type == "response") == sorted({h or "" for h in html})
+    responses = {r.record_id: r for r in got if r.capture.record_type == "response"}
+    assert len(revisits) == 6 and {key(responses[r.capture.refers_to]) for r in revisits} == {"3", "6"}
+    assert sorted(bytes(r.capture.payload).decode() for r in responses.values()) == sorted({h or "" for h in html} | {"h"})
+    assert {r.request.http_head for r in got} == {f"GET {u or ''} HTTP/1.1" for _, u, *_ in rows}
     empty = new_path(spark, "warc")
     warc.write_archives(pages.limit(0), empty)
     assert warc.read_archives(spark, empty).count() == 0
