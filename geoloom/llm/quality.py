@@ -50,6 +50,11 @@ def line_fails(line: Column) -> Column:
     )
 
 
+def passing(lines: Column) -> Column:
+    """The lines, each with a word, without those that fail a rule."""
+    return F.filter(lines, lambda line: ~line_fails(line))
+
+
 def clean_lines(docs: DataFrame, text: str = "text", into: str = "clean_text") -> DataFrame:
     """docs with the text of its lines that pass; lines without a word pass, null stays null."""
     word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
@@ -75,7 +80,7 @@ def quality(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         windows.alias("windows"),
         F.length(F.array_join("lines", "")).alias("line_chars"),
-        F.length(F.array_join(F.filter("lines", line_fails), "")).alias("lost_chars"),
+        F.length(F.array_join(passing(F.col("lines")), "")).alias("clean_chars"),
     )
     repeats = F.size("windows") > F.size(F.array_distinct("windows"))
     ordered = F.when(repeats, F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
@@ -86,7 +91,7 @@ def quality(docs: DataFrame) -> DataFrame:
     n_repeat = F.when(F.size("starts") > 0, F.aggregate(spread, F.lit(3).cast("long"), lambda n, x: n + x)).otherwise(F.lit(0).cast("long"))
     out = starts.withColumn("n_repeat_words", n_repeat)
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > F.col("n_words") * F.lit(MAX_REPEATS))
-    out = out.withColumn("base_failed", failed).withColumn("lost_share", F.when(F.col("line_chars") > 0, F.col("lost_chars") / F.col("line_chars")).otherwise(F.lit(0.0)))
+    out = out.withColumn("base_failed", failed).withColumn("lost_share", F.when(F.col("line_chars") > 0, (F.col("line_chars") - F.col("clean_chars")) / F.col("line_chars")).otherwise(F.lit(0.0)))
     kept = ~F.col("base_failed") & (F.col("lost_share") <= MAX_LOSS)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("lost_share", 6).alias("lost_share"))
 

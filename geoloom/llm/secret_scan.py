@@ -3,7 +3,8 @@
 Of each rule's expression a Boolean query of trigrams is derived (see trigrams). The index holds a posting (text, trigram)
 for every text and every trigram that some query names; a rule's conjunctions are intersected on it by one aggregation, and
 the rule's expression runs only over the texts that remain. Rules without mandatory trigrams (runs of hex digits) are
-matched against every text. Texts are named by a digest, so that copies share their postings and are verified once.
+matched against every text, in the same pass, and have a posting of their own. Texts are named by a digest: postings of
+copies meet in one group, copies are verified each, and one set of spans is kept for them.
 
 Spans come from the lengths of the pieces between matches, so matches are leftmost and do not overlap within a kind;
 matches below a rule's length are dropped after that. Positions are code points, ends are exclusive.
@@ -36,35 +37,52 @@ class Rule:
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = (Rule("assign", ASSIGN, 8, 2), Rule("access", r"AKIA[A-Z0-9]+", 16), Rule("hex", r"[0-9a-f]+", 32, prefilter="[0-9a-f]{32}"))
+#: Published forms of keys and tokens (fixed values).
 MORE = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]+", 40),
+    Rule("forge_fine", r"github_pat_[A-Za-z0-9_]+", 60),
+    Rule("forge_lab", r"glpat-[A-Za-z0-9_-]+", 26),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 20),
+    Rule("chat_hook", r"https://hooks\.slack\.com/services/[A-Za-z0-9/]+", 60),
+    Rule("chat_bot", r"[0-9]+:AA[A-Za-z0-9_-]+", 43, prefilter=r"[0-9]:AA[A-Za-z0-9_-]{30}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("age_key", r"AGE-SECRET-KEY-1[A-Z0-9]+", 74),
+    Rule("cloud_api", r"AIza[A-Za-z0-9_-]+", 39),
+    Rule("cloud_oauth", r"ya29\.[A-Za-z0-9_-]+", 30),
+    Rule("cloud_session", r"ASIA[A-Z0-9]+", 20),
+    Rule("cloud_account", r"AccountKey=[A-Za-z0-9+/=]+", 60),
+    Rule("cloud_droplet", r"do[por]_v1_[a-f0-9]+", 70),
+    Rule("pay", r"[sr]k_(?:live|test)_[A-Za-z0-9]+", 24),
+    Rule("shop", r"shp(?:at|ca|pa|ss)_[a-fA-F0-9]+", 38),
+    Rule("square", r"sq0(?:atp|csp)-[A-Za-z0-9_-]+", 29),
+    Rule("mail", r"SG\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 60),
+    Rule("mail_gun", r"key-[a-f0-9]+", 36),
+    Rule("package", r"npm_[A-Za-z0-9]+", 40),
+    Rule("package_index", r"pypi-AgE[A-Za-z0-9_-]+", 60),
+    Rule("model_hub", r"hf_[A-Za-z]+", 37),
+    Rule("vault", r"hvs\.[A-Za-z0-9_-]+", 28),
+    Rule("url_login", r"[a-z]+://[A-Za-z0-9_.-]+:[^\x20\x09-\x0D/@:\"'<>]+@[A-Za-z0-9.-]+", 12),
 )
 
 
-def postings(texts: DataFrame, grams: list[str]) -> DataFrame:
-    """(digest, gram) for the grams that occur in the texts, in either case."""
-    low = texts.select("digest", F.lower("text").alias("low"))
-    present = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams)))
-    return low.select("digest", F.explode(present).alias("gram"))
+def postings(texts: DataFrame, grams: list[str], others: dict[str, str]) -> DataFrame:
+    """(digest, gram) for the grams that occur in the texts, in either case; others: expressions that have a posting by name."""
+    low = texts.select("digest", "text", F.lower("text").alias("low"))
+    present = [F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams] + [F.when(F.col("text").rlike(x), F.lit(name)) for name, x in others.items()]
+    return low.select("digest", F.explode(F.array_compact(F.array(*present))).alias("gram"))
 
 
 def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(digest, kinds): the rules whose query a text's postings satisfy; rules without a query are matched themselves."""
-    spark, queries = texts.sparkSession, {r.kind: trigram_query(r.regex) for r in rules}
+    queries = {r.kind: trigram_query(r.regex) for r in rules}
+    alone = {f"rule {r.kind}": r.prefilter or r.regex for r in rules if queries[r.kind] is None}
     terms = [(kind, i, g, 1 << j, (1 << len(clause)) - 1) for kind, query in queries.items() for i, clause in enumerate(query or ()) for j, g in enumerate(sorted(clause))]
-    found = [texts.where(F.col("text").rlike(r.prefilter or r.regex)).select("digest", F.lit(r.kind).alias("kind")) for r in rules if queries[r.kind] is None]
-    if terms:
-        listed = spark.createDataFrame(terms, "kind string, clause int, gram string, bit long, full long")  # as long as the rules
-        grams = sorted({t[2] for t in terms})
-        met = postings(texts, grams).join(F.broadcast(listed), "gram").groupBy("digest", "kind", "clause").agg(F.bit_or("bit").alias("bits"), F.max("full").alias("full"))
-        found.append(met.where("bits = full").select("digest", "kind"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out.groupBy("digest").agg(F.collect_set("kind").alias("kinds"))
+    terms += [(r.kind, 0, f"rule {r.kind}", 1, 1) for r in rules if queries[r.kind] is None]
+    listed = texts.sparkSession.createDataFrame(terms, "kind string, clause int, gram string, bit long, full long")  # as long as the rules
+    grams = sorted({t[2] for t in terms} - set(alone))
+    met = postings(texts, grams, alone).join(F.broadcast(listed), "gram").groupBy("digest", "kind", "clause").agg(F.bit_or("bit").alias("bits"), F.max("full").alias("full"))
+    return met.where("bits = full").groupBy("digest").agg(F.collect_set("kind").alias("kinds"))
 
 
 def _matches(rule: Rule, order: int) -> Column:

@@ -7,6 +7,8 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -110,3 +112,132 @@ def gru_score(model, ids):
             out += w[int(model.pos[y])] - math.log(sum(map(math.exp, w)))
         before = y
     return out / math.log(10)
+
+
+def spark_hash(*values, seed=42):
+    """xxhash64 of long, int (as ("int", x)), string and null columns, as a signed number."""
+    import struct
+
+    import xxhash
+
+    for x in values:
+        if x is not None:
+            raw = x.encode() if isinstance(x, str) else struct.pack("<q", x) if isinstance(x, int) else struct.pack("<i", x[1])
+            seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (seed >> 63 << 64)
+
+
+def mixture(rows, block_tokens, most_blocks, seed, target_entropy=None, max_repeats=None, budget_share=1.0):
+    """rows (doc_id, text, source) -> how often each (doc_id, epoch) is taken, source by source and document by document."""
+    size = {i: len(words(t)) for i, t, _ in rows}
+    of = Counter()
+    for i, _, s in rows:
+        of[s] += size[i]
+    of = {s: n for s, n in of.items() if n}
+    total = sum(of.values())
+
+    def weights(a):
+        power = {s: (n / total) ** a for s, n in of.items()}
+        z = sum(power.values())
+        return {s: x / z for s, x in power.items()}
+
+    def too_flat(a):
+        w = weights(a)
+        over = max_repeats is not None and max(w[s] * total * budget_share / of[s] for s in of) > max_repeats * (1 + 1e-12)
+        return over or target_entropy is not None and len(of) > 1 and -sum(x * math.log(x) for x in w.values()) > target_entropy * math.log(len(of))
+
+    low, high = 0.0, 1.0
+    for _ in range(60 if too_flat(0.0) else 0):
+        mid = (low + high) / 2
+        low, high = (mid, high) if too_flat(mid) else (low, mid)
+    w, out = weights(high if too_flat(0.0) else 0.0), Counter()
+    for s, n in of.items():
+        budget = round(w[s] * total * budget_share)
+        epochs, rest = divmod(budget, n)
+        n_blocks = min(most_blocks, -(-n // block_tokens))
+        blocks = defaultdict(list)
+        for i, t, source in rows:
+            if source == s:
+                key = spark_hash(("int", seed), i, t)
+                blocks[spark_hash(key, ("int", 1)) % n_blocks].append((key, i))
+                for e in range(epochs):
+                    out[i, e] += 1
+        for b in sorted(blocks, key=lambda b: (spark_hash(b, ("int", seed)), b)):
+            for _, i in sorted(blocks[b]):
+                if rest > 0:
+                    out[i, epochs] += 1
+                    rest -= size[i]
+    return out
+
+
+def chunk_ends(data, gear, reach, most):
+    """Ends by the rule itself: hashes of the last 16 bytes, least within reach, the first of equal ones."""
+    h = [sum(int(gear[data[i - k]]) << k for k in range(min(16, i + 1))) % 2**16 for i in range(len(data))]
+    ends, last = [], 0
+    for i in range(len(data)):
+        near = h[max(0, i - reach) : i]
+        cut = i + 1 == len(data) or all(x > h[i] for x in near) and all(x >= h[i] for x in h[i + 1 : i + 1 + reach])
+        if cut:
+            ends += [*range(last + most, i + 1, most), i + 1]
+            last = i + 1
+    return ends
+
+
+def spans(rows, gear, reach, most, least):
+    """(doc_id, text) -> {(doc_id, start, stop, n_chunks, first_doc)} of the chunks that two documents hold."""
+    pieces, at = {}, defaultdict(set)
+    for key, text in rows:
+        raw, start = (text or "").encode(), 0
+        pieces[key] = []
+        for end in chunk_ends(raw, gear, reach, most):
+            pieces[key].append((raw[start:end], start, end))
+            at[raw[start:end]].add(key)
+            start = end
+    out = set()
+    for key, text in rows:
+        raw, run = (text or "").encode(), []
+        for piece, start, end in [*pieces[key], (None, 0, 0)]:
+            if piece is not None and len(at[piece]) > 1:
+                run.append((piece, start, end))
+                continue
+            if run:
+                a, b = (sum((x & 0xC0) != 0x80 for x in raw[:i]) for i in (run[0][1], run[-1][2]))
+                if b - a >= least:
+                    out.add((key, a, b, len(run), min(min(at[p]) for p, _, _ in run)))
+            run = []
+    return out
+
+
+def chain(rows, vocabulary, categories, ridge, iterations):
+    """rows (words, fold, labels by category) -> for each category the weights on words, earlier probabilities and bias, and
+    the out-of-fold probabilities, by accelerated gradient steps in double precision."""
+    folds = sorted({f for _, f, _ in rows})
+    x = [[math.log1p(w.count(v)) for v in vocabulary] for w, _, _ in rows]
+    weights, before = {}, [[] for _ in rows]
+
+    def fit(z, y):
+        z, y = np.array(z), np.array(y)
+        if y.min() == y.max():
+            return np.append(np.zeros(z.shape[1]), 40.0 if y[0] else -40.0)
+        scale = np.sqrt((z**2).mean(0)).clip(1e-6)
+        z = np.column_stack([z / scale, np.ones(len(z))])
+        step = 1 / (0.25 * np.linalg.eigvalsh(z.T @ z / len(z))[-1] * 1.05 + ridge)
+        w = look = np.zeros(z.shape[1])
+        for i in range(iterations):
+            p = 1 / (1 + np.exp(-z @ look))
+            new = look - step * (z.T @ (p - y) / len(y) + ridge * np.append(look[:-1], 0))
+            look, w = new + i / (i + 3) * (new - w), new
+        return np.append(w[:-1] / scale, w[-1])
+
+    for name in categories:
+        z, y = [a + b for a, b in zip(x, before, strict=True)], [labels[name] for _, _, labels in rows]
+        weights[name] = fit(z, y)
+        p = [0.0] * len(rows)
+        for f in folds:
+            inside = [i for i, r in enumerate(rows) if r[1] != f]
+            w = fit([z[i] for i in inside], [y[i] for i in inside])
+            for i, r in enumerate(rows):
+                if r[1] == f:
+                    p[i] = float(1 / (1 + math.exp(-(np.dot(w[:-1], z[i]) + w[-1]))))
+        before = [b + [q] for b, q in zip(before, p, strict=True)]
+    return weights

@@ -145,6 +145,21 @@ def test_secrets_overlap(spark):
         assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == brute.secrets(texts[r.doc_id])[:4]
 
 
+def test_more_rules_through_the_index(spark):
+    """A text for each rule is found through its trigrams, as by matching every rule against every text."""
+    import re
+
+    made = {"forge": "ghp_" + "a1" * 20, "forge_fine": "github_pat_" + "a1" * 30, "forge_lab": "glpat-" + "a1" * 10, "chat": "xoxb-" + "1a" * 10, "chat_hook": "https://hooks.slack.com/services/" + "T0/" * 12, "chat_bot": "123456789:AA" + "b2" * 20, "jwt": "eyJ" + "a1" * 10 + "." + "b2" * 10 + "." + "c3" * 10, "private_key": "-----BEGIN RSA PRIVATE KEY-----", "age_key": "AGE-SECRET-KEY-1" + "Q2" * 29, "cloud_api": "AIza" + "b1" * 18, "cloud_oauth": "ya29." + "b1" * 15, "cloud_session": "ASIA" + "B1" * 8, "cloud_account": "AccountKey=" + "b1" * 30, "cloud_droplet": "dop_v1_" + "b1" * 32, "pay": "sk_live_" + "b1" * 12, "shop": "shpat_" + "b1" * 16, "square": "sq0atp-" + "b1" * 11, "mail": "SG." + "b1" * 15 + "." + "c1" * 15, "mail_gun": "key-" + "b1" * 16, "package": "npm_" + "b1" * 18, "package_index": "pypi-AgE" + "b1" * 30, "model_hub": "hf_" + "bC" * 18, "vault": "hvs." + "b1" * 12, "url_login": "ftp://me:pass1@host.org"}
+    assert set(made) == {r.kind for r in secret_scan.MORE} and len(secret_scan.BASE + secret_scan.MORE) > 20
+    texts = [f"x {t} y" for t in made.values()] + [t[:9] for t in made.values()]
+    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    rules = secret_scan.BASE + secret_scan.MORE
+    for i, t in enumerate(texts):
+        found = [(m.start(), k, f"{r.kind}:{m.start()}:{m.end()}") for k, r in enumerate(rules) for m in re.finditer(r.regex, t) if len(m[r.group]) >= r.at_least]
+        assert got[i] == ",".join(x for _, _, x in sorted(found))
+        assert i >= len(made) or f"{list(made)[i]}:" in got[i]
+
+
 def test_trigram_queries():
     assert trigrams.trigram_query("[0-9a-f]+") is None
     assert trigrams.trigram_query("abc") == [frozenset({"abc"})]
@@ -230,6 +245,15 @@ def test_chunks_resist_insertions():
         assert int(h[i]) == sum(int(substring_dedup.GEAR[data[i - k]]) << k for k in range(min(16, i + 1))) % 2**16
 
 
+def test_spans_chunk_by_chunk(spark):
+    rng = random.Random(19)
+    shared = [prose(rng, n) for n in (20, 40, 60)]
+    rows = [(i, f"{prose(rng, rng.randint(5, 60))} {shared[i % 3] if i % 4 else ''} é {prose(rng, 10)} {shared[i % 2] if i % 5 == 0 else ''}") for i in range(40)] + [(90, None), (91, ""), (92, "a" * 3000), (93, "a" * 3000)]
+    for least in (1, substring_dedup.MIN_CHARS):
+        got = {(r.doc_id, r.start, r.stop, r.n_chunks, r.first_doc) for r in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()}
+        assert got == brute.spans(rows, substring_dedup.GEAR, substring_dedup.REACH, substring_dedup.MOST, least)
+
+
 def test_repeated_passages(spark, odd, none):
     rng = random.Random(4)
     passage = prose(rng, 55)
@@ -282,6 +306,30 @@ def test_toxicity(spark, odd, none):
     assert toxicity.keep_clean(odd, blank).count() == odd.count()
 
 
+def test_toxicity_chain_step_by_step(spark):
+    """200 documents: the chain's weights and probabilities against plain gradient steps over the same words and folds."""
+    rng = random.Random(17)
+    rows, labels = [], []
+    for i in range(200):
+        toxic, low = rng.random() < 0.3, rng.random() < 0.3
+        rows.append((i, prose(rng, 20) + " vile" * (toxic and rng.random() < 0.9) + " rude" * (rng.random() < (0.6 if toxic else 0.1)) + " junk" * (low and rng.random() < 0.9)))
+        labels.append((i, int(not low), int(toxic)))
+    df, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    chain = toxicity.train(df, y)
+    vocabulary = list(chain.index)
+    assert {b"vile", b"rude", b"junk"} <= set(vocabulary)
+    sample = toxicity.labelled(df, y).collect()
+    assert len(sample) == 200 and {r.fold for r in sample} == {0, 1, 2}
+    plain = [(r.text.lower().replace(".", " ").split(), r.fold, {c: int(r[f"y_{c}"]) for c in toxicity.CATEGORIES}) for r in sample]
+    want = brute.chain(plain, [w.decode() for w in vocabulary], list(toxicity.CATEGORIES), toxicity.RIDGE, toxicity.ITERATIONS)
+    got = {r.doc_id: r for r in toxicity.score(df, chain).collect()}
+    for (w, _, _), r in zip(plain, sample, strict=True):
+        x, p = [math.log1p(w.count(v.decode())) for v in vocabulary], []
+        for c in toxicity.CATEGORIES:
+            p.append(1 / (1 + math.exp(-(np.dot(want[c][:-1], x + p) + want[c][-1]))))
+        assert [got[r.doc_id].p_low_quality, got[r.doc_id].p_toxic] == pytest.approx(p, abs=0.01)
+
+
 def test_logistic_fit():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 3))
@@ -290,6 +338,14 @@ def test_logistic_fit():
     assert w == pytest.approx([2, -1, 0, 0.5], abs=0.25)
 
 
+@pytest.mark.parametrize("target", [{"target_entropy": 0.9, "max_repeats": 4.0}, {"max_repeats": 2.0}, {"max_repeats": 1.0, "budget_share": 0.9}, {}])
+def test_mixing_row_by_row(spark, target):
+    rng = random.Random(23)
+    rows = [(i, prose(rng, rng.randint(1, 60)) if i % 17 else None, f"s{min(int(rng.expovariate(0.9)), 4)}" if i % 31 else None) for i in range(500)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_tokens=250, **target)
+    assert Counter((r.doc_id, r.mix_epoch) for r in got.collect()) == brute.mixture(rows, 250, mixing.MOST_BLOCKS, mixing.SEED, **target)
+
+
 def test_mixing(spark, odd, none):
     rng = random.Random(1)
     rows = [(i, prose(rng, rng.randint(1, 80)), f"s{min(int(rng.expovariate(1)), 5)}", "x", 3) for i in range(600)]
