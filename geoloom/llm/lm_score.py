@@ -8,7 +8,7 @@
 3. Every document is turned into the model's ids once; the table of ids is written, and later steps read no texts.
 4. Training documents are dealt by hashes to ROUNDS rounds and to shards of about SHARD_TOKENS tokens (over all rounds). In a
    round each shard trains a copy of the model so far on its documents, in an order by hash, by truncated backpropagation,
-   and the copies are averaged by weight of their tokens, as sums over the weights' places. Every training document is read
+   and the copies are averaged by weight of their tokens, as sums of blocks of weights. Every training document is read
    in one round. Shards follow from the data alone, so the model does not depend on how tasks split it.
 5. Every document is scored whole: the model gives each word's probability, and that of a tail word is the tail's times
    its add-one share of the tail, (c + 1) / (N_tail + V_tail + 1). The same counts give the base score.
@@ -24,12 +24,14 @@ one without training documents, gives N = 0 and scores from an untrained model;
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,8 @@ SHARDS = 4  # at least
 ROUNDS = 4
 #: A task trains on so many tokens at a time, whatever its shard's size.
 AT_ONCE = 1 << 20
+#: Weights that are added up together.
+BLOCK = 1 << 13
 END = b""
 
 
@@ -168,9 +172,9 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in arrays])), pa.int32()), pa.array(flat, pa.int32()))
 
 
-def _train_round(dealt: DataFrame, shape) -> DataFrame:
-    """dealt (shard, ids), a shard in one task and in order -> place, value: by place, the sum of the copies' weights by tokens,
-    and last the sum of the tokens. shape: a broadcast of the model's counts, tail and weights so far."""
+def _train_round(dealt: DataFrame, shape, tasks: int) -> DataFrame:
+    """dealt (shard, ids), a shard in one of the tasks and in order -> block, part, sums: the sum of the copies' weights by tokens,
+    and last that of the tokens, in blocks, added up in two steps. shape: a broadcast of the model's counts, tail and weights so far."""
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,11 +216,18 @@ def _train_round(dealt: DataFrame, shape) -> DataFrame:
         finish()
         if tokens_of_all:
             values = np.append(total, tokens_of_all)
-            for i in range(0, len(values), 100_000):
-                some = values[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(some))), pa.array(some)], names=["place", "value"])
+            ends = np.append(np.arange(0, len(values), BLOCK), len(values))
+            some = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+            part = TaskContext.get().partitionId() % math.isqrt(tasks)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(some), dtype=np.int32)), pa.array(np.full(len(some), part, np.int32)), some], names=["block", "part", "sums"])
 
-    return dealt.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    kind = "block int, part int, sums array<double>"
+    return dealt.mapInArrow(run, kind).groupBy("block", "part").applyInArrow(_added, kind).groupBy("block").applyInArrow(_added, kind)
+
+
+def _added(rows: pa.Table) -> pa.Table:  # rows of one block, of at most about the square root of the tasks
+    sums = rows["sums"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).sum(0)
+    return rows.slice(0, 1).drop_columns(["sums"]).append_column("sums", pa.array([sums], pa.list_(pa.float64())))
 
 
 def train(table_of_ids: DataFrame, words: Words, total: int) -> np.ndarray | None:
@@ -229,10 +240,9 @@ def train(table_of_ids: DataFrame, words: Words, total: int) -> np.ndarray | Non
     for turn in range(ROUNDS if total else 0):
         shape = spark.sparkContext.broadcast((words.counts[: words.k], words.tail, vector))
         mine = training.where(F.col("round") == turn).repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "place").select("shard", "ids")
-        sums = _train_round(mine, shape).toArrow()  # as many rows as the model has weights
+        sums = _train_round(mine, shape, tasks).toArrow().sort_by("block")  # no more values than the model has
         if sums.num_rows:
-            values = np.empty(sums.num_rows)
-            values[sums["place"].to_numpy()] = sums["value"].to_numpy()
+            values = sums["sums"].combine_chunks().flatten().to_numpy()
             vector = values[:-1] / values[-1]
         shape.destroy()
     return vector
