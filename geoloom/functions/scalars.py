@@ -108,9 +108,9 @@ def rectangle_km2(west: Column, south: Column, east: Column, north: Column) -> C
 
 
 def human_bytes(n: Column) -> Column:
-    out = F.format_string("%.1f TB", n / 1e12)
-    for unit, size in (("GB", 1e9), ("MB", 1e6), ("KB", 1e3), ("B", 1.0)):
-        out = F.when(n < size * 1000, F.format_string(f"%.1f {unit}", n / size)).otherwise(out)
+    out = F.format_string("%.1f TB", n / F.lit(2.0**40))
+    for unit, size in (("GB", 2.0**30), ("MB", 2.0**20), ("KB", 2.0**10), ("B", 1.0)):
+        out = F.when(n < size * 1024, F.format_string(f"%.1f {unit}", n / F.lit(size))).otherwise(out)
     return out
 
 

@@ -20,6 +20,22 @@ def at_rank(df: DataFrame, value: str, rank: Column, *by: str) -> DataFrame:
     return run.where(F.col("upto") > rank).groupBy(*by).agg(F.min(value).alias(value))
 
 
+def percentiles(df: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
+    """by, and under each name the value at that share of the ordering, between two values in proportion; as at_rank, no group
+    is gathered, only running counts of its distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by).orderBy(value)
+    run = counts.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    found = []
+    for name, p in shares.items():
+        place = F.lit(p) * (F.col("_n") - 1)
+        for end, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
+            found.append(F.min(F.when(F.col("_upto") > rank, F.col(value))).alias(f"_{name}_{end}"))
+        found.append(F.any_value(place - F.floor(place)).alias(f"_{name}_part"))
+    out = run.groupBy(*by).agg(*found)
+    return out.select(*by, *((F.col(f"_{k}_low") + (F.col(f"_{k}_high") - F.col(f"_{k}_low")) * F.col(f"_{k}_part")).alias(k) for k in shares))
+
+
 def upper_median(df: DataFrame, value: str, *by: str) -> DataFrame:
     return at_rank(df, value, F.floor(F.col("n") / 2), *by)
 

@@ -10,18 +10,23 @@ from geoloom.operators.vectors import cosine
 
 
 def neighbours(vecs: DataFrame, queries: Column, relevance: int = 3) -> DataFrame:
-    """query_id, entity_id, rel, k: all vectors in order of cosine for each query of a stated set; the queries are few and
-    sent to the vectors. A neighbour with the query's label is relevant."""
+    """query_id, entity_id, rel, cosine: all vectors for each query of a stated set, unordered. A neighbour with the query's
+    label is relevant."""
     q = vecs.where(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
     pairs = vecs.join(q, F.col("vec_id") != F.col("query_id"))
-    pairs = pairs.select("query_id", "entity_id", (F.col("label") == F.col("q_label")).cast("int").alias("hit"), F.round(cosine("embedding", "q"), 9).alias("cosine"))
-    k = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "entity_id"))
-    return pairs.select("query_id", "entity_id", (F.col("hit") * relevance).alias("rel"), k.alias("k"))
+    hit = (F.col("label") == F.col("q_label")).cast("int")
+    return pairs.select("query_id", "entity_id", (hit * relevance).alias("rel"), F.round(cosine("embedding", "q"), 9).alias("cosine"))
+
+
+def first(judged: DataFrame, k: int) -> DataFrame:
+    """The first k neighbours of each query with their rank k; tasks keep k of each before the shuffle."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "entity_id")
+    return judged.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k)
 
 
 def ndcg(judged: DataFrame, k: int) -> DataFrame:
     """query_id, ndcg at k; 1 where nothing is relevant. The ideal order follows from counts of each relevance."""
-    dcg = judged.where(F.col("k") <= k).groupBy("query_id").agg(F.sum(gain(F.col("rel"), F.col("k"))).alias("dcg"))
+    dcg = first(judged, k).groupBy("query_id").agg(F.sum(gain(F.col("rel"), F.col("k"))).alias("dcg"))
     best = judged.groupBy("query_id", "rel").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("rel")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     best = best.withColumn("from", before).where(F.col("from") < k)
@@ -31,6 +36,11 @@ def ndcg(judged: DataFrame, k: int) -> DataFrame:
 
 
 def recall(judged: DataFrame, k: int) -> DataFrame:
-    """query_id, recall at k, and the rank of the first hit."""
-    hit = F.col("rel") > 0
-    return judged.groupBy("query_id").agg((F.count_if(hit & (F.col("k") <= k)) / F.greatest(F.lit(1), F.count_if(hit))).alias("recall"), F.min(F.when(hit, F.col("k"))).alias("first_hit"))
+    """query_id, recall at k, and the rank of the first hit: one more than the neighbours before the nearest relevant one."""
+    hit, place = F.col("rel") > 0, F.struct((-F.col("cosine")).alias("c"), F.col("entity_id"))
+    hits = judged.groupBy("query_id").agg(F.count_if(hit).alias("hits"), F.min(F.when(hit, place)).alias("nearest"))
+    found = first(judged, k).groupBy("query_id").agg(F.count_if(hit).alias("found"))
+    ahead = judged.join(hits.select("query_id", "nearest"), "query_id").where(place < F.col("nearest")).groupBy("query_id").agg(F.count("*").alias("ahead"))
+    out = hits.join(found, "query_id").join(ahead, "query_id", "left")
+    rank = F.when(F.col("hits") > 0, F.coalesce("ahead", F.lit(0)) + 1)
+    return out.select("query_id", (F.col("found") / F.greatest(F.lit(1), F.col("hits"))).alias("recall"), rank.alias("first_hit"))

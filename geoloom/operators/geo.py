@@ -14,8 +14,13 @@ METRES_PER_DEGREE = 111_195.08  # on the sphere of functions.scalars.EARTH_M
 CELL = 0.01
 
 
+def wrapped(dlon: Column) -> Column:
+    """A difference of longitudes by the shorter way round."""
+    return F.when(dlon > 180, dlon - 360).when(dlon < -180, dlon + 360).otherwise(dlon)
+
+
 def metres_x(dlon: Column, lat: Column) -> Column:
-    return dlon * F.cos(F.radians(lat)) * METRES_PER_DEGREE
+    return wrapped(dlon) * F.cos(F.radians(lat)) * METRES_PER_DEGREE
 
 
 def segment_distance_m(lon: Column, lat: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -47,11 +52,19 @@ def in_polygon(lon: Column, lat: Column, ring: list[tuple[float, float]]) -> Col
 def near_pairs(points: DataFrame, segments: DataFrame, distance_m: float, size: float = CELL) -> DataFrame:
     """points (.., lon, lat) with each segment (ref_id, x1, y1, x2, y2) within distance_m: adds ref_id, distance_m."""
     reach = distance_m / METRES_PER_DEGREE
-    # a degree of longitude is shorter; 2 covers latitudes up to 60 degrees
-    span = lambda a, b, r: F.sequence(cell(F.least(a, b) - r, size), cell(F.greatest(a, b) + r, size))
-    at = segments.select("ref_id", "x1", "y1", "x2", "y2", F.explode(span("x1", "x2", 2 * reach)).alias("cx"), "*").select("ref_id", "x1", "y1", "x2", "y2", "cx")
-    at = at.withColumn("cy", F.explode(span("y1", "y2", reach)))
-    here = points.withColumns({"cx": cell(F.col("lon"), size), "cy": cell(F.col("lat"), size)})
+    # a degree of longitude is shorter by the cosine of the latitude that is farthest from the equator within reach; a segment
+    # over the antimeridian starts at its eastern longitude and ends past 180 degrees, and cells count round the globe
+    far = F.least(F.greatest(F.abs("y1"), F.abs("y2")) + reach, F.lit(89.9))
+    wide = F.least(F.lit(reach) / F.cos(F.radians(far)), F.lit(180.0))
+    across = F.abs(F.col("x1") - F.col("x2")) > 180
+    west = F.when(across, F.greatest("x1", "x2")).otherwise(F.least("x1", "x2"))
+    east = F.when(across, F.least("x1", "x2") + 360).otherwise(F.greatest("x1", "x2"))
+    around = round(360 / size)
+    span = lambda a, b, r: F.sequence(cell(a - r, size), cell(b + r, size))
+    column = lambda x: F.pmod(x, F.lit(around))
+    at = segments.select("ref_id", "x1", "y1", "x2", "y2", F.explode(F.array_distinct(F.transform(span(west, east, wide), column))).alias("cx"))
+    at = at.withColumn("cy", F.explode(span(F.least("y1", "y2"), F.greatest("y1", "y2"), F.lit(reach))))
+    here = points.withColumns({"cx": column(cell(F.col("lon"), size)), "cy": cell(F.col("lat"), size)})
     d = segment_distance_m(*(F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2")))
     return here.join(at, ["cx", "cy"]).withColumn("distance_m", d).where(F.col("distance_m") <= distance_m).drop("cx", "cy", "x1", "y1", "x2", "y2")
 

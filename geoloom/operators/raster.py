@@ -35,3 +35,20 @@ def histogram_match(source: DataFrame, value: str, target: DataFrame, target_val
     w = Window.orderBy(F.desc("at"), F.col("t").isNull(), F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     filled = both.withColumn("matched", F.last("t", ignorenulls=True).over(w)).where("_v IS NOT NULL").select("_v", "matched")
     return source.join(filled, F.col(value) == F.col("_v")).drop("_v")
+
+
+def grids(pixels: DataFrame, key: str, row: str = "row_no", col: str = "col_no") -> DataFrame:
+    """The grid that the pixels of each key span: its corners, and how many pixels there are."""
+    corners = (F.min(row).alias("top"), F.min(col).alias("left"), F.max(row).alias("bottom"), F.max(col).alias("right"))
+    return pixels.groupBy(key).agg(*corners, F.count("*").alias("pixels"))
+
+
+def conformance(one: DataFrame, two: DataFrame, key: str, name: str, other: str) -> DataFrame:
+    """Whether two grids of a key start at the same pixel, and are the same; a key that has one of them conforms to nothing."""
+    at = F.struct("top", "left", "bottom", "right")
+    one = one.select(key, at.alias("g"), F.col("pixels").alias(f"{name}_pixels"))
+    two = two.select(key, at.alias("h"), F.col("pixels").alias(f"{other}_pixels"))
+    both = one.join(two, key, "full")
+    origin = F.coalesce((F.col("g.top") == F.col("h.top")) & (F.col("g.left") == F.col("h.left")), F.lit(False))
+    count = lambda x: F.coalesce(f"{x}_pixels", F.lit(0)).alias(f"{x}_pixels")
+    return both.select(key, count(name), count(other), origin.alias("same_origin"), F.coalesce(F.col("g") == F.col("h"), F.lit(False)).alias("conforms"))

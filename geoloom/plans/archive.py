@@ -9,6 +9,7 @@ from geoloom.operators import aggregates as A
 from geoloom.operators import discovery, temporal, vectors
 from geoloom.plans.dsl import Plan, execute
 from geoloom.plans.registry import query
+from geoloom.plans.sets import DIST
 from geoloom.sources import sinks
 
 COS = "round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / ((sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) + 1e-7) * (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) + 1e-7)), 9)"
@@ -76,10 +77,10 @@ def _(a):
     return model.transform(x).select("entity_id", F.round(vectors.norm(vector_to_array("y")), 6).alias("length"))
 
 
-@query("a23_cosine_spread", f"SELECT v.label, round(max({COS}) - min({COS}), 6) AS spread FROM vectors v JOIN vectors q ON v.label = q.label AND v.vec_id < q.vec_id WHERE v.vec_id < 200 AND q.vec_id < 200 GROUP BY v.label")
+@query("a23_cosine_spread", f"SELECT v.label, round(max(round({COS}, 9)) - min(round({COS}, 9)), 6) AS spread FROM vectors v JOIN vectors q ON v.label = q.label AND v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0 GROUP BY v.label")
 def _(a):
-    v = a.vectors.where("vec_id < 200")  # a spot check of encoders: 200 vectors
-    pairs = v.alias("v").join(v.alias("q"), (F.col("v.label") == F.col("q.label")) & (F.col("v.vec_id") < F.col("q.vec_id")))
+    """How far the cosines within a label spread: a stated set of queries against all vectors of their label."""
+    pairs = a.vectors.alias("v").join(a.vectors.where("vec_id % 100 = 0").alias("q"), (F.col("v.label") == F.col("q.label")) & (F.col("v.vec_id") != F.col("q.vec_id")))
     c = F.round(vectors.cosine("v.embedding", "q.embedding"), 9)
     return pairs.groupBy("v.label").agg(F.round(F.max(c) - F.min(c), 6).alias("spread"))
 
@@ -156,9 +157,13 @@ def _(a):
     return execute(a.entities, a.vectors, PLAN, _query_vector(a)).select("rank", "entity_id", "final", "gates_passed", "fused")
 
 
-@query("qe_spatial_search", None)
+IN_REACH = RANKED.replace("AND river_distance_m <= 1500", f"AND entity_id IN (SELECT entity_id FROM {DIST} WHERE layer = 'ref_water' AND d <= 1500)")
+
+
+@query("qe_spatial_search", f"""WITH {IN_REACH}, o AS (SELECT *, row_number() OVER (ORDER BY final DESC, cosine DESC, entity_id) AS rank, ((vf >= 0.8)::INT + (rp <= 0.5)::INT + 1 + (zo >= 2)::INT + (zs >= 2)::INT) AS gates_passed FROM s JOIN (SELECT entity_id, entity_type, change_type FROM entities) USING (entity_id))
+SELECT rank, entity_id, final, gates_passed, CASE WHEN rank <= 5 THEN printf('%s: %s changed by %s, optical z = %.2f, %d of 5 gates', entity_id, entity_type, change_type, zo, gates_passed) END AS explanation FROM o WHERE rank <= 20""")
 def _(a):
-    """The same plan through the spatial join in place of cached distances (checked in tests)."""
+    """The same plan through the spatial join in place of cached distances."""
     return execute(a.entities, a.vectors, PLAN, _query_vector(a), a.segments).select("rank", "entity_id", "final", "gates_passed", "explanation")
 
 
@@ -168,15 +173,17 @@ def _(a):
     return a.entities.agg(F.count("*").alias("archive"), F.count_if(kind).alias("by_type"), F.count_if(kind & sure).alias("by_confidence"), F.count_if(kind & sure & near).alias("by_distance"))
 
 
-@query("qc_graph_summary", "SELECT count(*) AS edges, count(DISTINCT r.entity_id) AS distinct_targets, min(abs(date_diff('day', l.first_seen, r.first_seen))) AS closest FROM entities l JOIN entities r ON l.entity_id < r.entity_id AND abs(date_diff('day', l.first_seen, r.first_seen)) <= 3")
+@query("qc_graph_summary", "SELECT count(*) AS edges, count(DISTINCT r.entity_id) AS distinct_targets, min(abs(date_diff('day', l.first_seen, r.first_seen))) AS closest FROM entities l JOIN entities r ON l.entity_id < r.entity_id AND abs(date_diff('day', l.first_seen, r.first_seen)) <= 21")
 def _(a):
-    return discovery.co_change_edges(a.entities, 3).agg(F.count("*").alias("edges"), F.count_distinct("target").alias("distinct_targets"), F.min("days").alias("closest"))
+    return discovery.graph_summary(a.entities, 21)
 
 
-@query("qc_clusters", None)
+@query("qc_clusters", """WITH RECURSIVE d AS (SELECT first_seen AS d, count(*) AS n, min(entity_id) AS first FROM entities WHERE first_seen IS NOT NULL GROUP BY ALL),
+r AS (SELECT d AS v, d AS u FROM d UNION SELECT r.v, d.d FROM r JOIN d ON abs(date_diff('day', r.u, d.d)) <= 1),
+c AS (SELECT v, min(u) AS root FROM r GROUP BY v) SELECT min(first) AS component, sum(n)::BIGINT AS n FROM d JOIN c ON c.v = d.d GROUP BY root HAVING sum(n) > 1""")
 def _(a):
-    """Connected components of the co-change graph of one day (checked in tests)."""
-    return discovery.connected(discovery.co_change_edges(a.entities, 1), "source", "target").groupBy("component").agg(F.count("*").alias("n"))
+    """Connected parts of the co-change graph of one day."""
+    return discovery.co_change_clusters(a.entities, 1)
 
 
 @query("a15_t08_ndcg", f"""WITH h AS (SELECT q.vec_id AS query_id, v.entity_id, (v.label = q.label)::INT * 3 AS rel, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, v.entity_id) AS k FROM vectors q JOIN vectors v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
@@ -223,11 +230,18 @@ def _(a):
     return sinks.only_new(a.audit.where("log_id % 2 = 0"), a.audit.where("log_id % 5 = 0"), "log_id").select("log_id", "actor")
 
 
-@query("w11_w10_hash_chain", None)
+ENTRY = """sha256('{{"action":"' || action || '","actor":"' || n.actor || '","entity_id":"' || entity_id || '","log_id":' || log_id || ',"payload":"' || replace(payload, '"', chr(92) || '"') || '","prev_hash":"' || {} || '"}}')"""
+
+
+@query("w11_w10_hash_chain", f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY log_id) AS k FROM audit),
+h AS (SELECT actor, k, {ENTRY.format("repeat('0', 64)")} AS hash FROM n WHERE k = 1 UNION ALL SELECT n.actor, n.k, {ENTRY.format("h.hash")} FROM h JOIN n ON n.actor = h.actor AND n.k = h.k + 1)
+SELECT actor, count(*) AS entries, count(*) AS linked, count(*) AS intact, arg_max(hash, k) AS last_hash FROM h GROUP BY actor""")
 def _(a):
-    """A chain for each actor, then its verification (checked in tests): entries, links and hashes that hold."""
+    """A chain for each actor, then its verification: entries, links and hashes that hold, and the last hash."""
     ledger = sinks.chained(a.audit, chain="actor")
-    return sinks.verify_chain(ledger, "actor").groupBy("actor").agg(F.count("*").alias("entries"), F.count_if(F.col("linked")).alias("linked"), F.count_if(F.col("intact")).alias("intact"))
+    last = ledger.groupBy("actor").agg(F.max_by("entry_hash", "log_id").alias("last_hash"))
+    checked = sinks.verify_chain(ledger, "actor").groupBy("actor").agg(F.count("*").alias("entries"), F.count_if(F.col("linked")).alias("linked"), F.count_if(F.col("intact")).alias("intact"))
+    return checked.join(last, "actor")
 
 
 @query("f19_verdict_history", "SELECT entity_id, actor, action, log_id FROM audit WHERE entity_id = 'ENT_000007'")

@@ -109,8 +109,7 @@ def execute(entities: DataFrame, vecs: DataFrame, plan: Plan, query: DataFrame,
     """The plan's results in rank order. query: one row with the vector q. Vectors are narrowed to the first stage before
     they are compared, and explanations are made for the first explain_top ranks only."""
     first = stage_one(entities, plan, segments)
-    hits = vectors.top_k(vecs.join(first.select("entity_id"), "entity_id", "left_semi").select("entity_id", "embedding"), query, k)
-    rows = with_defaults(first.join(F.broadcast(hits.select("entity_id", "cosine")), "entity_id"))  # k rows
+    rows = with_defaults(vectors.top_k(first.join(vecs.select("entity_id", "embedding"), "entity_id"), query, k).drop("embedding"))
     c = F.col
     distance = c(DISTANCES.get(plan.relation or "near_water", "river_distance_m"))
     gates = S.gates(c("valid_fraction"), c("registration_residual_px"), F.lit(True), c("optical_z"), c("sar_z"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoloom.engine import Engine
-from geoloom.operators import geo
+from geoloom.operators import geo, raster
 from geoloom.operators.lineage import scratch
 from geoloom.plans.archive import COS
 from geoloom.plans.registry import query
 
+
 @query("g03_g07_polygons", """SELECT entity_id, round(w * h * 1e6, 6) AS area, round(lon + w / 2, 9) AS cx, round(lat + h / 2, 9) AS cy, CASE WHEN w >= h THEN 0.0 ELSE 90.0 END AS orientation, true AS closed
 FROM (SELECT entity_id, lon, lat, 0.001e0 + (vec_id % 7) / 10000e0 AS w, 0.001e0 + (vec_id % 5) / 10000e0 AS h FROM entities)""")
 def _(a):
@@ -21,21 +22,22 @@ def _(a):
     return e.select("entity_id", F.round(F.abs(geo.ring_area("ring")) * 1e6, 6).alias("area"), *(F.round(c, 9).alias(n) for n, c in zip(("cx", "cy"), geo.ring_centroid("ring"), strict=True)), geo.ring_orientation("ring").alias("orientation"), geo.ring_closed("ring").alias("closed"))
 
 
-@query("r08_grid_conformance", "SELECT l.cell, count(*) AS n, bool_and(abs(l.value - r.value) < 1e-6) AS same FROM (SELECT cell, l_orderkey, l_linenumber, value FROM pixels) l JOIN (SELECT l_orderkey, l_linenumber, value * 1.0 AS value FROM pixels) r USING (l_orderkey, l_linenumber) WHERE l.cell % 10 = 0 GROUP BY l.cell")
+@query("r08_grid_conformance", """WITH o AS (SELECT cell, min(row_no) AS top, min(col_no) AS left_, max(row_no) AS bottom, max(col_no) AS right_, count(*) AS n FROM pixels WHERE l_linenumber <= 3 GROUP BY cell),
+s AS (SELECT cell, min(row_no) AS top, min(col_no) AS left_, max(row_no) AS bottom, max(col_no) AS right_, count(*) AS n FROM pixels WHERE l_linenumber > 3 GROUP BY cell)
+SELECT coalesce(o.cell, s.cell) AS cell, coalesce(o.n, 0) AS optical_pixels, coalesce(s.n, 0) AS sar_pixels, o.top = s.top AND o.left_ = s.left_ IS TRUE AS same_origin, coalesce(o.top = s.top AND o.left_ = s.left_ AND o.bottom = s.bottom AND o.right_ = s.right_, false) AS conforms FROM o FULL JOIN s ON o.cell = s.cell""".replace("o.top = s.top AND o.left_ = s.left_ IS TRUE", "coalesce(o.top = s.top AND o.left_ = s.left_, false)"))
 def _(a):
-    left = a.pixels.where("cell % 10 = 0").select("cell", "l_orderkey", "l_linenumber", F.col("value").alias("v"))
-    right = a.pixels.select("l_orderkey", "l_linenumber", "value")
-    return left.join(right, ["l_orderkey", "l_linenumber"]).groupBy("cell").agg(F.count("*").alias("n"), F.bool_and(F.abs(F.col("v") - F.col("value")) < 1e-6).alias("same"))
+    """The grid that the optical pixels of a cell span, against that of its radar pixels."""
+    optical, sar = raster.grids(a.pixels.where("l_linenumber <= 3"), "cell"), raster.grids(a.pixels.where("l_linenumber > 3"), "cell")
+    return raster.conformance(optical, sar, "cell", "optical", "sar")
 
 
-@query("k09_k14_provenance", "SELECT scene_id, length(scene_id || ' ' || cloud_cover::VARCHAR || chr(10)) AS size, sha256(scene_id || ' ' || cloud_cover::VARCHAR || chr(10)) AS checksum FROM scenes WHERE scene_no % 1000 = 0")
+@query("k09_k14_provenance", "SELECT scene_id, length(scene_id || ' ' || cloud_cover::VARCHAR || chr(10)) AS size, sha256(scene_id || ' ' || cloud_cover::VARCHAR || chr(10)) AS checksum FROM scenes")
 def _(a):
-    """A file for each scene, then its size and checksum from a scan of the files."""
+    """Each scene's metadata is written as a row, and size and checksum are taken of what is read back."""
     path = scratch(a.spark, "scene-files")
-    lines = a.scenes.where("scene_no % 1000 = 0").select("scene_id", F.concat_ws(" ", "scene_id", F.col("cloud_cover").cast("string")).alias("value"))
-    lines.repartition("scene_id").write.partitionBy("scene_id").text(path)
-    files = a.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).where("length > 0")
-    return files.select(F.regexp_extract("path", "scene_id=([^/]+)", 1).alias("scene_id"), F.col("length").cast("long").alias("size"), F.sha2("content", 256).alias("checksum"))
+    a.scenes.select("scene_id", F.concat(F.concat_ws(" ", "scene_id", F.col("cloud_cover").cast("string")), F.lit("\n")).alias("content")).write.parquet(path)
+    back = a.spark.read.parquet(path)
+    return back.select("scene_id", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("checksum"))
 
 
 @query("api_similar", f"SELECT v.entity_id, round({COS}, 6) AS cosine FROM vectors v, vectors q WHERE q.entity_id = 'ENT_000021' AND v.entity_id <> 'ENT_000021' ORDER BY {COS} DESC, v.entity_id LIMIT 10")

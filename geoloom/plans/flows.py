@@ -13,7 +13,8 @@ from geoloom.streaming import jobs
 @query("s06_k10_json_documents", "SELECT entity_id, entity_type, lon FROM entities")
 def _(a):
     path = scratch(a.spark, "entities-json")
-    a.entities.groupBy("scene_id").agg(F.collect_list(F.struct("entity_id", "entity_type", "lon")).alias("entities")).write.json(path)
+    part = F.floor(F.col("vec_id") / 1000).alias("part")  # a document has the entities of a scene and of a thousand ids at most
+    a.entities.groupBy("scene_id", part).agg(F.collect_list(F.struct("entity_id", "entity_type", "lon")).alias("entities")).write.json(path)
     return documents.json_rows(a.spark, path, "entities", "entity_id: string, entity_type: string, lon: double")
 
 
@@ -22,7 +23,8 @@ def _(a):
     path = scratch(a.spark, "layer")
     line = F.struct(F.lit("LineString").alias("type"), F.array(F.array("x1", "y1"), F.array("x2", "y2")).alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), F.struct("ref_id", "name").alias("properties"), line.alias("geometry"))
-    a.segments.groupBy("layer").agg(F.collect_list(feature).alias("features")).write.json(path)
+    part = F.floor(F.monotonically_increasing_id() / 1000).alias("part")  # a collection has a thousand features at most
+    a.segments.groupBy("layer", part).agg(F.collect_list(feature).alias("features")).drop("part").write.json(path)
     layer = documents.geojson_layer(a.spark, path, "ref_id: string, name: string")
     return layer.select("ref_id", "name", F.col("geom")[0].lon.alias("x1"), F.col("geom")[1].lat.alias("y2"))
 

@@ -147,11 +147,11 @@ def _(a):
     return e.select("entity_id", *(F.get("g", F.lit(i)).passed.alias(f"g{i + 1}") for i in range(5)), F.size(F.filter("g", lambda x: x.passed)).alias("gates_passed"), F.forall("g", lambda x: x.passed).alias("verified"))
 
 
-@query("p08_chip_windows", """SELECT scene_id, r * 128 AS row_off, c * 128 AS col_off FROM scenes, (SELECT unnest(range(0, 4)) AS r), (SELECT unnest(range(0, 3)) AS c) WHERE scene_no % 50 = 0""")
+@query("p08_chip_windows", """SELECT scene_id, r * 128 AS row_off, c * 128 AS col_off FROM scenes, (SELECT unnest(range(0, 4)) AS r), (SELECT unnest(range(0, 3)) AS c)""")
 def _(a):
     from geoloom.operators.selection import chip_windows
 
-    return chip_windows(a.scenes.where("scene_no % 50 = 0").select("scene_id"), 640, 512, 256, 128).select("scene_id", "row_off", "col_off")
+    return chip_windows(a.scenes.select("scene_id"), 640, 512, 256, 128).select("scene_id", "row_off", "col_off")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from geoloom.functions import scalars
 from geoloom.operators import aggregates as A
 from geoloom.operators import discovery, geo, selection
 from geoloom.plans.registry import query
@@ -56,12 +57,27 @@ def _(a):
     return discovery.co_change_edges(a.entities, 21)
 
 
-@query("j08_interval_join", "SELECT l.scene_id AS optical_id, r.scene_id AS sar_id FROM scenes l JOIN scenes r ON l.relative_orbit = r.relative_orbit AND l.band_letter = r.band_letter AND abs(date_diff('day', l.scene_date, r.scene_date)) <= 2 WHERE l.scene_no % 7 = 0 AND r.scene_no % 11 = 0 AND l.scene_no <> r.scene_no")
+TIMED = "(SELECT *, date_diff('day', DATE '1970-01-01', scene_date) * 1440 + scene_no * 7 % 1440 AS minute, 77.0e0 + (scene_no * 7919 % 3000) / 10000e0 AS west, 28.4e0 + (scene_no * 104729 % 3000) / 10000e0 AS south FROM scenes)"
+IN_AOI = "{0}.west <= 77.25e0 AND {0}.west + 0.05e0 >= 77.1e0 AND {0}.south <= 28.65e0 AND {0}.south + 0.05e0 >= 28.5e0"
+
+
+@query("j08_interval_join", f"SELECT l.scene_id AS optical_id, r.scene_id AS sar_id FROM {TIMED} l JOIN {TIMED} r ON l.relative_orbit = r.relative_orbit AND l.band_letter = r.band_letter AND abs(l.minute - r.minute) < 2 WHERE l.scene_no <> r.scene_no AND {IN_AOI.format('l')} AND {IN_AOI.format('r')}")
 def _(a):
-    pairs = discovery.band_pairs(a.scenes.where("scene_no % 7 = 0"), a.scenes.where("scene_no % 11 = 0"), "scene_date", 2, ["relative_orbit", "band_letter"])
+    """Scenes of one orbit taken less than two minutes apart, both over the area of interest."""
+    minute = F.datediff("scene_date", F.lit("1970-01-01").cast("date")) * 1440 + F.col("scene_no") * 7 % 1440
+    west, south = F.lit(77.0) + (F.col("scene_no") * 7919 % 3000) / 10000, F.lit(28.4) + (F.col("scene_no") * 104729 % 3000) / 10000
+    timed = a.scenes.withColumns({"minute": minute, "west": west, "south": south})
+    inside = timed.where("west <= 77.25 and west + 0.05 >= 77.1 and south <= 28.65 and south + 0.05 >= 28.5")
+    pairs = discovery.near_in_time(inside, inside, "minute", 2, ["relative_orbit", "band_letter"])
     return pairs.where("l.scene_no <> r.scene_no").select(F.col("l.scene_id").alias("optical_id"), F.col("r.scene_id").alias("sar_id"))
 
 
+@query("d04_minute_shift", "SELECT seq, cell_id, floor(epoch(ts - interval 45 minute))::BIGINT AS opens, floor(epoch(ts + interval 90 minute))::BIGINT AS closes FROM trajectory")
+def _(a):
+    moved = lambda n: F.unix_timestamp(F.timestamp_add("MINUTE", F.lit(n), F.col("ts").cast("timestamp")))
+    return a.trajectory.select("seq", "cell_id", moved(-45).alias("opens"), moved(90).alias("closes"))
+
+
 BOX = "(SELECT *, (lon - 77.0) * 98000 - sqrt(area_m2) / 2 AS x1, (lat - 28.0) * 111000 - sqrt(area_m2) / 2 AS y1, (lon - 77.0) * 98000 + sqrt(area_m2) / 2 AS x2, (lat - 28.0) * 111000 + sqrt(area_m2) / 2 AS y2 FROM (SELECT entity_id, entity_type, lon, lat, area_m2 * 400 AS area_m2 FROM entities))"
 IOU = f"""SELECT a.entity_id AS left_id, b.entity_id AS right_id, a.entity_type, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s
   FROM {BOX} a JOIN {BOX} b ON a.entity_type = b.entity_type AND a.entity_id < b.entity_id"""
@@ -73,13 +89,15 @@ def _(a):
     return geo.overlapping_pairs(boxed, 0.3, size=3000.0).select("left_id", "right_id", F.round("iou", 6).alias("iou"))
 
 
-@query("j09_a16_merged_groups", None)
+@query("j09_a16_merged_groups", f"""WITH RECURSIVE p AS (SELECT left_id, right_id FROM ({IOU}) WHERE i / (s - i) > 0.3), e AS (SELECT left_id AS a, right_id AS b FROM p UNION ALL SELECT right_id, left_id FROM p),
+r AS (SELECT DISTINCT a AS v, a AS u FROM e UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u), g AS (SELECT v, min(u) AS component FROM r GROUP BY v)
+SELECT component, count(*) AS n, round(avg(class_confidence), 6) AS confidence, array_to_string(list_sort(list(DISTINCT scene_id)), ',') AS scenes FROM g JOIN entities ON entity_id = v GROUP BY component""")
 def _(a):
-    """Groups of overlapping boxes: connected components, their size, mean confidence and members (checked in tests)."""
+    """Groups of overlapping boxes: connected components, their size, mean confidence and scenes."""
     boxed = geo.boxes(a.entities.select("entity_id", "entity_type", "lon", "lat", (F.col("area_m2") * 400).alias("area_m2")))
     groups = discovery.connected(geo.overlapping_pairs(boxed, 0.3, size=3000.0), "left_id", "right_id")
     e = a.entities.select(F.col("entity_id").alias("id"), "class_confidence", "scene_id").join(groups, "id")
-    return e.groupBy("component").agg(F.count("*").alias("n"), F.round(F.avg("class_confidence"), 6).alias("confidence"), F.sort_array(F.collect_set("scene_id")).alias("scenes"))
+    return e.groupBy("component").agg(F.count("*").alias("n"), F.round(F.avg("class_confidence"), 6).alias("confidence"), F.array_join(F.sort_array(F.collect_set("scene_id")), ",").alias("scenes"))
 
 
 @query("j10_fk_join", "SELECT e.entity_id, s.scene_date FROM entities e LEFT JOIN scenes s ON s.scene_no = e.vec_id % 40")
@@ -105,11 +123,11 @@ def _(a):
     return a.entities.join(F.broadcast(ranked), F.col("vec_id") == F.col("cell_no")).select("rank", "entity_id", "lon", "lat")
 
 
-@query("j15_judgement_default", "SELECT q.entity_id AS query_id, e.entity_id, CASE WHEN q.label = e.label THEN 3 WHEN q.label % 5 = e.label % 5 THEN 1 ELSE 0 END AS rel FROM vectors q, vectors e WHERE q.vec_id < 5")
+@query("j15_judgement_default", "SELECT q.entity_id AS query_id, e.entity_id, CASE WHEN q.label = e.label THEN 3 WHEN q.label % 5 = e.label % 5 THEN 1 ELSE 0 END AS rel FROM vectors q, vectors e WHERE q.vec_id % 100 = 0")
 def _(a):
-    q = a.vectors.where("vec_id < 5").select(F.col("entity_id").alias("query_id"), F.col("label").alias("q_label"))  # five rows
+    q = a.vectors.where("vec_id % 100 = 0").select(F.col("entity_id").alias("query_id"), F.col("label").alias("q_label"))  # a stated set of queries
     rel = F.when(F.col("q_label") == F.col("label"), 3).when(F.col("q_label") % 5 == F.col("label") % 5, 1).otherwise(0)
-    return a.vectors.select("entity_id", "label").join(F.broadcast(q), F.lit(True)).select("query_id", "entity_id", rel.alias("rel"))
+    return a.vectors.select("entity_id", "label").crossJoin(q).select("query_id", "entity_id", rel.alias("rel"))
 
 
 @query("j16_a25_date_errors", "SELECT e.entity_id, t.last_date, abs(date_diff('day', t.last_date, e.first_seen)) AS error_days, CASE WHEN t.last_date IS NULL THEN 'no_trajectory' WHEN e.first_seen IS NULL THEN 'no_label' END AS reason FROM entities e LEFT JOIN (SELECT cell_no, max(obs_date) AS last_date FROM trajectory GROUP BY cell_no) t ON t.cell_no = e.vec_id")
@@ -189,7 +207,8 @@ def _(a):
 
 @query("a09_min_median_max", "SELECT relative_orbit, min(valid_fraction) AS low, median(valid_fraction) AS mid, max(valid_fraction) AS high FROM scenes GROUP BY relative_orbit")
 def _(a):
-    return a.scenes.groupBy("relative_orbit").agg(F.min("valid_fraction").alias("low"), F.median("valid_fraction").alias("mid"), F.max("valid_fraction").alias("high"))
+    ends = a.scenes.groupBy("relative_orbit").agg(F.min("valid_fraction").alias("low"), F.max("valid_fraction").alias("high"))
+    return ends.join(A.percentiles(a.scenes, "valid_fraction", {"mid": 0.5}, "relative_orbit"), "relative_orbit")
 
 
 @query("a10_upper_median", "SELECT relative_orbit, list_sort(list(cloud_cover))[(count(*) // 2) + 1] AS cloud_cover FROM scenes GROUP BY relative_orbit")
@@ -206,7 +225,7 @@ def _(a):
 def _(a):
     from geoloom.operators.vectors import with_row
 
-    limits = a.pixels.agg(F.percentile("red", 0.02).alias("lo"), F.percentile("red", 0.98).alias("hi"))
+    limits = A.percentiles(a.pixels, "red", {"lo": 0.02, "hi": 0.98})
     v = (F.col("red") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255
     return with_row(a.pixels, limits).select("l_orderkey", "l_linenumber", F.round(F.greatest(F.lit(0.0), F.least(F.lit(255.0), v)), 3).alias("stretched"))
 
@@ -217,16 +236,27 @@ def _(a):
     return g.select("cell", F.round("m", 9).alias("mean"), F.round("s", 9).alias("sd"), F.round(F.pow(F.col("m") / F.col("s"), 2), 4).alias("enl"))
 
 
-@query("a18_s18_sizes", "SELECT relative_orbit, count(*) AS files, count(*) FILTER (ends_with(scene_id, '7')) AS ending_7, round(sum(size_bytes), 2) AS bytes FROM scenes GROUP BY relative_orbit")
+@query("a18_s18_sizes", """SELECT *, CASE WHEN bytes < 1024 THEN printf('%.1f B', bytes) WHEN bytes < 1048576 THEN printf('%.1f KB', bytes / 1024) WHEN bytes < 1073741824 THEN printf('%.1f MB', bytes / 1048576) WHEN bytes < 1099511627776 THEN printf('%.1f GB', bytes / 1073741824) ELSE printf('%.1f TB', bytes / 1099511627776) END AS human
+FROM (SELECT relative_orbit, count(*) AS files, count(*) FILTER (ends_with(scene_id, '7')) AS ending_7, round(sum(size_bytes), 2)::DOUBLE AS bytes FROM scenes GROUP BY relative_orbit)""")
 def _(a):
-    return a.scenes.groupBy("relative_orbit").agg(F.count("*").alias("files"), F.count_if(F.endswith("scene_id", F.lit("7"))).alias("ending_7"), F.round(F.sum("size_bytes"), 2).alias("bytes"))
+    sizes = a.scenes.groupBy("relative_orbit").agg(F.count("*").alias("files"), F.count_if(F.endswith("scene_id", F.lit("7"))).alias("ending_7"), F.round(F.sum("size_bytes"), 2).cast("double").alias("bytes"))
+    return sizes.withColumn("human", scalars.human_bytes(F.col("bytes")))
 
 
-@query("a20_x03_manifest_digest", "SELECT entity_type, sha256(string_agg(entity_id || ':' || scene_id, ',' ORDER BY entity_id)) AS digest FROM (SELECT * FROM entities WHERE vec_id % 2 = 0 UNION ALL SELECT * FROM entities WHERE vec_id % 2 = 1) GROUP BY entity_type")
+@query("a20_x03_manifest_digest", """WITH u AS (SELECT * FROM entities WHERE vec_id % 2 = 0 UNION ALL SELECT * FROM entities WHERE vec_id % 2 = 1),
+r AS (SELECT entity_type, vec_id // 65536 AS part, vec_id // 256 AS leaf, sha256(string_agg(entity_id || ':' || scene_id, ',' ORDER BY vec_id)) AS digest FROM u GROUP BY ALL),
+p AS (SELECT entity_type, part, sha256(string_agg(digest, ',' ORDER BY leaf)) AS digest FROM r GROUP BY ALL) SELECT entity_type, part, digest FROM p""")
 def _(a):
+    """A manifest's digest by ranges of 65,536 keys: each is taken of the digests of 256 keys, so no group grows."""
     both = a.entities.where("vec_id % 2 = 0").unionByName(a.entities.where("vec_id % 2 = 1"), allowMissingColumns=True)
-    parts = F.sort_array(F.collect_list(F.concat_ws(":", "entity_id", "scene_id")))
-    return both.groupBy("entity_type").agg(F.sha2(F.array_join(parts, ","), 256).alias("digest"))
+    entries = both.select("entity_type", "vec_id", F.concat_ws(":", "entity_id", "scene_id").alias("entry"))
+
+    def digest(df, key: str, value: str, *by: str):
+        ordered = F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))))
+        return df.groupBy(*by).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x.v), ","), 256).alias("digest"))
+
+    leaves = digest(entries.withColumn("leaf", F.floor(F.col("vec_id") / 256)), "vec_id", "entry", "entity_type", "leaf")
+    return digest(leaves.withColumn("part", F.floor(F.col("leaf") / 256)), "leaf", "digest", "entity_type", "part")
 
 
 @query("a21_group_lists", "SELECT scene_id, string_agg(entity_id, ',' ORDER BY entity_id) AS members, round(avg(class_confidence), 6) AS confidence FROM entities GROUP BY scene_id")

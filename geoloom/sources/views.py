@@ -106,4 +106,6 @@ def with_views(sql: str) -> str:
     """DuckDB SQL that may name the views."""
     ctes = ", ".join(f"{name} AS ({view.format(t=base)})" for name, (base, view) in VIEWS.items())
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     return f"WITH {ctes}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {ctes} {body}"
