@@ -57,12 +57,12 @@ def online_baseline(stream: DataFrame) -> DataFrame:
     taken as it comes if an earlier one arrives in a later batch, and what state a cell has survives restarts."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        cell = temporal.Cell(1, pickle.loads(state.get[0]) if state.exists else None)
+        cell = pickle.loads(state.get[0]) if state.exists else temporal.Online(1)
         rows, out = pd.concat(list(frames)).sort_values(["ts", "event_id"]), []
         for r in rows.itertuples():
             got = cell.observe(r.ts.date(), [r.value / 50], 0.70 + (r.event_id * 7 % 31) / 100)
             out.append({"user_id": key[0], "event_id": r.event_id, "obs_state": got["obs_state"], "z": got["z"], "cusum": got["cusum"]})
-        state.update((pickle.dumps(cell.__dict__),))
+        state.update((pickle.dumps(cell),))
         yield pd.DataFrame(out)
 
     return stream.groupBy("user_id").applyInPandasWithState(update, "user_id long, event_id long, obs_state string, z double, cusum double", "model binary", "append", "NoTimeout")

@@ -72,29 +72,80 @@ def test_pca_lengths(spark, sf):
     assert got == pytest.approx(want, abs=1e-5)
 
 
-def _loop(rows):
+def sequential(rows, dims):
+    """(date, values, share seen) of one cell in order -> state, z, cusum, interval, in plain Python from the recurrences:
+    gain = P x / (0.98 + x' P x), b += gain * residual, P = (P - gain x' P) / 0.98, one dimension after the other."""
+    import math
+
+    p = [[1000.0 * (i == j) for j in range(6)] for i in range(6)]
+    b, error, past, out, total, run, done = [[0.0] * 6 for _ in range(dims)], [0.1] * dims, [], [], 0.0, 0, False
+    for date, values, share in rows:
+        if share < 0.8:
+            out.append(("NOT_OBSERVED", None, total, None))
+            continue
+        doy = (date - date.replace(month=1, day=1)).days + 1
+        w = 2 * math.pi * doy / 365.25
+        x = [1, date.year - 2024 + doy / 365.25, math.cos(w), math.sin(w), math.cos(2 * w), math.sin(2 * w)]
+        square = 0.0
+        for d in range(dims):
+            px, xp = [sum(r[j] * x[j] for j in range(6)) for r in p], [sum(x[i] * p[i][j] for i in range(6)) for j in range(6)]
+            down = max(0.98 + sum(x[i] * px[i] for i in range(6)), 1e-6)
+            left = values[d] - sum(b[d][i] * x[i] for i in range(6))
+            b[d] = [b[d][i] + px[i] / down * left for i in range(6)]
+            p = [[(p[i][j] - px[i] / down * xp[j]) / 0.98 for j in range(6)] for i in range(6)]
+            error[d] = math.sqrt(0.98 * error[d] ** 2 + 0.02 * left**2)
+            square += (left / max(error[d], 1e-6)) ** 2
+        z = math.sqrt(square / dims)
+        past.append((date, z))
+        state, days = "INSUFFICIENT_HISTORY", None
+        if len(past) >= 12:
+            state, total = "OBSERVED", max(0.0, total + z - 0.5)
+            run = run + 1 if total > 4 else 0
+            if run >= 3 and not done:
+                calm = max((k for k, (_, v) in enumerate(past[:-1]) if v <= 1.2), default=-1)
+                state, days, done = "REGIME_CHANGE_DETECTED", max(1, (past[calm + 1][0] - past[max(calm, 0)][0]).days), True
+        out.append((state, z, total, days))
+    return out
+
+
+def _cells(rows, key):
     cells = {}
     for r in sorted(rows, key=lambda r: (r.ts, r.seq)):
-        cell = cells.setdefault(r.cell_id, (temporal.Cell(2), []))
-        cell[1].append(cell[0].observe(r.obs_date, [r.value / 50, r.ndvi or 0.0], r.valid_fraction))
-    return {(k, i): o["obs_state"] for k, (_, out) in cells.items() for i, o in enumerate(out)}
+        cells.setdefault(r[key], []).append(r)
+    return cells
 
 
 def test_baseline_is_sequential(spark, sf):
-    rows = Archive(spark, sf).trajectory.collect()
-    got = {(r.cell_id, r.i): r.obs_state for r in QUERIES["w04_w09_v07_rls_baseline"](spark, sf).collect()}
-    assert got == _loop(rows)
+    got = {(r.cell_id, r.i): r for r in QUERIES["w04_w09_v07_rls_baseline"](spark, sf).collect()}
+    found = set()
+    for k, rows in _cells(Archive(spark, sf).trajectory.collect(), "cell_id").items():
+        for i, (state, z, total, days) in enumerate(sequential([(r.obs_date, [r.value / 50, r.ndvi or 0.0], r.valid_fraction) for r in rows], 2)):
+            r = got.pop((k, i))
+            found.add(state)
+            assert (r.obs_state, r.interval_days) == (state, days) and r.z == pytest.approx(z, abs=2e-6) and r.cusum == pytest.approx(total, abs=1e-4)
+    assert not got and len(found) == 4
+
+
+def test_baseline_over_batches(spark, sf):
+    """Cells that go on over many batches of a task keep their fit."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = lambda: sorted(map(tuple, QUERIES["w04_w09_v07_rls_baseline"](spark, sf).collect()), key=str)
+    want = rows()
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        assert rows() == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_online_baseline_is_the_batch_one(spark, sf):
-    rows = sorted(Archive(spark, sf).trajectory.collect(), key=lambda r: (r.ts, r.seq))
-    cells, want = {}, {}
-    for r in rows:
-        got = cells.setdefault(r.cell_no, temporal.Cell(1)).observe(r.obs_date, [r.value / 50], r.valid_fraction)
-        want[r.seq] = (got["obs_state"], None if got["z"] is None else round(got["z"], 6))
-    got = {r.event_id: (r.obs_state, r.z) for r in QUERIES["st1_st5_online_baseline"](spark, sf).collect()}
-    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
-    assert {k: v[1] for k, v in got.items()} == pytest.approx({k: v[1] for k, v in want.items()}, abs=2e-6)
+    got = {r.event_id: r for r in QUERIES["st1_st5_online_baseline"](spark, sf).collect()}
+    for rows in _cells(Archive(spark, sf).trajectory.collect(), "cell_no").values():
+        want = sequential([(r.obs_date, [r.value / 50], r.valid_fraction) for r in rows], 1)
+        for r, (state, z, total, _) in zip(rows, want, strict=True):
+            x = got.pop(r.seq)
+            assert x.obs_state == state and x.z == pytest.approx(z, abs=2e-6) and x.cusum == pytest.approx(total, abs=1e-4)
+    assert not got
 
 
 def test_hash_chain_holds_and_shows_tampering(spark, sf):

@@ -52,7 +52,7 @@ def test_empty_first_stage(spark, sf):
 
 
 def test_basis():
-    b = temporal.Cell.basis(datetime.date(2024, 6, 28))
+    (b,) = temporal.basis([datetime.date(2024, 6, 28)])
     assert len(b) == 6 and b[0] == 1 and b[1] == pytest.approx(180 / 365.25)
 
 
@@ -61,12 +61,12 @@ def _months(n, year=2024):
 
 
 def test_stable_series_has_no_break():
-    cell = temporal.Cell(4)
+    cell = temporal.Online(4)
     assert all(cell.observe(d, [1, 0.5, -0.5, 0.2], 0.95)["lower"] is None for d in _months(15))
 
 
 def test_shift_is_found():
-    cell = temporal.Cell(4)
+    cell = temporal.Online(4)
     for d in _months(15):
         cell.observe(d, [1, 0.5, -0.5, 0.2], 0.95)
     got = [cell.observe(d, [6, 5.5, 4.5, 5.2], 0.95) for d in _months(6, 2025)]
@@ -74,8 +74,19 @@ def test_shift_is_found():
     assert len(found) == 1 and found[0]["interval_days"] >= 1
 
 
+def test_state_of_a_stream_does_not_grow():
+    import pickle
+
+    cell, sizes = temporal.Online(1), []
+    for k in range(60):
+        for d in _months(12, 2000 + k):
+            cell.observe(d, [k % 7 - (d.month > 6) * 5], 0.95)
+        sizes.append(len(pickle.dumps(cell)))
+    assert max(sizes[5:]) - min(sizes[5:]) < 40
+
+
 def test_cloud_is_not_observed():
-    assert temporal.Cell(1).observe(datetime.date(2024, 1, 1), [1.0], 0.5)["obs_state"] == "NOT_OBSERVED"
+    assert temporal.Online(1).observe(datetime.date(2024, 1, 1), [1.0], 0.5)["obs_state"] == "NOT_OBSERVED"
 
 
 def test_cusum_identity(spark):
