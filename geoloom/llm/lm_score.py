@@ -8,7 +8,7 @@
 3. Every document is turned into the model's ids once; the table of ids is written, and later steps read no texts.
 4. Training documents are dealt by hashes to ROUNDS rounds and to shards of about SHARD_TOKENS tokens (over all rounds). In a
    round each shard trains a copy of the model so far on its documents, in an order by hash, by truncated backpropagation,
-   and the copies are averaged by weight of their tokens, as sums of blocks of weights. Every training document is read
+   and the copies are averaged by weight of their tokens, in blocks of weights. Every training document is read
    in one round. Shards follow from the data alone, so the model does not depend on how tasks split it.
 5. Every document is scored whole: the model gives each word's probability, and that of a tail word is the tail's times
    its add-one share of the tail, (c + 1) / (N_tail + V_tail + 1). The same counts give the base score.
@@ -147,34 +147,34 @@ def encode(docs: DataFrame, shared) -> DataFrame:
                 yield encoded(part, words)
 
     def encoded(batch: pa.RecordBatch, words: Words) -> pa.RecordBatch:
-        texts, ids, rows, rare = byte_rows(batch.column(2)), [], [], []
-        for text in texts:
-            t = tokens(text)
-            places = words.places(t)
-            known = places[places >= 0]
-            logs = words.log[known]
-            ids.append(words.ids(places).astype(np.int32))
-            rows.append((len(t), len(known), float(logs.sum()), float(logs[known >= words.k].sum()), int(len(t) - (known < words.k).sum())))
-            rare.append(Counter(t[i] for i in np.flatnonzero(places < 0).tolist()) if len(known) < len(t) else {})
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
+        texts = byte_rows(batch.column(2))
+        found = [tokens(t) for t in texts]
+        flat = [w for t in found for w in t]
+        sizes = np.array([len(t) for t in found], np.int64)
+        places, doc = words.places(flat), np.repeat(np.arange(len(texts)), sizes)
+        in_model, is_rare = (places >= 0) & (places < words.k), places < 0
+        logs = np.where(is_rare, 0.0, words.log[places]) if len(words.log) else np.zeros(len(places))
+        count = lambda x: np.bincount(doc[x], minlength=len(texts))
+        add = lambda x: np.bincount(doc[x], logs[x], len(texts))
+        numbers = (sizes, count(~is_rare), add(~is_rare), add(~is_rare & ~in_model), sizes - count(in_model))
+        columns = [pa.array(x.astype(t)) for x, t in zip(numbers, (np.int64, np.int64, np.float64, np.float64, np.int64), strict=True)]
+        ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(words.ids(places).astype(np.int32)))
+        rare = [Counter() for _ in texts]
+        beyond = np.flatnonzero(is_rare)
+        for d, i in zip(doc[beyond].tolist(), beyond.tolist(), strict=True):
+            rare[d][flat[i]] += 1
         keys = pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())
         words_of, times = pa.array([w for x in rare for w in x], pa.binary()), pa.array([n for x in rare for n in x.values()], pa.int64())
         ends = pa.array(np.append(0, np.cumsum([len(x) for x in rare])), pa.int32())
         pairs = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([words_of, times], ["word", "tf"]))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, keys, _lists(ids), pairs], names=["doc_id", "held_out", *NUMBERS, "key", "ids", "rare"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, keys, ids, pairs], names=["doc_id", "held_out", *NUMBERS, "key", "ids", "rare"])
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, ENCODED)
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in arrays])), pa.int32()), pa.array(flat, pa.int32()))
-
-
 def _train_round(dealt: DataFrame, shape, tasks: int) -> DataFrame:
-    """dealt (shard, ids), a shard in one of the tasks and in order -> block, part, sums: the sum of the copies' weights by tokens,
-    and last that of the tokens, in blocks, added up in two steps. shape: a broadcast of the model's counts, tail and weights so far."""
+    """dealt (shard, ids), a shard in one of the tasks and in order -> block, part, tokens, mean: the mean of the copies' weights
+    by tokens, in blocks, taken in two steps. shape: a broadcast of the model's counts, tail and weights so far."""
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,19 +215,20 @@ def _train_round(dealt: DataFrame, shape, tasks: int) -> DataFrame:
                         seen, waiting, size = seen + size, [], 0
         finish()
         if tokens_of_all:
-            values = np.append(total, tokens_of_all)
-            ends = np.append(np.arange(0, len(values), BLOCK), len(values))
-            some = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-            part = TaskContext.get().partitionId() % math.isqrt(tasks)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(some), dtype=np.int32)), pa.array(np.full(len(some), part, np.int32)), some], names=["block", "part", "sums"])
+            ends = np.append(np.arange(0, len(total), BLOCK), len(total))
+            mean = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((total / tokens_of_all).astype(np.float32)))
+            n, part = len(mean), TaskContext.get().partitionId() % math.isqrt(tasks)
+            columns = [pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, float(tokens_of_all))), mean]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "part", "tokens", "mean"])
 
-    kind = "block int, part int, sums array<double>"
-    return dealt.mapInArrow(run, kind).groupBy("block", "part").applyInArrow(_added, kind).groupBy("block").applyInArrow(_added, kind)
+    kind = "block int, part int, tokens double, mean array<float>"
+    return dealt.mapInArrow(run, kind).groupBy("block", "part").applyInArrow(_averaged, kind).groupBy("block").applyInArrow(_averaged, kind)
 
 
-def _added(rows: pa.Table) -> pa.Table:  # rows of one block, of at most about the square root of the tasks
-    sums = rows["sums"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).sum(0)
-    return rows.slice(0, 1).drop_columns(["sums"]).append_column("sums", pa.array([sums], pa.list_(pa.float64())))
+def _averaged(rows: pa.Table) -> pa.Table:  # rows of one block, of at most about the square root of the tasks
+    tokens, means = rows["tokens"].to_numpy(), rows["mean"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+    mean = pa.array([tokens @ means / tokens.sum()], pa.list_(pa.float64())).cast(pa.list_(pa.float32()))
+    return pa.table({"block": rows["block"].slice(0, 1), "part": rows["part"].slice(0, 1), "tokens": [float(tokens.sum())], "mean": mean})
 
 
 def train(table_of_ids: DataFrame, words: Words, total: int) -> np.ndarray | None:
@@ -240,10 +241,9 @@ def train(table_of_ids: DataFrame, words: Words, total: int) -> np.ndarray | Non
     for turn in range(ROUNDS if total else 0):
         shape = spark.sparkContext.broadcast((words.counts[: words.k], words.tail, vector))
         mine = training.where(F.col("round") == turn).repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "place").select("shard", "ids")
-        sums = _train_round(mine, shape, tasks).toArrow().sort_by("block")  # no more values than the model has
-        if sums.num_rows:
-            values = sums["sums"].combine_chunks().flatten().to_numpy()
-            vector = values[:-1] / values[-1]
+        means = _train_round(mine, shape, tasks).toArrow().sort_by("block")  # no more values than the model has
+        if means.num_rows:
+            vector = means["mean"].combine_chunks().flatten().to_numpy()
         shape.destroy()
     return vector
 
