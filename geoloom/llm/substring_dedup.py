@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import byte_rows, table
+from geoloom.llm.common import byte_rows, fresh, table
 
 REACH = 20
 MOST = 1024
@@ -115,12 +115,14 @@ def repeated_spans(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs whose text lacks the spans that an earlier document holds; all rows stay."""
-    cut = repeated_spans(docs, min_chars).where("first_doc < doc_id").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cut"))
-    cut = cut.select(F.col("doc_id").alias("_cut_doc"), F.col("text_key").alias("_cut_text"), "_cut")
-    edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"))), F.col("_cut"))
-    after = F.concat(F.transform("_cut", lambda x: x.start), F.array(F.length("text")))
+    id_name, text_name, cut_name = fresh(docs.columns, "cut_doc", "cut_text", "cut")
+    cut = repeated_spans(docs, min_chars).where("first_doc < doc_id").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cut"))
+    cut = cut.select(F.col("doc_id").alias(id_name), F.col("text_key").alias(text_name), F.col("cut").alias(cut_name))
+    edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"))), F.col(cut_name))
+    after = F.concat(F.transform(cut_name, lambda x: x.start), F.array(F.length("text")))
     left = F.array_join(F.zip_with(edges, after, lambda e, a: F.substring(F.col("text"), e.stop + 1, a - e.stop)), "")
-    return docs.join(cut, (F.col("doc_id") == F.col("_cut_doc")) & (F.xxhash64("text") == F.col("_cut_text")), "left").withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    joined = docs.join(cut, (docs.doc_id.cast("long") == cut[id_name]) & (F.xxhash64(docs.text) == cut[text_name]), "left")
+    return joined.withColumn("text", F.when(F.col(cut_name).isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
