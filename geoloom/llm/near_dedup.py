@@ -10,10 +10,12 @@ that fails with a chance of 4e-5, at 0.8 of 2e-6.
    in any table. Only the rest, a small part of the corpus, pays for table keys and for its full sets.
 3. In each table bucket the least class is the hub; every distinct (hub, member) pair is confirmed on the full sets, and
    components are formed of the confirmed links. The pairs grow with the members of buckets, not with their squares.
-4. What is left are buckets that hold members of two components or more. Their members outside the bucket's largest
-   component are compared with all its members of other components on the full sets, in blocks of at most BLOCK by BLOCK
-   inside tasks; only confirmed links leave a task, so no candidate is dropped and no pairs are emitted.
-   Buckets with equal membership are compared once.
+4. What is left are table buckets that hold members of two components or more; each of them has a member that its hub
+   isn't linked with, so only the classes of such buckets go on. They meet by single collections: members outside the
+   bucket's largest component face all its members of other components, in blocks of about BLOCK_SHINGLES shingles a side inside
+   tasks. Two members are compared on their full sets if they agree in two collections, that is in a table key, and only in
+   the first collection they agree in. Only confirmed links leave a task, so no candidate is dropped and no pairs are
+   emitted. Buckets with equal membership are taken once.
 
 Classes are named by a 128-bit digest of their word sequence; doc_ids come back at the end.
 
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +41,8 @@ SHINGLE = 5
 PERCENT = 75
 COLLECTIONS = 16
 ROWS = 2
-BLOCK = 512
+#: Shingles of the members on either side of a block: 8 bytes each in a task, however long the texts are.
+BLOCK_SHINGLES = 1 << 19
 #: Up to this many classes, documents are sifted by a bitmap of BITMAP_BITS that every task gets; beyond, by a join.
 BITMAP_CLASSES, BITMAP_BITS = 2_000_000, 1 << 25
 SEED = 20_240_229
@@ -146,36 +150,40 @@ def _linked(common, n, m, percent):
     return 100 * common >= percent * (n + m - common)
 
 
-def _block_links(percent: int):
-    def run(rows: pa.Table) -> pa.Table:  # at most about 2 * BLOCK rows
-        rows = rows.combine_chunks()
-        asks, comp, keys = rows["asks"].to_numpy(), rows["component"].to_pylist(), rows["text_key"].to_pylist()
-        sets = [x.values.to_numpy() for x in rows["shingles"]]
-        comp = np.unique(np.array(comp, object), return_inverse=True)[1]
-        members = np.flatnonzero(~asks)
-        left, right = [], []
-        if len(members):
-            sizes = np.array([len(sets[m]) for m in members])
-            flat, starts = np.concatenate([sets[m] for m in members]), np.cumsum(sizes) - sizes
-            for q in np.flatnonzero(asks):
-                mine, n = np.sort(sets[q]), len(sets[q])
-                fit = (comp[members] != comp[q]) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-                if fit.any():
-                    at = np.minimum(np.searchsorted(mine, flat), n - 1)
-                    common = np.add.reduceat((mine[at] == flat).astype(np.int64), starts)
-                    hit = members[fit & _linked(common, sizes, n, percent)]
-                    left += [keys[q]] * len(hit)
-                    right += [keys[m] for m in hit]
+def _collections(own: pa.ChunkedArray, n: int) -> np.ndarray:
+    """Rows of collection hashes by place; 0 where a collection was dropped, for nobody shares it."""
+    own = own.combine_chunks()
+    x, out = own.flatten(), np.zeros((len(own), n), np.int64)
+    out[pa.compute.list_parent_indices(own).to_numpy(), x.field("place").to_numpy()] = x.field("value").to_numpy()
+    return out
+
+
+def _block_links(percent: int, collections: int):
+    def run(rows: pa.Table) -> pa.Table:  # the sets of a side have about BLOCK_SHINGLES shingles
+        asks, place, keys = rows["asks"].to_numpy(), rows["place"].to_numpy(), rows["text_key"].to_pylist()
+        comp = np.unique(np.array(rows["component"].to_pylist(), object), return_inverse=True)[1]
+        sets, sigs = [x.values.to_numpy() for x in rows["shingles"]], _collections(rows["own"], collections)
+        sizes, members = np.array([len(x) for x in sets]), np.flatnonzero(~asks)
+        theirs, left, right = sigs[members], [], []
+        for q in np.flatnonzero(asks) if len(members) else ():
+            same = (theirs == sigs[q]) & (sigs[q] != 0)
+            fit = (same.sum(1) > 1) & (same.argmax(1) == place[q]) & (comp[members] != comp[q])
+            fit &= 100 * np.minimum(sizes[members], sizes[q]) >= percent * np.maximum(sizes[members], sizes[q])
+            for m in members[fit]:
+                common = len(np.intersect1d(sets[q], sets[m], assume_unique=True))
+                if _linked(common, sizes[q], sizes[m], percent):
+                    left.append(keys[q])
+                    right.append(keys[m])
         return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
 
     return run
 
 
-def link_classes(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """classes (text_key, min_id, sig) and docs (doc_id, text) -> (a, b): confirmed links, enough for the components."""
-    entries = classes.select("text_key", "min_id", F.posexplode("sig").alias("place", "value"))
+def link_classes(classes: DataFrame, docs: DataFrame, percent: int, collections: int) -> DataFrame:
+    """classes (text_key, min_id, n_shingles, sig) and docs (doc_id, text) -> (a, b): confirmed links, enough for the components."""
+    entries = classes.select("text_key", "min_id", "n_shingles", F.posexplode("sig").alias("place", "value"))
     shared = entries.groupBy("place", "value").agg(F.count("*").alias("n")).where("n > 1").select("place", "value")
-    alive = entries.join(shared, ["place", "value"]).groupBy("text_key", "min_id").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("own"))
+    alive = entries.join(shared, ["place", "value"]).groupBy("text_key", "min_id", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("own"))
     alive = written(alive.where("size(own) > 1"), "near-alive")
 
     # table keys: pairs of the collections that are left, of one class in ascending order
@@ -195,20 +203,30 @@ def link_classes(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame
     stars = written(stars.select(F.col("hub").alias("a"), F.col("text_key").alias("b")), "near-stars")
     labels = components(stars)
 
-    # the rest: buckets with members of several components
-    mine = alive.join(labels, alive.text_key == labels.v, "left").select("text_key", F.coalesce("component", "text_key").alias("component"), "own")
-    rows = written(mine.select("text_key", "component", F.explode("own").alias("x")).select("text_key", "component", F.xxhash64("x").alias("bucket")), "near-rest")
-    counts = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("text_key").cast("decimal(38,0)")).alias("digest"), F.min("text_key").alias("least"))
-    buckets = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("digest").alias("digest"), F.min("least").alias("least"))
-    buckets = buckets.where("n > n_main").groupBy("n", "digest", "least").agg(F.min_by(F.struct("bucket", "main", "n_main"), "bucket").alias("b")).select("b.*", "n")
-    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / F.lit(BLOCK))).cast("int")
-    rows = rows.join(buckets, "bucket").select("bucket", "text_key", "component", (F.col("component") != F.col("main")).alias("other"), blocks(F.col("n")).alias("m_blocks"), blocks(F.col("n") - F.col("n_main")).alias("q_blocks"))
+    # the rest: classes of tables' buckets with members of several components, met by single collections
+    named = lambda key, name: labels.select(F.col("v").alias(key), F.col("component").alias(name))
+    apart = pairs.join(named("hub", "h"), "hub", "left").join(named("text_key", "c"), "text_key", "left").where(F.coalesce("h", "hub") != F.coalesce("c", "text_key"))
+    several = pairs.join(apart.select("hub").distinct(), "hub", "left_semi")
+    several = several.select("text_key").union(several.select("hub")).distinct()
+    mine = alive.join(several, "text_key", "left_semi").join(named("text_key", "component"), "text_key", "left").select("text_key", F.coalesce("component", "text_key").alias("component"), "n_shingles", "own")
+    mine = written(mine, "near-rest")
+    rows = mine.select("text_key", "component", "n_shingles", F.explode("own").alias("x")).select("text_key", "component", "n_shingles", "x.*")
+    key = F.xxhash64("text_key").cast("decimal(38,0)")
+    counts = rows.groupBy("place", "value", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.sum(key).alias("digest"), F.min("text_key").alias("least"))
+    largest = F.struct("n", "component", "size")
+    buckets = counts.groupBy("place", "value").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(largest).alias("main"), F.sum("digest").alias("digest"), F.min("least").alias("least"))
+    # of equal buckets the one of the first collection stays: that is where its members agree first
+    buckets = buckets.where("n > main.n").groupBy("n", "digest", "least").agg(F.min(F.struct("place", "value", "size", "main")).alias("b")).select("b.*")
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / F.lit(BLOCK_SHINGLES))).cast("int")
+    buckets = buckets.select("place", "value", F.col("main.component").alias("main"), blocks(F.col("size")).alias("m_blocks"), blocks(F.col("size") - F.col("main.size")).alias("q_blocks"))
+    rows = rows.join(buckets, ["place", "value"]).withColumn("other", F.col("component") != F.col("main"))
     dealt = lambda blocks: F.pmod(F.xxhash64("text_key"), F.col(blocks)).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    ask = rows.where("other").select("bucket", "text_key", "component", F.lit(True).alias("asks"), dealt("q_blocks").alias("q"), each("m_blocks").alias("m"))
-    answer = rows.select("bucket", "text_key", "component", F.lit(False).alias("asks"), each("q_blocks").alias("q"), dealt("m_blocks").alias("m"))
-    both = ask.unionByName(answer).join(sets, "text_key")
-    rest = both.groupBy("bucket", "q", "m").applyInArrow(_block_links(percent), "a binary, b binary")
+    ask = rows.where("other").select("place", "value", "text_key", F.lit(True).alias("asks"), dealt("q_blocks").alias("q"), each("m_blocks").alias("m"))
+    answer = rows.select("place", "value", "text_key", F.lit(False).alias("asks"), each("q_blocks").alias("q"), dealt("m_blocks").alias("m"))
+    whole = mine.select("text_key", "component", "own").join(sets, "text_key")
+    both = ask.unionByName(answer).join(whole, "text_key")
+    rest = both.groupBy("place", "value", "q", "m").applyInArrow(_block_links(percent, collections), "a binary, b binary")
     return written(stars.unionByName(rest), "near-links")
 
 
@@ -216,9 +234,9 @@ def judged_rows(docs: DataFrame, percent: int = PERCENT, collections: int = COLL
     """Per document row: doc_id, row_key (xxhash64 of the text), n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = written(sketches(docs, collections, rows), "near-sketches")
-    classes = seen.where("doc_id is not null and text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("min_id"), F.first("sig").alias("sig"))
+    classes = seen.where("doc_id is not null and text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("min_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = written(classes, "near-classes")
-    labels = components(link_classes(classes, docs, percent)).withColumnRenamed("v", "text_key")
+    labels = components(link_classes(classes, docs, percent, collections)).withColumnRenamed("v", "text_key")
     labels = written(labels.join(classes.select("text_key", "min_id"), "text_key"), "near-labels")
     least = labels.groupBy("component").agg(F.min("min_id").alias("component_id"))
     linked = labels.join(least, "component").select("text_key", "component_id")

@@ -85,7 +85,7 @@ def test_near_joined_documents(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {k: c for k, (_, c) in brute.near(rows).items()}
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == want
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 500)
     monkeypatch.setattr(near_dedup, "BITMAP_CLASSES", 0)
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == want
 
