@@ -14,7 +14,7 @@ from geoloom.sources.views import Archive
 
 
 class Engine:
-    """encode: a table of one row with the vector q for a text; without it, plans are ranked around a given entity."""
+    """encode: gives a table of one row with the vector q for a text; without it, plans are ranked around a given entity."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, encode=None):
         self.archive, self.encode = Archive(spark, sf_dir), encode
@@ -29,7 +29,10 @@ class Engine:
         return self.archive.vectors.where(F.col("entity_id") == entity_id).select(F.col("embedding").alias("q"))
 
     def execute(self, plan: Plan, like: str | None = None, explain_top: int = 5) -> DataFrame:
-        query = self.encode(plan.semantic_query) if self.encode else self.vector(like or "ENT_000000")
+        """like: the entity to rank around; otherwise the plan's text is encoded, which takes an encoder."""
+        if like is None and self.encode is None:
+            raise ValueError("a text needs an encoder, or an entity to rank around")
+        query = self.vector(like) if like is not None else self.encode(plan.semantic_query)
         return execute(self.archive.entities, self.archive.vectors, plan, query, explain_top=explain_top)
 
     def search(self, text: str, aoi: tuple[tuple[float, float], ...] = (), limit: int = 20, explain_top: int = 5, like: str | None = None) -> DataFrame:
@@ -58,7 +61,7 @@ class Engine:
 
     def export(self, results: DataFrame) -> DataFrame:
         """Results with rank as GeoJSON features, in rank order; entities that are gone are left out."""
-        found = self.archive.entities.join(F.broadcast(results.select("entity_id", "rank")), "entity_id")
+        found = self.archive.entities.join(results.select("entity_id", "rank"), "entity_id")
         return found.orderBy("rank").select("rank", sinks.geojson_feature().alias("feature"))
 
     def layer(self, name: str) -> DataFrame:

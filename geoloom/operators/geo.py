@@ -107,6 +107,17 @@ def overlapping_pairs(boxed: DataFrame, least_iou: float, kind: str = "entity_ty
     return a.join(b, on).where(first).select(F.col(f"a.{key}").alias("left_id"), F.col(f"b.{key}").alias("right_id"), overlap("a", "b")[1].alias("iou")).where(F.col("iou") > least_iou)
 
 
+def best_matches(found: DataFrame, known: DataFrame, least_iou: float, kind: str = "entity_type", key: str = "entity_id", size: float = 1000.0) -> DataFrame:
+    """(key, match, iou): for each found box the known box of its kind that it overlaps most, over least_iou; the least key
+    of equal ones. Keys of found and known must differ."""
+    columns = [key, kind, "x1", "y1", "x2", "y2"]
+    ids = F.concat(F.when(F.col("_new"), "n").otherwise("k"), F.col(key))  # n sorts after k: a known box is on the left
+    both = found.select(*columns, F.lit(True).alias("_new")).unionByName(known.select(*columns, F.lit(False).alias("_new"))).withColumn(key, ids)
+    pairs = overlapping_pairs(both, least_iou, kind, key, size).where(F.startswith("left_id", F.lit("k")) & F.startswith("right_id", F.lit("n")))
+    best = pairs.groupBy("right_id").agg(F.min(F.struct((-F.round("iou", 9)).alias("iou"), F.col("left_id"))).alias("m"))
+    return best.select(F.substr("right_id", F.lit(2)).alias(key), F.substr("m.left_id", F.lit(2)).alias("match"), (-F.col("m.iou")).alias("iou"))
+
+
 # --- rings: arrays of struct(x, y), the first corner repeated at the end --------------------------------------------------
 
 

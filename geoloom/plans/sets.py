@@ -89,6 +89,20 @@ def _(a):
     return geo.overlapping_pairs(boxed, 0.3, size=3000.0).select("left_id", "right_id", F.round("iou", 6).alias("iou"))
 
 
+NEW = "{0}::BIGINT % 3 = 0"
+
+
+@query("st2_matched_ingest", f"""WITH p AS (SELECT left_id, right_id, round(i / (s - i), 9) AS iou FROM ({IOU}) WHERE i / (s - i) > 0.3), q AS (SELECT left_id AS d, right_id AS e, iou FROM p UNION ALL SELECT right_id, left_id, iou FROM p),
+m AS (SELECT d, e FROM (SELECT d, e, row_number() OVER (PARTITION BY d ORDER BY iou DESC, e) AS k FROM q WHERE {NEW.format('substr(d, 5)')} AND NOT {NEW.format('substr(e, 5)')}) WHERE k = 1)
+SELECT coalesce(e, entity_id) AS entity_id, max(last_seen) AS last_seen, count(e) AS n_matched FROM entities LEFT JOIN m ON d = entity_id GROUP BY coalesce(e, entity_id)""")
+def _(a):
+    """A third of the entities arrives as new detections: what overlaps a known one of its type updates that, the rest is added."""
+    boxed = geo.boxes(a.entities.select("entity_id", "entity_type", "lon", "lat", (F.col("area_m2") * 400).alias("area_m2"), "last_seen", (F.col("vec_id") % 3 == 0).alias("new")))
+    matches = geo.best_matches(boxed.where("new"), boxed.where("NOT new"), 0.3, size=3000.0)
+    into = boxed.select("entity_id", "last_seen").join(matches.select("entity_id", "match"), "entity_id", "left")
+    return into.groupBy(F.coalesce("match", "entity_id").alias("entity_id")).agg(F.max("last_seen").alias("last_seen"), F.count("match").alias("n_matched"))
+
+
 @query("j09_a16_merged_groups", f"""WITH RECURSIVE p AS (SELECT left_id, right_id FROM ({IOU}) WHERE i / (s - i) > 0.3), e AS (SELECT left_id AS a, right_id AS b FROM p UNION ALL SELECT right_id, left_id FROM p),
 r AS (SELECT DISTINCT a AS v, a AS u FROM e UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u), g AS (SELECT v, min(u) AS component FROM r GROUP BY v)
 SELECT component, count(*) AS n, round(avg(class_confidence), 6) AS confidence, array_to_string(list_sort(list(DISTINCT scene_id)), ',') AS scenes FROM g JOIN entities ON entity_id = v GROUP BY component""")

@@ -17,9 +17,9 @@ from geoloom.sources.views import VIEWS
 LATE = "1 day"
 
 
-def landed(spark: SparkSession, sf_dir: str, table: str, columns: str) -> DataFrame:
-    """A stream of a table's files in a folder; new files are new rows."""
-    files = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{table}.parquet").schema).option("pathGlobFilter", f"{table}.parquet" if "*" not in table else table)
+def landed(spark: SparkSession, sf_dir: str, table: str, columns: str, names: str | None = None) -> DataFrame:
+    """A stream of a table's files in a folder (names: a glob for them); new files are new rows."""
+    files = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{table}.parquet").schema).option("pathGlobFilter", names or f"{table}.parquet")
     return files.parquet(sf_dir).selectExpr(*columns.split(", "))
 
 
@@ -47,9 +47,9 @@ def sessions(stream: DataFrame, gap: str = "2 hours", late: str = LATE) -> DataF
     return s.select("user_id", F.col("session_window.start").alias("session_start"), "n")
 
 
-def first_seen(stream: DataFrame, late: str = LATE) -> DataFrame:
-    """One row per user and type: repeats are dropped by state."""
-    return stream.withWatermark("ts", late).dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type")
+def first_seen(stream: DataFrame) -> DataFrame:
+    """One row per user and type. Repeats are dropped however late they come, so state holds each pair that was ever seen."""
+    return stream.dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type")
 
 
 def online_baseline(stream: DataFrame) -> DataFrame:
@@ -68,18 +68,44 @@ def online_baseline(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(update, "user_id long, event_id long, obs_state string, z double, cusum double", "model binary", "append", "NoTimeout")
 
 
-def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities merged by key from each micro-batch of landed vectors; every batch writes a new version of the table."""
-    base = scratch(spark, "entities")
-    stream = landed(spark, sf_dir, "embeddings", "vec_id, embedding, label")
-    version: list[str] = []
+ENTITY = "entity_id string, entity_type string, last_seen date"
+#: Entities are dealt by their key to this many parts; a batch rewrites only the parts that it touches.
+PARTS = 64
+
+
+def current(spark: SparkSession, base: str, schema: str = ENTITY, before: int | None = None) -> DataFrame:
+    """The table in base, with part: the last version of each part, of versions under `before` only if that is given."""
+    rows = spark.read.schema(f"{schema}, part int, version long").parquet(base)
+    if before is not None:
+        rows = rows.where(F.col("version") < before)
+    last = rows.groupBy("part").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(last), ["part", "version"]).drop("version")  # at most PARTS rows
+
+
+def ingest(spark: SparkSession, sf_dir: str, base: str | None = None, state: str | None = None, files: str | None = None) -> DataFrame:
+    """Entities merged by key from each micro-batch of landed vectors. A batch writes a new version of the parts it touches,
+    made of versions before it only, so one that is repeated after a failure gives the same; with the same base and state a
+    new run goes on where the last one ended. Of equal keys in a batch the one seen last counts."""
+    base, state = base or scratch(spark, "entities"), state or scratch(spark, "entities-state")
+    spark.createDataFrame([], f"{ENTITY}, part int, version long").write.mode("append").partitionBy("part", "version").parquet(base)
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.sparkSession.sql(VIEWS["entities"][1], t=batch).select("entity_id", "entity_type", "last_seen").dropDuplicates(["entity_id"])
-        old = batch.sparkSession.read.parquet(version[-1]) if version else new.limit(0)
-        path = f"{base}/version={number}"
-        sinks.merged(old, new, "entity_id").write.mode("overwrite").parquet(path)
-        version.append(path)
-
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", scratch(spark, "entities-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(version[-1]) if version else spark.createDataFrame([], "entity_id string, entity_type string, last_seen date")
+        seen = batch.sparkSession.sql(VIEWS["entities"][1], t=batch).groupBy("entity_id").agg(F.max(F.struct("last_seen", "entity_type")).alias("x"))
+        new = seen.select("entity_id", "x.entity_type", "x.last_seen", F.pmod(F.xxhash64("entity_id"), F.lit(PARTS)).cast("int").alias("part"))
+        touched = F.broadcast(new.select("part").distinct())  # at most PARTS rows
+        old = current(batch.sparkSession, base, before=number).join(touched, "part", "left_semi").select(*new.columns)
+        out = sinks.merged(old, new, "entity_id").withColumn("version", F.lit(number).cast("long")).repartition("part")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "version").parquet(base)
+
+    stream = landed(spark, sf_dir, "embeddings", "vec_id, embedding, label", files)
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return current(spark, base).drop("part")
+
+
+def status(query) -> dict:
+    """Where a stream stands, from its last batch: batch, rows in, rows a second, watermark, rows of state."""
+    last = query.lastProgress
+    if last is None:
+        return {"batch": None, "rows": 0, "rows_per_second": 0.0, "watermark": None, "state_rows": 0, "active": query.isActive}
+    state = sum(s.numRowsTotal for s in last.stateOperators)
+    return {"batch": last.batchId, "rows": last.numInputRows, "rows_per_second": last.processedRowsPerSecond, "watermark": last.eventTime.get("watermark"), "state_rows": state, "active": query.isActive}

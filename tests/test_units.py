@@ -138,7 +138,44 @@ def test_engine(spark, sf):
     assert e.entity("ENT_000001").count() == 1 and e.layer("ref_water").count() > 0
     assert "ENT_000007" not in {r.entity_id for r in e.similar("ENT_000007").collect()}
     assert not {"ENT_000001", "ENT_000002"} & {r.entity_id for r in e.similar_sites(["ENT_000001", "ENT_000002"], 5).collect()}
+    with pytest.raises(ValueError):
+        e.search(Q)
+    encoded = Engine(spark, sf, encode=lambda text: e.vector("ENT_000007"))
+    assert encoded.search(Q, limit=5).collect() == e.search(Q, limit=5, like="ENT_000007").collect()
     ledger = sinks.chained(e.archive.audit.where("log_id < 4"))
     entry = spark.createDataFrame([(99, "a", "confirm", "ENT_000001", "{}")], e.archive.audit.schema)
     grown = e.verdict(ledger, entry)
     assert sinks.verify_chain(grown).where("NOT (linked AND intact)").count() == 0 and grown.count() == 5
+
+
+def test_ingest_goes_on_after_a_restart(spark, sf, tmp_path):
+    """Two runs over files that land one after the other give the table of all; a batch rewrites only what it touches."""
+    import pyarrow.parquet as pq
+
+    from geoloom.sources.views import Archive
+    from geoloom.streaming import jobs
+
+    vectors = pq.read_table(f"{sf}/embeddings.parquet")
+    land, base, state = (str(tmp_path / x) for x in ("land", "table", "state"))
+    (tmp_path / "land").mkdir()
+    run = lambda: jobs.ingest(spark, land, base, state, "embeddings*.parquet")
+    pq.write_table(vectors.slice(0, 100), f"{land}/embeddings.parquet")
+    assert run().count() == 100
+    pq.write_table(vectors.slice(99, 2), f"{land}/embeddings-2.parquet")
+    assert run().count() == 101
+    written = spark.read.parquet(base).select("part", "version").distinct().groupBy("version").count().collect()
+    assert {r.version: r["count"] for r in written}[1] <= 2
+    pq.write_table(vectors.slice(101), f"{land}/embeddings-3.parquet")
+    want = Archive(spark, sf).entities.select("entity_id", "entity_type", "last_seen")
+    assert sorted(run().collect()) == sorted(want.collect())
+    assert sorted(jobs.current(spark, base, before=2).drop("part").collect()) == sorted(want.where("vec_id < 101").collect())
+
+
+def test_status_of_a_stream(spark, sf):
+    from geoloom.streaming import jobs
+
+    events = jobs.events(spark, sf)
+    query = jobs.tumbling(events).writeStream.format("noop").option("checkpointLocation", jobs.scratch(spark, "status")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = jobs.status(query)
+    assert got["batch"] >= 0 and not got["active"] and got["watermark"]
