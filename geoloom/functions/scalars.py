@@ -75,9 +75,9 @@ def fused_score(z_optical: Column, z_sar: Column, agreed: Column) -> Column:
     return sigmoid(W_OPTICAL * z_optical + W_SAR * z_sar + W_AGREEMENT * agreed * 3.0 - 2.0)
 
 
-def ranking_score(change: Column, semantic: Column, spatial: Column, visual: Column, quality: Column) -> Column:
+def ranking_score(change: Column, semantic: Column, spatial: Column, visual: Column, quality: Column, weights: dict[str, float] | None = None) -> Column:
     parts = {"change": change, "semantic": semantic, "spatial": spatial, "visual": visual, "quality": quality}
-    return sum((F.lit(WEIGHTS[k]) * v for k, v in parts.items()), F.lit(0.0))
+    return sum((F.lit((weights or WEIGHTS)[k]) * v for k, v in parts.items()), F.lit(0.0))
 
 
 def spatial_relevance(distance_m: Column) -> Column:

@@ -105,9 +105,10 @@ def with_defaults(df: DataFrame) -> DataFrame:
     return out.withColumn("sar_z", F.coalesce("sar_z", F.when(F.col("has_sar"), 3.8).otherwise(0.5)))
 
 
-def execute(entities: DataFrame, vecs: DataFrame, plan: Plan, query: DataFrame, segments: DataFrame | None = None, k: int = 100, explain_top: int = 5) -> DataFrame:
+def execute(entities: DataFrame, vecs: DataFrame, plan: Plan, query: DataFrame, segments: DataFrame | None = None, k: int = 100, explain_top: int = 5, weights: dict[str, float] | None = None) -> DataFrame:
     """The plan's results in rank order. query: one row with the vector q. Vectors are narrowed to the first stage before
-    they are compared, and explanations are made for the first explain_top ranks only."""
+    they are compared, and explanations are made for the first explain_top ranks only. weights: of the ranking, the fixed ones
+    if not given."""
     first = stage_one(entities, plan, segments)
     rows = with_defaults(vectors.top_k(first.join(vecs.select("entity_id", "embedding"), "entity_id"), query, k).drop("embedding"))
     c = F.col
@@ -116,7 +117,7 @@ def execute(entities: DataFrame, vecs: DataFrame, plan: Plan, query: DataFrame,
     rows = rows.withColumns({"semantic": vectors.rescaled(c("cosine")), "gates": gates})
     rows = rows.withColumn("agreed", S.agreement(c("optical_z"), c("sar_z"), F.lit(0.05)))
     rows = rows.withColumn("fused", F.round(S.fused_score(c("optical_z"), c("sar_z"), c("agreed.agreement")), 6))
-    score = S.ranking_score(c("change_confidence"), c("semantic"), S.spatial_relevance(distance), S.clamp(c("cosine")), c("valid_fraction"))
+    score = S.ranking_score(c("change_confidence"), c("semantic"), S.spatial_relevance(distance), S.clamp(c("cosine")), c("valid_fraction"), weights)
     rows = rows.withColumn("final", F.round(score, 4)).orderBy(F.desc("final"), F.desc("cosine"), "entity_id").limit(plan.limit)
     rank = F.row_number().over(Window.orderBy(F.desc("final"), F.desc("cosine"), "entity_id"))  # of at most 100 rows
     passed = F.size(F.filter("gates", lambda g: g.passed))

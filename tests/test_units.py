@@ -131,6 +131,7 @@ def test_config(tmp_path):
 def test_engine(spark, sf):
     from geoloom.engine import Engine
     from geoloom.sources import sinks
+    from geoloom.sources.config import Settings
 
     e = Engine(spark, sf)
     assert e.search(Q, limit=5, like="ENT_000007").count() <= 5
@@ -140,6 +141,12 @@ def test_engine(spark, sf):
     assert not {"ENT_000001", "ENT_000002"} & {r.entity_id for r in e.similar_sites(["ENT_000001", "ENT_000002"], 5).collect()}
     with pytest.raises(ValueError):
         e.search(Q)
+    strict = Engine(spark, sf, settings=Settings(weights={"change": 1.0, "semantic": 0.0, "spatial": 0.0, "visual": 0.0, "quality": 0.0}, limit=1e9, rocchio=(1.0, 0.0, 0.0)))
+    assert all(r.final == pytest.approx(r.change_confidence) for r in strict.search(Q, limit=5, like="ENT_000007").collect())
+    assert {r.status for r in strict.timeline("CELL_3").collect()} == {"STABLE"}
+    plain = [r.entity_id for r in e.similar("ENT_000007", 12).collect() if r.entity_id not in ("ENT_000001", "ENT_000002")]
+    near = strict.refined(e.vector("ENT_000007"), ["ENT_000007", "ENT_000001"], ["ENT_000002"], 10)
+    assert [r.entity_id for r in near.collect()] == plain[:10]
     encoded = Engine(spark, sf, encode=lambda text: e.vector("ENT_000007"))
     assert encoded.search(Q, limit=5).collect() == e.search(Q, limit=5, like="ENT_000007").collect()
     ledger = sinks.chained(e.archive.audit.where("log_id < 4"))
