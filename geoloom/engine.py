@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.operators import discovery, temporal, vectors
-from geoloom.plans.dsl import Plan, execute, parse, stage_order
+from geoloom.plans.dsl import LAYERS, Plan, execute, parse, stage_order
 from geoloom.sources import sinks
 from geoloom.sources.config import Settings
 from geoloom.sources.views import Archive
@@ -76,7 +76,7 @@ class Engine:
         return found.orderBy("rank").select("rank", sinks.geojson_feature().alias("feature"))
 
     def layer(self, name: str) -> DataFrame:
-        if name not in ("ref_water", "ref_roads"):
+        if name not in LAYERS.values():
             raise ValueError(f"unknown layer {name}")
         return self.archive.segments.where(F.col("layer") == name)
 

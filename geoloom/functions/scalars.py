@@ -154,3 +154,14 @@ def parsed_question(text: Column) -> dict[str, Column]:
         "from_date": F.when(n >= 1, F.concat(first, F.lit("-01-01"))).otherwise(DEFAULT_FROM),
         "to_date": F.when(n >= 2, F.concat(F.get(years, F.lit(1)), F.lit("-12-31"))).when(n == 1, F.concat(first, F.lit("-12-31"))).otherwise(DEFAULT_TO),
     }
+
+
+def elapsed_seconds(since: Column, until: Column | None = None) -> Column:
+    """Whole seconds from a time to another, to now if that isn't given."""
+    return F.unix_timestamp((until if until is not None else F.current_timestamp()).cast("timestamp")) - F.unix_timestamp(since.cast("timestamp"))
+
+
+def wkt_polygon(ring: str) -> Column:
+    """A ring of struct(x, y) as well-known text, six decimals."""
+    corners = F.transform(ring, lambda p: F.format_string("%.6f %.6f", p.x, p.y))
+    return F.concat(F.lit("POLYGON(("), F.array_join(corners, ", "), F.lit("))"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,3 +55,17 @@ def conformance(one: DataFrame, two: DataFrame, key: str, name: str, other: str)
     origin = F.coalesce((F.col("g.top") == F.col("h.top")) & (F.col("g.left") == F.col("h.left")), F.lit(False))
     count = lambda x: F.coalesce(f"{x}_pixels", F.lit(0)).alias(f"{x}_pixels")
     return both.select(key, count(name), count(other), origin.alias("same_origin"), F.coalesce(F.col("g") == F.col("h"), F.lit(False)).alias("conforms"))
+
+
+def refined_clear(clear: Column, bands: list[str], predict: Callable[[pd.DataFrame], pd.Series], most: float = 0.4) -> Column:
+    """clear, and the model's chance of cloud under `most`. predict: the chances from a batch's bands; where it fails, clear
+    stays as it is, as it does for pixels without a chance."""
+
+    def refine(mask: pd.Series, *values: pd.Series) -> pd.Series:
+        try:
+            chance = predict(pd.DataFrame(dict(zip(bands, values, strict=True))))
+        except Exception:  # a model's faults are its own; the rules' mask holds without it
+            return mask
+        return mask & ~(chance >= most)
+
+    return F.pandas_udf(refine, "boolean")(F.coalesce(clear, F.lit(False)), *bands)

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from geoloom.functions import scalars as S
 from geoloom.operators import geo, vectors
 
-LAYERS = {"near_water": "ref_water", "near_road": "ref_roads"}
+LAYERS = {"near_water": "ref_water", "near_road": "ref_roads", "near_rail": "ref_rail", "near_landuse": "ref_landuse"}
 DISTANCES = {"near_water": "river_distance_m", "near_road": "road_distance_m"}
+#: What an entity must have to be seen by a sensor; a plan that names both, or none, asks for nothing.
+SENSORS = {"sentinel-1": "has_sar", "sentinel-2": "optical_z IS NOT NULL"}
 DEFAULTS = {"change_confidence": 0.85, "river_distance_m": 500.0, "road_distance_m": 500.0, "valid_fraction": 0.95, "registration_residual_px": 0.21, "optical_z": 4.2}
 
 
@@ -31,12 +33,20 @@ class Plan:
     sensors: tuple[str, ...] = ()
     limit: int = 20
     on_empty: str = "none"  # or "all": an empty first stage then searches the whole archive
+    attributes: tuple[tuple[str, object], ...] = ()  # (column, value) that entities must have
+    time_field: str = "first_seen"  # the column that the window of dates is about
+    relations: tuple[tuple[str, float], ...] = ()  # further (relation, metres), all of which must hold
 
     def __post_init__(self):
         if not 1 <= self.limit <= 100:
             raise ValueError("limit must lie between 1 and 100")
-        if self.relation is not None and self.relation not in LAYERS and self.relation != "within_aoi":
-            raise ValueError(f"unknown relation {self.relation}")
+        for relation in (self.relation, *(r for r, _ in self.relations)):
+            if relation is not None and relation not in LAYERS and relation != "within_aoi":
+                raise ValueError(f"unknown relation {relation}")
+        if self.time_field not in ("first_seen", "last_seen"):
+            raise ValueError("time_field must be first_seen or last_seen")
+        if not set(self.sensors) <= set(SENSORS):
+            raise ValueError(f"unknown sensors {self.sensors}")
         if self.min_confidence is not None and not 0 <= self.min_confidence <= 1:
             raise ValueError("min_confidence must lie between 0 and 1")
         if self.on_empty not in ("none", "all"):
@@ -76,25 +86,36 @@ def predicates(plan: Plan) -> Column:
     if plan.min_confidence is not None:
         parts.append(c("change_confidence") >= plan.min_confidence)
     if plan.from_date and plan.to_date:
-        parts.append(c("first_seen").between(F.lit(plan.from_date).cast("date"), F.lit(plan.to_date).cast("date")))
+        parts.append(c(plan.time_field).between(F.lit(plan.from_date).cast("date"), F.lit(plan.to_date).cast("date")))
     if plan.aoi:
         parts.append(geo.in_polygon(c("lon"), c("lat"), list(plan.aoi)))
-    if plan.sensors == ("sentinel-1",):
-        parts.append(c("has_sar"))
+    if len(set(plan.sensors)) == 1:
+        parts.append(F.expr(SENSORS[plan.sensors[0]]))
+    parts += [c(name) == value for name, value in plan.attributes]
     out = parts[0]
     for p in parts[1:]:
         out = out & p
     return out
 
 
-def stage_one(entities: DataFrame, plan: Plan, segments: DataFrame | None = None) -> DataFrame:
-    """The entities that pass the predicates and lie near a feature of the relation's layer."""
-    out = entities.where(predicates(plan))
-    layer = plan.target_layer or LAYERS.get(plan.relation or "")
+def related(entities: DataFrame, relation: str | None, distance_m: float, segments: DataFrame | None, layer: str | None = None) -> DataFrame:
+    """The entities that lie near a feature of the relation's layer: by segments if they are given, by the distance kept with
+    each entity otherwise. An area of interest is no layer."""
+    layer = layer or LAYERS.get(relation or "")
     if layer and segments is not None:
-        out = geo.within_distance(out, segments.where(F.col("layer") == layer), plan.distance_m)
-    elif plan.relation in DISTANCES:
-        out = out.where(F.col(DISTANCES[plan.relation]) <= plan.distance_m)
+        return geo.within_distance(entities, segments.where(F.col("layer") == layer), distance_m)
+    if relation in DISTANCES:
+        return entities.where(F.col(DISTANCES[relation]) <= distance_m)
+    if relation in LAYERS:
+        raise ValueError(f"{relation} takes the segments of {layer}")
+    return entities
+
+
+def stage_one(entities: DataFrame, plan: Plan, segments: DataFrame | None = None) -> DataFrame:
+    """The entities that pass the predicates and lie near a feature of each relation's layer."""
+    out = related(entities.where(predicates(plan)), plan.relation, plan.distance_m, segments, plan.target_layer)
+    for relation, distance_m in plan.relations:
+        out = related(out, relation, distance_m, segments)
     if plan.on_empty == "all":
         return out if not out.isEmpty() else entities
     return out

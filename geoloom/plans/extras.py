@@ -1,14 +1,18 @@
-"""Polygons, grids, provenance and the engine's routes (G03, G07, R08, K09, K14, API)."""
+"""Polygons, grids, provenance, plan fields, documents and the engine's routes (G, R, K, S20, P07, F11, F20, C09, D07, API)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from geoloom.engine import Engine
-from geoloom.operators import geo, raster
+from geoloom.functions import scalars
+from geoloom.operators import geo, raster, vectors
 from geoloom.operators.lineage import scratch
 from geoloom.plans.archive import COS
+from geoloom.plans.dsl import Plan, stage_one
 from geoloom.plans.registry import query
+from geoloom.plans.sets import DIST
+from geoloom.sources import documents, sinks
 
 
 @query("g03_g07_polygons", """SELECT entity_id, round(w * h * 1e6, 6) AS area, round(lon + w / 2, 9) AS cx, round(lat + h / 2, 9) AS cy, CASE WHEN w >= h THEN 0.0 ELSE 90.0 END AS orientation, true AS closed
@@ -58,3 +62,82 @@ def _(a):
     top = a.entities.select("entity_id", "area_m2").orderBy(F.desc("area_m2"), "entity_id").limit(15)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("area_m2"), "entity_id")))  # of 15 rows
     return Engine(a.spark, a.sf_dir).export(ranked)
+
+
+@query("qe_plan_fields", f"""WITH d AS {DIST} SELECT entity_id FROM entities WHERE entity_type = 'building' AND NOT is_linear AND radiometric_ok AND last_seen BETWEEN date '2025-11-01' AND date '2025-12-31' AND optical_z IS NOT NULL
+AND entity_id IN (SELECT entity_id FROM d WHERE layer = 'ref_water' AND d <= 2500) AND entity_id IN (SELECT entity_id FROM d WHERE layer = 'ref_roads' AND d <= 2000)""")
+def _(a):
+    """Attributes, the time field, one sensor and two relations of a plan."""
+    plan = Plan(
+        entity_type="building", attributes=(("is_linear", False), ("radiometric_ok", True)), time_field="last_seen", from_date="2025-11-01", to_date="2025-12-31",
+        sensors=("sentinel-2",), relation="near_water", distance_m=2500.0, relations=(("near_road", 2000.0),),
+    )
+    return stage_one(a.entities, plan, a.segments).select("entity_id")
+
+
+@query("p07_scene_rows", "SELECT scene_id, band_letter AS collection, scene_date, cloud_cover, len(string_split(assets, ',')) AS n_assets, CASE WHEN list_contains(string_split(assets, ','), 'swir') THEN scene_id || '/swir.tif' END AS swir FROM scenes")
+def _(a):
+    path = scratch(a.spark, "items")
+    names = F.split("assets", ",")
+    assets = F.map_from_arrays(names, F.transform(names, lambda n: F.struct(F.concat("scene_id", F.lit("/"), n, F.lit(".tif")).alias("href"))))
+    properties = F.struct(F.date_format("scene_date", "yyyy-MM-dd'T'HH:mm:ss").alias("datetime"), F.col("cloud_cover").alias("eo:cloud_cover"))
+    a.scenes.select(F.col("scene_id").alias("id"), F.col("band_letter").alias("collection"), properties.alias("properties"), assets.alias("assets")).write.json(path)
+    return documents.scene_rows(a.spark, path).select("scene_id", "collection", "scene_date", "cloud_cover", F.size("assets").alias("n_assets"), F.try_element_at("assets", F.lit("swir")).alias("swir"))
+
+
+@query("s20_judgements", "SELECT 'Q' || q.vec_id AS query_id, e.entity_id, 3 - abs(q.label % 3 - e.label % 3)::INT AS rel FROM vectors q JOIN vectors e ON q.label % 5 = e.label % 5 WHERE q.vec_id % 100 = 0")
+def _(a):
+    """Relevance of each entity to a stated set of queries, through documents of a thousand ids at most."""
+    path = scratch(a.spark, "relevance")
+    q = a.vectors.where("vec_id % 100 = 0").select(F.concat(F.lit("Q"), "vec_id").alias("query_id"), F.col("label").alias("q_label"))
+    pairs = a.vectors.join(q, F.col("label") % 5 == F.col("q_label") % 5)
+    rel = (3 - F.abs(F.col("q_label") % 3 - F.col("label") % 3)).cast("int")
+    part = F.floor(F.col("vec_id") / 1000).alias("part")
+    maps = pairs.groupBy("query_id", part).agg(F.map_from_entries(F.collect_list(F.struct("entity_id", rel.alias("rel")))).alias("relevance"))
+    maps.drop("part").write.json(path)
+    return documents.judgements(a.spark, path)
+
+
+@query("k13_query_cache", """WITH l AS (SELECT max(ts) AS last FROM trajectory), o AS (SELECT cell_id, max(ts) AS last_access, count(*) AS n FROM trajectory WHERE sensor = 'sentinel-2' GROUP BY cell_id), w AS (SELECT cell_id, max(ts) AS last_access, count(*) AS n FROM trajectory WHERE sensor = 'sentinel-1' GROUP BY cell_id)
+SELECT cell_id, last_access, n FROM (SELECT * FROM w UNION ALL SELECT * FROM o WHERE cell_id NOT IN (SELECT cell_id FROM w)), l WHERE last_access >= last - interval 24 hours""")
+def _(a):
+    """Results of cells are registered over older ones; those that were not asked for within a day of the newest go."""
+    of = lambda sensor: a.trajectory.where(F.col("sensor") == sensor).groupBy("cell_id").agg(F.max("ts").alias("last_access"), F.count("*").alias("n"))
+    timed = lambda df: vectors.with_row(df, a.trajectory.agg(F.max("ts").alias("last")))
+    kept = sinks.registered(timed(of("sentinel-2")), timed(of("sentinel-1")), "cell_id", "24 hours", F.col("last"))
+    return kept.select("cell_id", "last_access", "n")
+
+
+@query("f11_f20_regions", "SELECT entity_id, round((1 - cloud_context) * valid_fraction, 6) AS clear FROM entities WHERE (1 - cloud_context) * valid_fraction >= 0.6 AND entity_type <> 'unknown' AND NOT is_linear AND lon IS NOT NULL AND lat IS NOT NULL")
+def _(a):
+    """Regions that are clear enough, of a known type and with a polygon; a linear entity has none."""
+    clear = (1 - F.col("cloud_context")) * F.col("valid_fraction")
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y = F.col("lon"), F.col("lat")
+    ring = F.when(~F.col("is_linear"), F.array(corner(x, y), corner(x + 0.001, y), corner(x, y + 0.001), corner(x, y)))
+    e = a.entities.withColumns({"clear": clear, "ring": ring})
+    return e.where("clear >= 0.6 AND entity_type <> 'unknown' AND lon IS NOT NULL AND lat IS NOT NULL AND size(ring) > 0").select("entity_id", F.round("clear", 6).alias("clear"))
+
+
+XY = "printf('%.6f %.6f', {}, {})"
+
+
+@query("c09_wkt_polygons", f"SELECT ref_id, 'POLYGON((' || {XY.format('x1', 'y1')} || ', ' || {XY.format('x2', 'y1')} || ', ' || {XY.format('x2', 'y2')} || ', ' || {XY.format('x1', 'y2')} || ', ' || {XY.format('x1', 'y1')} || '))' AS wkt FROM segments")
+def _(a):
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(corner("x1", "y1"), corner("x2", "y1"), corner("x2", "y2"), corner("x1", "y2"), corner("x1", "y1"))
+    return a.segments.withColumn("ring", ring).select("ref_id", scalars.wkt_polygon("ring").alias("wkt"))
+
+
+@query("d07_elapsed", "SELECT seq, cell_id, (floor(epoch(last)) - floor(epoch(ts)))::BIGINT AS elapsed_s FROM trajectory, (SELECT max(ts) AS last FROM trajectory)")
+def _(a):
+    """Seconds from each observation to the newest one, which stands for now."""
+    timed = vectors.with_row(a.trajectory, a.trajectory.agg(F.max("ts").alias("last")))
+    return timed.select("seq", "cell_id", scalars.elapsed_seconds(F.col("ts"), F.col("last")).alias("elapsed_s"))
+
+
+@query("r02_refined_mask", "SELECT cell, count(*) AS n, count(*) FILTER (is_valid AND NOT (blue / 10000 >= 0.4)) AS clear FROM pixels GROUP BY cell")
+def _(a):
+    """The rules' mask and a model's chance of cloud; here brightness in blue stands for the model."""
+    clear = raster.refined_clear(F.col("is_valid"), ["blue", "red"], lambda f: f["blue"] / 10000)
+    return a.pixels.withColumn("clear", clear).groupBy("cell").agg(F.count("*").alias("n"), F.count_if("clear").alias("clear"))

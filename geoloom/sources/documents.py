@@ -24,6 +24,20 @@ def geojson_layer(spark: SparkSession, path: str, properties: str) -> DataFrame:
     return f.where(F.size("f.geometry.coordinates") > 0).select("f.properties.*", geom.alias("geom"))
 
 
+def scene_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Catalogue items as rows of scenes, with assets as a map of name to address; items without an id are left out."""
+    item = "id string, collection string, properties struct<datetime: timestamp_ntz, `eo:cloud_cover`: double>, assets map<string, struct<href: string>>"
+    found, p = spark.read.schema(item).json(path).where("id IS NOT NULL"), F.col("properties")
+    assets = F.transform_values("assets", lambda _, asset: asset.href)
+    return found.select(F.col("id").alias("scene_id"), "collection", p["datetime"].cast("date").alias("scene_date"), p["eo:cloud_cover"].alias("cloud_cover"), assets.alias("assets"))
+
+
+def judgements(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, entity_id, rel) of documents that hold a query and a map of entities to their relevance each."""
+    docs = spark.read.schema("query_id string, relevance map<string, int>").json(path)
+    return docs.select("query_id", F.explode("relevance").alias("entity_id", "rel"))
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path

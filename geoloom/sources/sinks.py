@@ -25,6 +25,12 @@ def only_new(existing: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     return new.join(existing.select(*key), list(key), "left_anti")
 
 
+def registered(cache: DataFrame, new: DataFrame, key: str, ttl: str, now: Column) -> DataFrame:
+    """A cache of results (key, last_access, ..) with new ones in place of those of their key, without what wasn't asked for
+    within ttl before now."""
+    return merged(cache, new, key).where(F.col("last_access") >= now - F.expr(f"interval {ttl}"))
+
+
 def write_trajectory(df: DataFrame, path: str, cell: str = "cell_id", prefix: int = 7) -> None:
     """Parquet by cell prefix; rows of a prefix are brought together first, so that each folder gets few files."""
     df.withColumn("cell_prefix", F.substring(cell, 1, prefix)).repartition("cell_prefix").sortWithinPartitions(cell).write.mode("append").partitionBy("cell_prefix").parquet(path)

@@ -186,3 +186,32 @@ def test_status_of_a_stream(spark, sf):
     query.awaitTermination()
     got = jobs.status(query)
     assert got["batch"] >= 0 and not got["active"] and got["watermark"]
+
+
+def test_plan_fields_are_checked(spark, sf):
+    from geoloom.sources.views import Archive
+
+    for wrong in ({"time_field": "seen"}, {"sensors": ("landsat",)}, {"relations": (("near_moon", 1.0),)}):
+        with pytest.raises(ValueError):
+            Plan(**wrong)
+    a = Archive(spark, sf)
+    with pytest.raises(ValueError):
+        stage_one(a.entities, Plan(relation="near_rail"))  # no distances are kept for it
+    assert stage_one(a.entities, Plan(relation="near_rail"), a.segments).count() == 0  # and no such features
+    assert stage_one(a.entities, Plan(sensors=("sentinel-1", "sentinel-2"))).count() == a.entities.count()
+
+
+def test_refined_mask_without_its_model(spark, sf):
+    from geoloom.operators.raster import refined_clear
+    from geoloom.sources.views import Archive
+
+    def broken(bands):
+        raise RuntimeError("no weights")
+
+    p = Archive(spark, sf).pixels
+    assert p.where(refined_clear(p.is_valid, ["blue"], broken)).count() == p.where("is_valid").count()
+
+
+def test_elapsed_until_now(spark):
+    row = spark.range(1).select(S.elapsed_seconds(F.current_timestamp() - F.expr("interval 90 seconds")).alias("s")).first()
+    assert row.s in (90, 91)
