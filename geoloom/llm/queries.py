@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from geoloom.llm.conversation_repair import OP12_SQL, op12_conversation_repair
 from geoloom.llm.decontaminate import OP7_SQL, op7_decontaminate
 from geoloom.llm.lexical_search import OP11_SQL, op11_lexical_search
 from geoloom.llm.lm_score import op4_lm_score
@@ -27,8 +28,17 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_token_files": op10_token_files,
     "op11_lexical_search": op11_lexical_search,
+    "op12_conversation_repair": op12_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op1_quality_rules": OP1_SQL, "op2_warc_transactions": OP2_SQL, "op3_near_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL, "op8_secret_scan": OP8_SQL, "op11_lexical_search": OP11_SQL}
+SQL = {
+    "op1_quality_rules": OP1_SQL,
+    "op2_warc_transactions": OP2_SQL,
+    "op3_near_dedup": OP3_SQL,
+    "op7_decontaminate": OP7_SQL,
+    "op8_secret_scan": OP8_SQL,
+    "op11_lexical_search": OP11_SQL,
+    "op12_conversation_repair": OP12_SQL,
+}
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
