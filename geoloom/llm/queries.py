@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from geoloom.llm.conversation_repair import OP12_SQL, op12_conversation_repair
 from geoloom.llm.decontaminate import OP7_SQL, op7_decontaminate
+from geoloom.llm.fingerprints import OP13_SQL, op13_fingerprints
 from geoloom.llm.lexical_search import OP11_SQL, op11_lexical_search
 from geoloom.llm.lm_score import op4_lm_score
 from geoloom.llm.mixing import op9_mix_sources
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_lexical_search": op11_lexical_search,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_fingerprints": op13_fingerprints,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
@@ -39,6 +41,7 @@ SQL = {
     "op8_secret_scan": OP8_SQL,
     "op11_lexical_search": OP11_SQL,
     "op12_conversation_repair": OP12_SQL,
+    "op13_fingerprints": OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
