@@ -74,13 +74,13 @@ def resemblance(a: str, b: str, k: int = K) -> Column:
 
 
 def shingle_count(a: str, k: int = K) -> Column:
-    """The number of distinct shingles: exact below k, else from the k-th least hash."""
-    highest = F.conv(F.substring(F.hex(F.element_at(a, -1)), 1, 15), 16, 10).cast("double")
+    """The number of distinct shingles of a sketch in digits: exact below k, else from the k-th least hash."""
+    highest = F.conv(F.substring(F.try_element_at(a, F.lit(-1)), 1, 15), 16, 10).cast("double")
     return F.when(F.size(a) < k, F.size(a).cast("double")).otherwise((k - 1) * F.lit(2.0**60) / F.greatest(highest, F.lit(1.0)))
 
 
 def containment(a: str, b: str, k: int = K) -> Column:
-    """The share of a's shingles that b has too."""
+    """The share of a's shingles that b has too; sketches in digits."""
     j = resemblance(a, b, k)
     common = j / (1 + j) * (shingle_count(a, k) + shingle_count(b, k))
     return F.when(F.size(a) > 0, F.least(F.lit(1.0), common / shingle_count(a, k))).otherwise(F.lit(1.0))
@@ -88,7 +88,8 @@ def containment(a: str, b: str, k: int = K) -> Column:
 
 def merged(sketches: DataFrame, sketch: str, *by: str, k: int = K) -> DataFrame:
     """by, and the sketch of the union of each group's sets; tasks keep k hashes of a group before the shuffle."""
-    rows = sketches.select(*by, F.explode(sketch).alias(sketch))
+    # outer, as a plain explode's filter would be pushed below the sketches and make them twice
+    rows = sketches.select(*by, F.explode_outer(sketch).alias(sketch)).where(F.col(sketch).isNotNull())
     place = F.dense_rank().over(Window.partitionBy(*by).orderBy(sketch))
     least = rows.withColumn("_place", place).where(F.col("_place") <= k).drop("_place").distinct()
     return least.groupBy(*by).agg(F.sort_array(F.collect_list(sketch)).alias(sketch))  # k hashes
