@@ -30,7 +30,8 @@ MAX_CAPITALS = 0.6
 SYMBOLS = r"[^#*$%&|<>]+"
 
 ENDS_WELL = r"""[.!?…。！？:;]["'”’»)\]]*[\x20\x09-\x0D]*$"""
-SEPARATORS = r"(?:[|»›>·][^|»›>·]*){3,}"
+SEPARATORS = "|»›>·"
+MOST_SEPARATORS = 2
 MENU = r"(?i)^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){0,3}(?:home|menu|login|log in|sign in|sign up|contact|about us|search|sitemap|next|previous|read more|back to top|share|subscribe)[\x20\x09-\x0D.!:]*$"
 BOILERPLATE = r"(?i)(?:all rights reserved|terms of (?:use|service)|privacy policy|use of cookies|accept cookies|enable javascript|lorem ipsum|click here|share this|powered by|subscribe to our)"
 
@@ -43,7 +44,7 @@ def line_fails(line: Column) -> Column:
     return (
         ~line.rlike(ENDS_WELL)
         | (marks > visible * F.lit(MAX_MARKS))
-        | line.rlike(SEPARATORS)
+        | (F.length(line) - F.length(F.translate(line, SEPARATORS, "")) > MOST_SEPARATORS)
         | line.rlike(MENU)
         | line.rlike(BOILERPLATE)
         | ((letters >= 20) & (capitals > letters * F.lit(MAX_CAPITALS)))
