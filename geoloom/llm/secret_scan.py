@@ -26,7 +26,10 @@ from geoloom.llm.trigrams import trigram_query
 
 @dataclass(frozen=True)
 class Rule:
-    """A match counts if its group has at_least characters. prefilter: what every counted match contains, if tighter."""
+    """A match counts if its group has at_least characters. prefilter: what every counted match contains, if tighter.
+
+    No expression starts with an unbounded run, nor has one that further starts lie in and that may fail behind it: each start
+    would go through the run anew, and a long run of letters or digits would take time with its square."""
 
     kind: str
     regex: str
@@ -44,8 +47,8 @@ MORE = (
     Rule("forge_lab", r"glpat-[A-Za-z0-9_-]+", 26),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 20),
     Rule("chat_hook", r"https://hooks\.slack\.com/services/[A-Za-z0-9/]+", 60),
-    Rule("chat_bot", r"[0-9]+:AA[A-Za-z0-9_-]+", 43, prefilter=r"[0-9]:AA[A-Za-z0-9_-]{30}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
+    Rule("chat_bot", r"[0-9]{1,20}:AA[A-Za-z0-9_-]+", 43, prefilter=r"[0-9]:AA[A-Za-z0-9_-]{30}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{1,500}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("age_key", r"AGE-SECRET-KEY-1[A-Z0-9]+", 74),
     Rule("cloud_api", r"AIza[A-Za-z0-9_-]+", 39),
@@ -62,7 +65,7 @@ MORE = (
     Rule("package_index", r"pypi-AgE[A-Za-z0-9_-]+", 60),
     Rule("model_hub", r"hf_[A-Za-z]+", 37),
     Rule("vault", r"hvs\.[A-Za-z0-9_-]+", 28),
-    Rule("url_login", r"[a-z]+://[A-Za-z0-9_.-]+:[^\x20\x09-\x0D/@:\"'<>]+@[A-Za-z0-9.-]+", 12),
+    Rule("url_login", r"[a-z]{1,20}://[A-Za-z0-9_.-]+:[^\x20\x09-\x0D/@:\"'<>]+@[A-Za-z0-9.-]+", 12),
 )
 
 
