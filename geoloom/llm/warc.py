@@ -163,7 +163,10 @@ def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = written(assemble(written(records, "warc-records")), "warc-captures")
     captures = captures.select("record_id", F.col("metadata.key").alias("page_id"), "capture.payload_bytes", "capture.payload_digest", "capture.record_type", F.col("capture.refers_to").alias("original"), F.col("request.http_head").alias("request_line"))
     originals = captures.where("record_type = 'response'").select(F.col("record_id").alias("original"), F.col("page_id").alias("refers_to"))
-    return captures.join(originals, "original", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "request_line")
+    revisits = captures.where("record_type = 'revisit'").join(originals, "original", "left")
+    responses = captures.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long"))  # refer to nothing, so meet in no join
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "request_line")
+    return responses.select(*columns).unionByName(revisits.select(*columns))
 
 
 OP2_SQL = """
