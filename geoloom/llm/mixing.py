@@ -123,7 +123,7 @@ def mixture(docs: DataFrame, keep: list[str] | None = None, block_tokens: int =
     part["last"] = reach.groupBy("source", "block").agg(F.min("key").alias("last"))
     part["takes"] = of_block(part["partial"].drop("room", "cut"), "last", "left").withColumn("partial", F.lit(True))
     out = of_block(dealt(rows), "takes", "left")
-    once_more = F.col("partial").isNotNull() & (F.col("last").isNull() | (F.col("key") <= F.col("last")))
+    once_more = F.col("partial").isNotNull() & (F.col("n_tokens") > 0) & (F.col("last").isNull() | (F.col("key") <= F.col("last")))
     times = F.col("epochs") + once_more.cast("long")
     out = out.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
     return out.select("doc", F.col("n_tokens").alias("mix_tokens"), F.col("epoch").alias("mix_epoch"), F.col("block").alias("mix_block"), F.col("weight").alias("mix_weight"))

@@ -164,7 +164,7 @@ def mixture(rows, block_tokens, most_blocks, seed, target_entropy=None, max_repe
                     out[i, e] += 1
         for b in sorted(blocks, key=lambda b: (spark_hash(b, ("int", seed)), b)):
             for _, i in sorted(blocks[b]):
-                if rest > 0:
+                if rest > 0 and size[i]:
                     out[i, epochs] += 1
                     rest -= size[i]
     return out

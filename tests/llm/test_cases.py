@@ -132,6 +132,44 @@ def test_winnow_keeps_a_hash_of_each_window():
     assert all(kept & set(range(i, i + decontaminate.WINNOW)) for i in range(len(grams) - decontaminate.WINNOW + 1))
 
 
+def took(df):
+    import time
+
+    began = time.time()
+    rows = df.collect()
+    return time.time() - began, rows
+
+
+HOSTILE = {
+    "separators": "words | " * 1_000_000,
+    "stops": "." * 1_000_000 + ")" * 1_000_000 + "x",
+    "spaces": "home" + " " * 1_000_000 + "x",
+    "letters": "http://x " + "://" + "a" * 1_000_000,
+    "scheme": "a" * 1_000_000 + "://b:c d",
+    "digits": "1:AA " + "9" * 1_000_000 + ":AA" + "z" * 10,
+    "headers": "eyJ" * 100_000 + "." + "a" * 100_000,
+    "assignments": "token" * 200_000 + " " * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_texts_take_time_in_proportion(spark, name):
+    """A line of a million separators, runs of a million letters or digits: no recursion, no squares."""
+    text = spark.createDataFrame([(1, HOSTILE[name])], "doc_id long, text string")
+    quality.quality(text.limit(0)).collect(), secret_scan.scan_secrets(text.limit(0)).collect()
+    seconds, rows = took(quality.quality(text))
+    assert seconds < 20 and rows[0].n_symbols == sum(HOSTILE[name].count(c) for c in "#*$%&|<>")
+    seconds, rows = took(secret_scan.scan_secrets(text))
+    assert seconds < 20 and rows[0].n_assign + rows[0].n_access + rows[0].n_hex == sum(brute.secrets(HOSTILE[name])[:3])
+
+
+def test_wordless_texts_are_in_whole_epochs_only(spark):
+    docs = spark.createDataFrame([(i, "" if i % 3 else "a b c d", "s") for i in range(90)], "doc_id long, text string, source string")
+    taken = lambda share: Counter(r.mix_tokens for r in mixing.mix_sources(docs, max_repeats=4.0, budget_share=share).collect())
+    assert taken(0.9)[0] == 0 and taken(0.9)[4] == 27
+    assert taken(1.5)[0] == 60 and taken(1.5)[4] == 45
+
+
 def test_secrets(odd, none):
     got = by(secret_scan.scan_secrets(odd).collect(), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
     assert got == sorted(((r.doc_id, *brute.secrets(r.text)[:4]) for r in odd.collect()), key=str)

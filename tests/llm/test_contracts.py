@@ -31,7 +31,7 @@ def test_op1_base(spark, sf, docs):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     cur = con.execute(SQL[name])
     names = [c[0] for c in cur.description]
