@@ -1,3 +1,3 @@
 """All registered queries."""
 
-from geoloom.plans import archive, extras, flows, rows, sets  # noqa: F401
+from geoloom.plans import archive, discovery, extras, flows, rows, sets  # noqa: F401
