@@ -29,3 +29,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df checkpointed to the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: made once, where a checkpoint is made twice."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
