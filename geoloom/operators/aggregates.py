@@ -5,32 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.operators.lineage import table
+
 
 def share(condition: Column) -> Column:
     """The share of rows for which a condition holds; null counts as no."""
     return F.avg(F.coalesce(condition, F.lit(False)).cast("double"))
 
 
+def counts_upto(df: DataFrame, value: str, *by: str, ranges: int | None = None) -> DataFrame:
+    """by, value, c (rows of the value), upto (rows of values up to it), n (rows of the group): running counts over distinct
+    values, without a group in one task. Values are dealt into ranges of about as many distinct values, running sums go over
+    the values of a range, and a range's start comes from the sums of the ranges before it."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = table(counts.repartitionByRange(ranges, *by, "v").withColumn("part", F.spark_partition_id()), "ranges")
+    inner = Window.partitionBy("part", *by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    sums = dealt.groupBy("part", *by).agg(F.sum("c").alias("c"))  # a row for each range that a group has
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("part", *by, before.alias("before"), F.sum("c").over(Window.partitionBy(*by)).alias("n"))
+    starts = starts.withColumnsRenamed({c: f"_{c}" for c in by}).withColumnRenamed("part", "_part")
+    on = F.col("part") == F.col("_part")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    met = dealt.withColumn("run", F.sum("c").over(inner)).join(starts, on)
+    return met.select(*by, F.col("v").alias(value), "c", (F.col("run") + F.col("before")).alias("upto"), "n")
+
+
 def at_rank(df: DataFrame, value: str, rank: Column, *by: str) -> DataFrame:
-    """The value at a rank (from 0, a column of n) of each group's ordered values, without gathering a group: ranks come from
-    running counts over distinct values, and the first value whose count reaches the rank is taken."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    run = counts.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    return run.where(F.col("upto") > rank).groupBy(*by).agg(F.min(value).alias(value))
+    """The value at a rank (from 0, a column of n) of each group's ordered values, without gathering a group: the first value
+    whose running count reaches the rank is taken."""
+    return counts_upto(df, value, *by).where(F.col("upto") > rank).groupBy(*by).agg(F.min(value).alias(value))
 
 
 def percentiles(df: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
     """by, and under each name the value at that share of the ordering, between two values in proportion; as at_rank, no group
     is gathered, only running counts of its distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    run = counts.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
-    found = []
+    run, found = counts_upto(df, value, *by), []
     for name, p in shares.items():
-        place = F.lit(p) * (F.col("_n") - 1)
+        place = F.lit(p) * (F.col("n") - 1)
         for end, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
-            found.append(F.min(F.when(F.col("_upto") > rank, F.col(value))).alias(f"_{name}_{end}"))
+            found.append(F.min(F.when(F.col("upto") > rank, F.col(value))).alias(f"_{name}_{end}"))
         found.append(F.any_value(place - F.floor(place)).alias(f"_{name}_part"))
     out = run.groupBy(*by).agg(*found)
     return out.select(*by, *((F.col(f"_{k}_low") + (F.col(f"_{k}_high") - F.col(f"_{k}_low")) * F.col(f"_{k}_part")).alias(k) for k in shares))

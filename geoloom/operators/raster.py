@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.operators.aggregates import counts_upto
+from geoloom.operators.lineage import table
+
 
 def box_moments(grid: DataFrame, value: str, reach: int, cell: str = "cell", row: str = "row_no", col: str = "col_no") -> DataFrame:
     """mean and variance (population) of the pixels present within `reach` rows and columns, in two one-dimensional windows:
@@ -22,22 +25,22 @@ def box_moments(grid: DataFrame, value: str, reach: int, cell: str = "cell", row
 
 
 def histogram_match(source: DataFrame, value: str, target: DataFrame, target_value: str) -> DataFrame:
-    """source with matched: the target value at the same place of the ordering. Places come from counts of distinct values,
-    so that only those are ordered; source values that are equal get one match."""
-    def counted(df: DataFrame, v: str) -> DataFrame:
-        c = df.groupBy(F.col(v).alias("v")).agg(F.count("*").alias("c"))
-        upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))  # a row per distinct value
-        return c.withColumn("upto", upto)
-
+    """source with matched: the target value at the same place of the ordering. Places come from running counts of distinct
+    values by ranges; source values that are equal get one match. The place among the target's counts is found by ranges too:
+    wanted places and counts are dealt by place, and the first count of a later range stands for places behind a range's last."""
     n, m = source.count(), target.count()
     place = F.greatest(F.lit(1), F.ceil((F.col("upto") - F.col("c") + 1) * m / F.lit(float(max(n, 1))))).cast("long")
-    wanted = counted(source, value).select(F.col("v").alias("_v"), place.alias("at"), F.lit(None).cast("double").alias("t"))
-    have = counted(target, target_value).select(F.lit(None).cast("double").alias("_v"), F.col("upto").alias("at"), F.col("v").cast("double").alias("t"))
-    # the first target value whose count reaches the place: an as-of join in one window
+    wanted = counts_upto(source, value).select(F.col(value).alias("_v"), place.alias("at"), F.lit(None).cast("double").alias("t"))
+    have = counts_upto(target, target_value).select(F.lit(None).cast("double").alias("_v"), F.col("upto").alias("at"), F.col(target_value).cast("double").alias("t"))
     both = wanted.unionByName(have)
-    w = Window.orderBy(F.desc("at"), F.col("t").isNull(), F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("matched", F.last("t", ignorenulls=True).over(w)).where("_v IS NOT NULL").select("_v", "matched")
-    return source.join(filled, F.col(value) == F.col("_v")).drop("_v")
+    dealt = table(both.repartitionByRange("at").withColumn("part", F.spark_partition_id()), "places")
+    first = dealt.where("t IS NOT NULL").groupBy("part").agg(F.min(F.struct("at", "t")).alias("f"))  # a row for each range
+    later = dealt.select("part").distinct().join(first, "part", "left")
+    later = later.select(F.col("part").alias("_part"), F.first("f.t", ignorenulls=True).over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    # the first target value whose count reaches the place: an as-of join in one window of each range
+    w = Window.partitionBy("part").orderBy(F.desc("at"), F.col("t").isNull(), F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    filled = dealt.withColumn("here", F.last("t", ignorenulls=True).over(w)).where("_v IS NOT NULL").join(F.broadcast(later), F.col("part") == F.col("_part"))
+    return source.join(filled.select("_v", F.coalesce("here", "later").alias("matched")), F.col(value) == F.col("_v")).drop("_v")
 
 
 def grids(pixels: DataFrame, key: str, row: str = "row_no", col: str = "col_no") -> DataFrame:

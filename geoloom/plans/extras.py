@@ -64,13 +64,13 @@ def _(a):
     return Engine(a.spark, a.sf_dir).export(ranked)
 
 
-@query("qe_plan_fields", f"""WITH d AS {DIST} SELECT entity_id FROM entities WHERE entity_type = 'building' AND NOT is_linear AND radiometric_ok AND last_seen BETWEEN date '2025-11-01' AND date '2025-12-31' AND optical_z IS NOT NULL
-AND entity_id IN (SELECT entity_id FROM d WHERE layer = 'ref_water' AND d <= 2500) AND entity_id IN (SELECT entity_id FROM d WHERE layer = 'ref_roads' AND d <= 2000)""")
+@query("qe_plan_fields", f"""WITH d AS (SELECT * FROM {DIST} WHERE d <= 9000) SELECT entity_id FROM entities WHERE entity_type = 'building' AND NOT is_linear AND radiometric_ok AND last_seen BETWEEN date '2025-10-15' AND date '2025-12-31' AND optical_z IS NOT NULL
+AND entity_id IN (SELECT entity_id FROM d WHERE layer = 'ref_water' AND d <= 9000) AND entity_id IN (SELECT entity_id FROM d WHERE layer = 'ref_roads' AND d <= 8000)""")
 def _(a):
     """Attributes, the time field, one sensor and two relations of a plan."""
     plan = Plan(
-        entity_type="building", attributes=(("is_linear", False), ("radiometric_ok", True)), time_field="last_seen", from_date="2025-11-01", to_date="2025-12-31",
-        sensors=("sentinel-2",), relation="near_water", distance_m=2500.0, relations=(("near_road", 2000.0),),
+        entity_type="building", attributes=(("is_linear", False), ("radiometric_ok", True)), time_field="last_seen", from_date="2025-10-15", to_date="2025-12-31",
+        sensors=("sentinel-2",), relation="near_water", distance_m=9000.0, relations=(("near_road", 8000.0),),
     )
     return stage_one(a.entities, plan, a.segments).select("entity_id")
 

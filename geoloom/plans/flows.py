@@ -40,9 +40,7 @@ def _(a):
 def _(a):
     path = scratch(a.spark, "catalogue")
     a.scenes.select("scene_id", F.col("band_letter").alias("collection"), "cloud_cover", "relative_orbit").write.json(path)
-    a.spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    a.spark.dataSource.register(documents.Catalogue)
-    found = a.spark.read.format("catalogue").load(path)
+    found = documents.catalogue(a.spark, path)
     return found.where((F.col("collection") == "F") & (F.col("cloud_cover") < 15.0) & (F.col("relative_orbit") >= 2)).select("scene_id", "relative_orbit")
 
 

@@ -1,12 +1,11 @@
-"""JSON documents with nested arrays, GeoJSON layers, and a catalogue source with filters pushed into it."""
+"""JSON documents with nested arrays, GeoJSON layers and catalogue items."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, LessThan
+
+CATALOGUE = "scene_id string, collection string, cloud_cover double, relative_orbit long"
 
 
 def json_rows(spark: SparkSession, path: str, array: str, schema: str) -> DataFrame:
@@ -38,54 +37,7 @@ def judgements(spark: SparkSession, path: str) -> DataFrame:
     return docs.select("query_id", F.explode("relevance").alias("entity_id", "rel"))
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class CatalogueReader(DataSourceReader):
-    """Reads landed catalogue items (a JSON object a line), a partition for each file. Equality on the collection and upper
-    limits on cloud_cover are applied while reading; all other filters stay with Spark."""
-
-    def __init__(self, path: str):
-        self.path, self.checks = path, []
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("collection",):
-                self.checks.append(("collection", "=", f.value))
-            elif isinstance(f, LessThan) and f.attribute == ("cloud_cover",):
-                self.checks.append(("cloud_cover", "<", f.value))
-            else:
-                yield f
-
-    def partitions(self):
-        from pyarrow import fs
-
-        files, base = fs.FileSystem.from_uri(self.path)
-        found = files.get_file_info(fs.FileSelector(base, recursive=True))
-        return [_File(x.path) for x in found if x.is_file and x.base_name.startswith("part-")]
-
-    def read(self, partition):
-        from pyarrow import fs
-
-        files, _ = fs.FileSystem.from_uri(self.path)
-        with files.open_input_stream(partition.path) as stream:
-            for line in stream.read().decode().splitlines():
-                item = json.loads(line)
-                if all(item.get(k) == v if op == "=" else (item.get(k) is not None and item[k] < v) for k, op, v in self.checks):
-                    yield item.get("scene_id"), item.get("collection"), item.get("cloud_cover"), item.get("relative_orbit")
-
-
-class Catalogue(DataSource):
-    """spark.read.format("catalogue").load(path)"""
-
-    @classmethod
-    def name(cls):
-        return "catalogue"
-
-    def schema(self):
-        return "scene_id string, collection string, cloud_cover double, relative_orbit long"
-
-    def reader(self, schema):
-        return CatalogueReader(self.options["path"])
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """Landed catalogue items, a JSON object a line in any file under the folder, in the columns of CATALOGUE. Spark's reader
+    splits the files and takes filters down to the items; an empty folder has no items."""
+    return spark.read.schema(CATALOGUE).option("recursiveFileLookup", "true").json(path)
