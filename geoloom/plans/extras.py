@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from geoloom.engine import Engine
 from geoloom.functions import scalars
-from geoloom.operators import geo, raster, vectors
+from geoloom.operators import geo, overlay, raster, vectors
 from geoloom.operators.lineage import scratch
 from geoloom.plans.archive import COS
 from geoloom.plans.dsl import Plan, stage_one
@@ -141,3 +141,40 @@ def _(a):
     """The rules' mask and a model's chance of cloud; here brightness in blue stands for the model."""
     clear = raster.refined_clear(F.col("is_valid"), ["blue", "red"], lambda f: f["blue"] / 10000)
     return a.pixels.withColumn("clear", clear).groupBy("cell").agg(F.count("*").alias("n"), F.count_if("clear").alias("clear"))
+
+
+def _rectangle(x1, y1, x2, y2):
+    return F.array(*(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((x1, y1), (x2, y1), (x2, y2), (x1, y2))))
+
+
+def _footprints(a):
+    """Entities as squares of 0.01 to 0.016 degrees with a square hole, and reference segments as squares of 0.02 degrees."""
+    c, half = F.col, 0.005 + (F.col("vec_id") % 7) / 2000
+    hole = F.lit(0.001) + (c("vec_id") % 3) / 1000
+    entities = a.entities.select(c("entity_id").alias("left_id"), F.array(_rectangle(c("lon") - half, c("lat") - half, c("lon") + half, c("lat") + half), _rectangle(c("lon") - hole, c("lat") - hole, c("lon") + hole, c("lat") + hole)).alias("rings"))
+    zones = a.segments.select(c("ref_id").alias("right_id"), F.array(_rectangle(c("x1") - 0.01, c("y1") - 0.01, c("x1") + 0.01, c("y1") + 0.01)).alias("rings"))
+    return entities, zones
+
+
+def _in_common(half):
+    sides = (f"greatest(0, least({x} + {half}, {z} + 0.01e0) - greatest({x} - {half}, {z} - 0.01e0))" for x, z in (("lon", "x1"), ("lat", "y1")))
+    return " * ".join(sides)
+
+
+@query("g02_polygon_overlay", f"""SELECT left_id, right_id, round(common * 1e6, 6) AS common_area, round((4 * half * half - 4 * hole * hole - common) * 1e6, 6) AS left_only_area, round((0.0004e0 - common) * 1e6, 6) AS right_only_area
+FROM (SELECT entity_id AS left_id, ref_id AS right_id, half, hole, {_in_common("half")} - {_in_common("hole")} AS common
+FROM (SELECT *, 0.005e0 + (vec_id % 7) / 2000e0 AS half, 0.001e0 + (vec_id % 3) / 1000e0 AS hole FROM entities), segments) WHERE common > 0""")
+def _(a):
+    """Squares with holes over squares: what they have in common, and what either has alone."""
+    left, right = _footprints(a)
+    found = overlay.overlaid(left, right, ("common", "left_only", "right_only"))
+    return found.select("left_id", "right_id", *(F.round(F.col(f"{k}_area") * 1e6, 6).alias(f"{k}_area") for k in ("common", "left_only", "right_only")))
+
+
+@query("f05_points_in_polygons", """SELECT entity_id, ref_id AS area_id FROM entities, segments WHERE lon >= x1 - 0.02e0 AND lon < x1 + 0.02e0 AND lat >= y1 - 0.02e0 AND lat < y1 + 0.02e0
+AND NOT (lon >= x1 - 0.005e0 AND lon < x1 + 0.005e0 AND lat >= y1 - 0.005e0 AND lat < y1 + 0.005e0)""")
+def _(a):
+    """Entities in a table of squares with holes."""
+    c = F.col
+    zones = a.segments.select(c("ref_id").alias("area_id"), F.array(*(_rectangle(c("x1") - h, c("y1") - h, c("x1") + h, c("y1") + h) for h in (0.02, 0.005))).alias("rings"))
+    return overlay.points_in(a.entities, zones)
