@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from geoloom.engine import Engine
 from geoloom.functions import scalars
-from geoloom.operators import geo, overlay, raster, vectors
+from geoloom.operators import geo, overlay, raster, registration, vectors
 from geoloom.operators.lineage import scratch
 from geoloom.plans.archive import COS
 from geoloom.plans.dsl import Plan, stage_one
@@ -178,3 +178,32 @@ def _(a):
     c = F.col
     zones = a.segments.select(c("ref_id").alias("area_id"), F.array(*(_rectangle(c("x1") - h, c("y1") - h, c("x1") + h, c("y1") + h) for h in (0.02, 0.005))).alias("rings"))
     return overlay.points_in(a.entities, zones)
+
+
+def _grid(a):
+    """A pixel for each place of a cell's grid, and a known shift of each cell in eighths of a pixel."""
+    pixels = a.pixels.groupBy("cell", "row_no", "col_no").agg(F.avg("red").alias("red"))
+    shifts = a.pixels.select("cell").distinct().select("cell", ((F.col("cell") % 7 - 3) / 8).alias("dy"), ((F.col("cell") % 5 - 2) / 8).alias("dx"))
+    return pixels, shifts
+
+
+@query("r04_shifted", """WITH g AS (SELECT cell, row_no AS r, col_no AS c, avg(red) AS v FROM pixels GROUP BY ALL),
+e AS (SELECT cell, min(r) AS top, max(r) AS bottom, min(c) AS left_, max(c) AS right_ FROM g GROUP BY cell),
+t AS (SELECT cell, r, c, greatest(least(r - (cell % 7 - 3) / 8e0, bottom), top) AS y, greatest(least(c - (cell % 5 - 2) / 8e0, right_), left_) AS x FROM g JOIN e USING (cell)),
+w AS (SELECT t.cell, t.r AS row_no, t.c AS col_no, floor(y) + i AS r, floor(x) + j AS c, CASE i WHEN 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END * CASE j WHEN 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END AS p
+  FROM t, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))
+SELECT w.cell, row_no, col_no, round(sum(p * v) / sum(p), 6) AS red FROM w JOIN g ON g.cell = w.cell AND g.r = w.r AND g.c = w.c WHERE p > 0 GROUP BY w.cell, row_no, col_no""")
+def _(a):
+    """Grids moved by fractions of a pixel."""
+    pixels, shifts = _grid(a)
+    return registration.shifted(pixels, shifts, "red").withColumn("red", F.round("red", 6))
+
+
+@query("r03_coregistration")
+def _(a):
+    """Each cell's grid against itself moved by a known shift: what phase correlation finds, and whether it passes the gate."""
+    pixels, shifts = _grid(a)
+    moved = registration.shifted(pixels, shifts, "red").withColumnRenamed("red", "moved")
+    both = pixels.join(moved, ["cell", "row_no", "col_no"])
+    found = registration.scene_shifts(registration.tile_shifts(both, "red", "moved"), counts=registration.telling(valid=0.05))
+    return found.select("cell", "tiles", "used", *(F.round(c, 4).alias(c) for c in ("dy", "dx", "residual_px")), "passes")
