@@ -60,15 +60,21 @@ def conformance(one: DataFrame, two: DataFrame, key: str, name: str, other: str)
     return both.select(key, count(name), count(other), origin.alias("same_origin"), F.coalesce(F.col("g") == F.col("h"), F.lit(False)).alias("conforms"))
 
 
-def refined_clear(clear: Column, bands: list[str], predict: Callable[[pd.DataFrame], pd.Series], most: float = 0.4) -> Column:
-    """clear, and the model's chance of cloud under `most`. predict: the chances from a batch's bands; where it fails, clear
-    stays as it is, as it does for pixels without a chance."""
+def refined(clear: Column, bands: list[str], predict: Callable[[pd.DataFrame], pd.Series], most: float = 0.4) -> Column:
+    """struct(clear, failed): clear and the model's chance of cloud under `most`. predict: the chances from a batch's bands. Where
+    it fails on a batch's values, clear stays as it is and failed is true, to be counted; a fault of another kind (types, memory)
+    stops the job. Pixels without a chance stay as they are."""
 
-    def refine(mask: pd.Series, *values: pd.Series) -> pd.Series:
+    def refine(mask: pd.Series, *values: pd.Series) -> pd.DataFrame:
         try:
             chance = predict(pd.DataFrame(dict(zip(bands, values, strict=True))))
-        except Exception:  # a model's faults are its own; the rules' mask holds without it
-            return mask
-        return mask & ~(chance >= most)
+        except (ArithmeticError, LookupError, RuntimeError, ValueError):
+            return pd.DataFrame({"clear": mask, "failed": True})
+        return pd.DataFrame({"clear": mask & ~(chance >= most), "failed": False})
+
+    return F.pandas_udf(refine, "clear boolean, failed boolean")(F.coalesce(clear, F.lit(False)), *bands)
 
-    return F.pandas_udf(refine, "boolean")(F.coalesce(clear, F.lit(False)), *bands)
+
+def refined_clear(clear: Column, bands: list[str], predict: Callable[[pd.DataFrame], pd.Series], most: float = 0.4) -> Column:
+    """clear of refined()."""
+    return refined(clear, bands, predict, most).getField("clear")

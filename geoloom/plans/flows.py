@@ -74,7 +74,7 @@ def _(a):
 
 @query("st4_deduplicated", "SELECT DISTINCT user_id, event_type FROM events")
 def _(a):
-    return jobs.drained(jobs.first_seen(jobs.events(a.spark, a.sf_dir)), "first-seen")
+    return jobs.first_seen(jobs.events(a.spark, a.sf_dir))
 
 
 @query("st1_st5_online_baseline", None)

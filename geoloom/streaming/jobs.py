@@ -47,9 +47,24 @@ def sessions(stream: DataFrame, gap: str = "2 hours", late: str = LATE) -> DataF
     return s.select("user_id", F.col("session_window.start").alias("session_start"), "n")
 
 
-def first_seen(stream: DataFrame) -> DataFrame:
-    """One row per user and type. Repeats are dropped however late they come, so state holds each pair that was ever seen."""
-    return stream.dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type")
+def first_seen(stream: DataFrame, keys: tuple[str, ...] = ("user_id", "event_type"), base: str | None = None, state: str | None = None) -> DataFrame:
+    """One row per key, however late a repeat comes. What was seen is a table in base, not state in memory: a batch adds the keys
+    that no batch before it has, under its number, so that one which is repeated after a failure gives the same, and a new run with
+    the same base and state goes on where the last one ended."""
+    spark = stream.sparkSession
+    base, state = base or scratch(spark, "first-seen"), state or scratch(spark, "first-seen-state")
+    schema = ", ".join(f"{k} {t}" for k, t in stream.dtypes if k in keys) + ", batch long"
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("batch").parquet(base)
+
+    def add(rows: DataFrame, number: int) -> None:
+        seen = rows.sparkSession.read.schema(schema).parquet(base).where(F.col("batch") < number).drop("batch")
+        new = rows.select(*keys).distinct().alias("n")
+        on = [F.col(f"n.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+        new = new.join(seen.alias("s"), on, "left_anti").withColumn("batch", F.lit(number).cast("long"))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(base)
+
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(base).select(*keys)
 
 
 def online_baseline(stream: DataFrame) -> DataFrame:

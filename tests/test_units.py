@@ -215,3 +215,45 @@ def test_refined_mask_without_its_model(spark, sf):
 def test_elapsed_until_now(spark):
     row = spark.range(1).select(S.elapsed_seconds(F.current_timestamp() - F.expr("interval 90 seconds")).alias("s")).first()
     assert row.s in (90, 91)
+
+
+def test_failures_of_a_mask_model_are_counted(spark, sf):
+    from geoloom.operators.raster import refined
+    from geoloom.sources.views import Archive
+
+    def broken(f):
+        raise ValueError("no such band")
+
+    p = Archive(spark, sf).pixels.limit(50).select("is_valid", "blue")
+    assert p.select(refined(p.is_valid, ["blue"], broken).alias("r")).where("r.failed").count() == 50
+
+    def wrong(f):
+        raise TypeError("a fault in the model's code")
+
+    with pytest.raises(Exception, match="a fault in the model"):
+        p.select(refined(p.is_valid, ["blue"], wrong).alias("r")).collect()
+
+
+def test_a_null_key_is_a_cell(spark):
+    import datetime
+
+    from geoloom.operators import temporal
+
+    day = datetime.date(2024, 1, 5)
+    rows = [(k, i, day + datetime.timedelta(days=30 * i), [float(i % 3)], 0.9) for k in (None, "a", "b") for i in range(14)]
+    df = spark.createDataFrame(rows, "cell_id string, i int, obs_date date, values array<double>, valid_fraction double").repartition(3)
+    got = temporal.scored(df, 1).collect()
+    by = lambda k: [(r.i, r.z) for r in sorted(got, key=lambda r: r.i) if r.cell_id == k]
+    assert len(got) == 42 and by(None) == by("a") == by("b")
+
+
+def test_first_seen_is_a_table_that_goes_on(spark, tmp_path):
+    from geoloom.streaming import jobs
+
+    land, base, state = (str(tmp_path / x) for x in ("land", "base", "state"))
+    run = lambda: sorted(map(tuple, jobs.first_seen(spark.readStream.schema("user_id long, event_type string, x int").parquet(land), base=base, state=state).collect()), key=str)
+    put = lambda rows: spark.createDataFrame(rows, "user_id long, event_type string, x int").coalesce(1).write.mode("append").parquet(land)
+    put([(1, "a", 1), (1, "a", 2), (None, "a", 3)])
+    assert run() == [(1, "a"), (None, "a")]
+    put([(1, "a", 4), (None, "a", 5), (2, "b", 6), (2, "b", 7)])
+    assert run() == sorted([(1, "a"), (None, "a"), (2, "b")], key=str) == run()
