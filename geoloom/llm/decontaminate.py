@@ -18,6 +18,7 @@ nothing; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -78,8 +79,9 @@ class Benchmark:
     A document's windows around winnowed hits are looked up once for each distinct hash, so neither an item's repeats nor
     many items with one window multiply the work."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], remembered: int = WordHashes.LIMIT):
         self.hashes = WordHashes()
+        self.hashes.LIMIT = remembered
         holders = defaultdict(set)
         prints = set()
         for key, text in items:
@@ -124,6 +126,19 @@ class Benchmark:
         return np.cumsum(edges[:-1]) > 0, set().union(*met.values())
 
 
+_LAST: dict[str, Benchmark] = {}
+
+
+def _of_worker(items: list[tuple[int, bytes]]) -> Benchmark:
+    """The benchmark that this Python worker has made for these items before, or a new one in its place: a task in a worker that
+    goes on needs no memory of its own for it."""
+    key = hashlib.sha256(repr(items).encode()).hexdigest()
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Benchmark(items, 100_000)
+    return _LAST[key]
+
+
 def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
@@ -295,9 +310,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: in
 
     @F.arrow_udf("boolean")
     def is_clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        found = Benchmark(shared.value)
+        found = _of_worker(shared.value)
         for column in columns:
-            yield pa.array([not found.hits(words(t))[0].any() for part in slices(column) for t in byte_rows(part)], pa.bool_())
+            yield pa.array([not found.hits(words(t))[0].any() for part in slices(column, 128) for t in byte_rows(part)], pa.bool_())
+        gc.collect()
         pa.default_memory_pool().release_unused()
 
     return docs.where(is_clean(docs.text))
