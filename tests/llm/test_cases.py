@@ -526,3 +526,30 @@ def test_lm_model_words_follow_the_coverage():
         assert words.tail == total - sum(c for _, c in ranked[: words.k])
         k, _, m = words.model().p["W"].shape
         assert k * m >= words.k and abs(k - m) <= 1
+
+
+def test_substring_recall_by_length():
+    """Which shared passages hold 80 characters of whole chunks, by length in bytes; printed with -s."""
+
+    def text(rng, n):
+        return " ".join("".join(rng.choice("etaoinshrdlucmfwypvbg") for _ in range(rng.randint(2, 9))) for _ in range(n))[:n]
+
+    def chunks(x):
+        ends = substring_dedup.cuts(x.encode()).tolist()
+        return [(b - a, x[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+    def found(rng, n):
+        passage = text(rng, n)
+        one, other = (chunks(f"{text(rng, rng.randint(100, 400))} {passage} {text(rng, rng.randint(100, 400))}") for _ in range(2))
+        held, run, best = {x for _, x in other}, 0, 0
+        for size, x in one:
+            run = run + size if x in held else 0
+            best = max(best, run)
+        return best >= substring_dedup.MIN_CHARS
+
+    share = {}
+    for n in (100, 150, 180, 200, 220, 250, 300):
+        rng = random.Random(n)
+        share[n] = sum(found(rng, n) for _ in range(500)) / 500
+    print(share)
+    assert share[250] >= 0.99 and share[300] >= 0.99 and share[200] >= 0.9
