@@ -14,9 +14,9 @@ def share(condition: Column) -> Column:
 
 
 def counts_upto(df: DataFrame, value: str, *by: str, ranges: int | None = None) -> DataFrame:
-    """by, value, c (rows of the value), upto (rows of values up to it), n (rows of the group): running counts over distinct
-    values, without a group in one task. Values are dealt into ranges of about as many distinct values, running sums go over
-    the values of a range, and a range's start comes from the sums of the ranges before it."""
+    """by, v (the value), c (its rows), upto (rows of values up to it), n (rows of the group): running counts over distinct
+    values, without a group in one task. Values are dealt into ranges of about as many distinct values, running sums go over the
+    values of a range, and a range's start comes from the sums of the ranges before it."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
     ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = table(counts.repartitionByRange(ranges, *by, "v").withColumn("part", F.spark_partition_id()), "ranges")
@@ -29,13 +29,13 @@ def counts_upto(df: DataFrame, value: str, *by: str, ranges: int | None = None)
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
     met = dealt.withColumn("run", F.sum("c").over(inner)).join(starts, on)
-    return met.select(*by, F.col("v").alias(value), "c", (F.col("run") + F.col("before")).alias("upto"), "n")
+    return met.select(*by, "v", "c", (F.col("run") + F.col("before")).alias("upto"), "n")
 
 
 def at_rank(df: DataFrame, value: str, rank: Column, *by: str) -> DataFrame:
     """The value at a rank (from 0, a column of n) of each group's ordered values, without gathering a group: the first value
     whose running count reaches the rank is taken."""
-    return counts_upto(df, value, *by).where(F.col("upto") > rank).groupBy(*by).agg(F.min(value).alias(value))
+    return counts_upto(df, value, *by).where(F.col("upto") > rank).groupBy(*by).agg(F.min("v").alias(value))
 
 
 def percentiles(df: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
@@ -45,7 +45,7 @@ def percentiles(df: DataFrame, value: str, shares: dict[str, float], *by: str) -
     for name, p in shares.items():
         place = F.lit(p) * (F.col("n") - 1)
         for end, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
-            found.append(F.min(F.when(F.col("upto") > rank, F.col(value))).alias(f"_{name}_{end}"))
+            found.append(F.min(F.when(F.col("upto") > rank, F.col("v"))).alias(f"_{name}_{end}"))
         found.append(F.any_value(place - F.floor(place)).alias(f"_{name}_part"))
     out = run.groupBy(*by).agg(*found)
     return out.select(*by, *((F.col(f"_{k}_low") + (F.col(f"_{k}_high") - F.col(f"_{k}_low")) * F.col(f"_{k}_part")).alias(k) for k in shares))

@@ -30,8 +30,8 @@ def histogram_match(source: DataFrame, value: str, target: DataFrame, target_val
     wanted places and counts are dealt by place, and the first count of a later range stands for places behind a range's last."""
     n, m = source.count(), target.count()
     place = F.greatest(F.lit(1), F.ceil((F.col("upto") - F.col("c") + 1) * m / F.lit(float(max(n, 1))))).cast("long")
-    wanted = counts_upto(source, value).select(F.col(value).alias("_v"), place.alias("at"), F.lit(None).cast("double").alias("t"))
-    have = counts_upto(target, target_value).select(F.lit(None).cast("double").alias("_v"), F.col("upto").alias("at"), F.col(target_value).cast("double").alias("t"))
+    wanted = counts_upto(source, value).select(F.col("v").alias("_v"), place.alias("at"), F.lit(None).cast("double").alias("t"))
+    have = counts_upto(target, target_value).select(F.lit(None).cast("double").alias("_v"), F.col("upto").alias("at"), F.col("v").cast("double").alias("t"))
     both = wanted.unionByName(have)
     dealt = table(both.repartitionByRange("at").withColumn("part", F.spark_partition_id()), "places")
     first = dealt.where("t IS NOT NULL").groupBy("part").agg(F.min(F.struct("at", "t")).alias("f"))  # a row for each range
