@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from geoloom.engine import Engine
 from geoloom.functions import scalars
-from geoloom.operators import geo, overlay, raster, registration, vectors
+from geoloom.operators import geo, overlay, raster, regions, registration, vectors
 from geoloom.operators.lineage import scratch
 from geoloom.plans.archive import COS
 from geoloom.plans.dsl import Plan, stage_one
@@ -207,3 +207,9 @@ def _(a):
     both = pixels.join(moved, ["cell", "row_no", "col_no"])
     found = registration.scene_shifts(registration.tile_shifts(both, "red", "moved"), counts=registration.telling(valid=0.05))
     return found.select("cell", "tiles", "used", *(F.round(c, 4).alias(c) for c in ("dy", "dx", "residual_px")), "passes")
+
+
+@query("f12_mask_regions")
+def _(a):
+    """The regions of the valid pixels of each cell whose red is high."""
+    return regions.measures(regions.regions(a.pixels.where("is_valid AND red > 2000"), size=32, diagonal=True))
