@@ -92,9 +92,12 @@ def _(a):
 NEW = "{0}::BIGINT % 3 = 0"
 
 
-@query("st2_matched_ingest", f"""WITH p AS (SELECT left_id, right_id, round(i / (s - i), 9) AS iou FROM ({IOU}) WHERE i / (s - i) > 0.3), q AS (SELECT left_id AS d, right_id AS e, iou FROM p UNION ALL SELECT right_id, left_id, iou FROM p),
+MATCHED = f"""WITH p AS (SELECT left_id, right_id, round(i / (s - i), 9) AS iou FROM ({IOU}) WHERE i / (s - i) > 0.3), q AS (SELECT left_id AS d, right_id AS e, iou FROM p UNION ALL SELECT right_id, left_id, iou FROM p),
 m AS (SELECT d, e FROM (SELECT d, e, row_number() OVER (PARTITION BY d ORDER BY iou DESC, e) AS k FROM q WHERE {NEW.format('substr(d, 5)')} AND NOT {NEW.format('substr(e, 5)')}) WHERE k = 1)
-SELECT coalesce(e, entity_id) AS entity_id, max(last_seen) AS last_seen, count(e) AS n_matched FROM entities LEFT JOIN m ON d = entity_id GROUP BY coalesce(e, entity_id)""")
+SELECT coalesce(e, entity_id) AS entity_id, max(last_seen) AS last_seen, count(e) AS n_matched FROM entities LEFT JOIN m ON d = entity_id GROUP BY coalesce(e, entity_id)"""
+
+
+@query("st2_matched_ingest", MATCHED)
 def _(a):
     """A third of the entities arrives as new detections: what overlaps a known one of its type updates that, the rest is added."""
     boxed = geo.boxes(a.entities.select("entity_id", "entity_type", "lon", "lat", (F.col("area_m2") * 400).alias("area_m2"), "last_seen", (F.col("vec_id") % 3 == 0).alias("new")))
