@@ -1,3 +1,3 @@
 """All registered queries."""
 
-from geoloom.plans import archive, discovery, extras, flows, rows, sets, streams  # noqa: F401
+from geoloom.plans import archive, discovery, extras, flows, ranking, rows, sets, streams  # noqa: F401

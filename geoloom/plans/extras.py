@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoloom.engine import Engine
-from geoloom.functions import scalars
+from geoloom.functions import projection, scalars
 from geoloom.operators import geo, overlay, raster, regions, registration, vectors
 from geoloom.operators.lineage import scratch
 from geoloom.plans.archive import COS
@@ -213,3 +213,24 @@ def _(a):
 def _(a):
     """The regions of the valid pixels of each cell whose red is high."""
     return regions.measures(regions.regions(a.pixels.where("is_valid AND red > 2000"), size=32, diagonal=True))
+
+
+def _series(terms, x: str, y: str, outer: str, inner: str) -> str:
+    return " + ".join(f"{c!r} * {outer}({2 * j}e0 * {x}) * {inner}({2 * j}e0 * {y})" for j, c in enumerate(terms, 1))
+
+
+@query("g04_utm_grid", f"""WITH p AS (SELECT scene_id, (scene_no * 7919 % 36000) / 100e0 - 179.99679e0 AS lon, (scene_no * 104729 % 16000) / 100e0 - 79.49877e0 AS lat FROM scenes),
+z AS (SELECT *, CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32 WHEN lat >= 72 AND lon >= 0 AND lon < 42 THEN CASE WHEN lon < 9 THEN 31 WHEN lon < 21 THEN 33 WHEN lon < 33 THEN 35 ELSE 37 END ELSE floor((lon + 180) / 6)::INT + 1 END AS zone FROM p),
+t AS (SELECT *, sinh(atanh(sin(radians(lat))) - {projection.ECC!r} * atanh({projection.ECC!r} * sin(radians(lat)))) AS t, radians(lon - (zone * 6 - 183)) AS e FROM z),
+x AS (SELECT *, atan2(t, cos(e)) AS x, atanh(sin(e) / sqrt(1 + t * t)) AS y FROM t),
+u AS (SELECT *, 500000e0 + {projection.RADIUS!r} * (y + {_series(projection.FORWARD, "x", "y", "cos", "sinh")}) AS east, {projection.RADIUS!r} * (x + {_series(projection.FORWARD, "x", "y", "sin", "cosh")}) + CASE WHEN lat < 0 THEN 10000000e0 ELSE 0e0 END AS north FROM x)
+SELECT scene_id, zone, round(east, 1) AS easting, round(north, 1) AS northing, round(lon, 6) AS lon, round(lat, 6) AS lat, zone::VARCHAR || substr('{projection.BANDS}', least(floor((lat + 80) / 8)::INT, 19) + 1, 1)
+|| substr(CASE zone % 3 WHEN 1 THEN 'ABCDEFGH' WHEN 2 THEN 'JKLMNPQR' ELSE 'STUVWXYZ' END, floor(east / 100000)::INT, 1) || substr('{projection.ROWS}', (floor(north / 100000)::INT + CASE WHEN zone % 2 = 0 THEN 5 ELSE 0 END) % 20 + 1, 1)
+|| lpad((floor(east)::INT % 100000)::VARCHAR, 5, '0') || lpad((floor(north)::INT % 100000)::VARCHAR, 5, '0') AS mgrs FROM u""")
+def _(a):
+    """Places of scenes over the globe in metres of their zone, as grid references, and back in degrees."""
+    lon, lat = (F.col("scene_no") * 7919 % 36000) / 100 - 179.99679, (F.col("scene_no") * 104729 % 16000) / 100 - 79.49877
+    rows = a.scenes.select("scene_id", lon.alias("x"), lat.alias("y")).select("*", projection.to_utm(F.col("x"), F.col("y")).alias("u"), projection.mgrs(F.col("x"), F.col("y")).alias("mgrs"))
+    back = projection.from_utm(F.col("u.zone"), F.col("u.south"), F.col("u.easting"), F.col("u.northing"))
+    rows = rows.withColumn("p", back)
+    return rows.select("scene_id", "u.zone", F.round("u.easting", 1).alias("easting"), F.round("u.northing", 1).alias("northing"), F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"), "mgrs")

@@ -28,7 +28,7 @@ def test_against_sql(spark, sf, con, name):
 
 
 def test_all_have_sql_or_a_test():
-    tested = {"f12_mask_regions", "r03_coregistration", "qc_archetypes", "qc_leiden_communities", "t01_index_search", "v06_a14_pca", "w04_w09_v07_rls_baseline", "st1_st5_online_baseline", "st1_trajectory_stream"}
+    tested = {"f12_mask_regions", "r03_coregistration", "qc_archetypes", "qc_leiden_communities", "t01_index_search", "v06_a14_pca", "w04_w09_v07_rls_baseline", "st1_st5_online_baseline", "st1_trajectory_stream", "t_learned_rerank"}
     assert set(QUERIES) - set(SQL) == tested
 
 
