@@ -77,29 +77,49 @@ def _waves(terms: tuple[float, ...], x: Column, y: Column) -> tuple[Column, Colu
     return along, across
 
 
+def _let(value: Column, step) -> Column:
+    """step(value), with the value made once however often step names it; the optimizer doesn't copy it into its uses."""
+    return F.get(F.transform(F.array(value), step), F.lit(0))
+
+
 def to_utm(lon: Column, lat: Column, zone_no: Column | None = None) -> Column:
     """struct(zone, south, easting, northing) in metres, in a place's own zone or the one that is given."""
-    number = zone(lon, lat) if zone_no is None else zone_no
-    s, east = F.sin(F.radians(lat)), F.radians(around(lon - meridian(number)))
-    t = F.sinh(F.atanh(s) - ECC * F.atanh(ECC * s))
-    x, y = F.atan2(t, F.cos(east)), F.atanh(F.sin(east) / F.sqrt(1 + t * t))
-    along, across = _waves(FORWARD, x, y)
-    south = lat < 0
-    northing = RADIUS * (x + along) + F.when(south, SOUTH_0).otherwise(0.0)
-    known = lat.between(-80, 84) & number.isNotNull() & lon.isNotNull()
-    return F.when(known, F.struct(number.cast("int").alias("zone"), south.alias("south"), (EAST_0 + RADIUS * (y + across)).alias("easting"), northing.alias("northing")))
+
+    def conformal(p: Column) -> Column:
+        east = F.radians(around(lon - meridian(p.z)))
+        return F.struct(p.z.alias("z"), east.alias("e"), F.sinh(F.atanh(p.s) - ECC * F.atanh(ECC * p.s)).alias("t"))
+
+    def transverse(p: Column) -> Column:
+        return F.struct(p.z.alias("z"), F.atan2(p.t, F.cos(p.e)).alias("x"), F.atanh(F.sin(p.e) / F.sqrt(1 + p.t * p.t)).alias("y"))
+
+    def gridded(p: Column) -> Column:
+        along, across = _waves(FORWARD, p.x, p.y)
+        northing = RADIUS * (p.x + along) + F.when(lat < 0, SOUTH_0).otherwise(0.0)
+        return F.struct(p.z.alias("zone"), (lat < 0).alias("south"), (EAST_0 + RADIUS * (p.y + across)).alias("easting"), northing.alias("northing"))
+
+    number = (zone(lon, lat) if zone_no is None else zone_no).cast("int")
+    known = lat.between(-80, 84) & lon.isNotNull() & (F.lit(True) if zone_no is None else zone_no.isNotNull())
+    start = F.struct(number.alias("z"), F.sin(F.radians(lat)).alias("s"))
+    return F.when(known, _let(_let(_let(start, conformal), transverse), gridded))
 
 
 def from_utm(zone_no: Column, south: Column, easting: Column, northing: Column) -> Column:
     """struct(lon, lat) in degrees."""
-    x0, y0 = (northing - F.when(south, SOUTH_0).otherwise(0.0)) / RADIUS, (easting - EAST_0) / RADIUS
-    along, across = _waves(BACKWARD, x0, y0)
-    x, y = x0 - along, y0 - across
-    chi = F.asin(F.sin(x) / F.cosh(y))
-    lat = chi + sum((c * F.sin(2 * j * chi) for j, c in enumerate(LATITUDE, 1)), F.lit(0.0))
-    lon = around(meridian(zone_no) + F.degrees(F.atan2(F.sinh(y), F.cos(x))))
+
+    def transverse(p: Column) -> Column:
+        along, across = _waves(BACKWARD, p.x, p.y)
+        return F.struct((p.x - along).alias("x"), (p.y - across).alias("y"))
+
+    def conformal(p: Column) -> Column:
+        return F.struct(F.asin(F.sin(p.x) / F.cosh(p.y)).alias("chi"), F.atan2(F.sinh(p.y), F.cos(p.x)).alias("e"))
+
+    def degrees(p: Column) -> Column:
+        lat = p.chi + sum((c * F.sin(2 * j * p.chi) for j, c in enumerate(LATITUDE, 1)), F.lit(0.0))
+        return F.struct(around(meridian(zone_no) + F.degrees(p.e)).alias("lon"), F.degrees(lat).alias("lat"))
+
+    start = F.struct(((northing - F.when(south, SOUTH_0).otherwise(0.0)) / RADIUS).alias("x"), ((easting - EAST_0) / RADIUS).alias("y"))
     known = zone_no.isNotNull() & south.isNotNull() & easting.isNotNull() & northing.isNotNull()
-    return F.when(known, F.struct(lon.alias("lon"), F.degrees(lat).alias("lat")))
+    return F.when(known, _let(_let(_let(start, transverse), conformal), degrees))
 
 
 def _letter(letters: str, at: Column) -> Column:
@@ -109,13 +129,16 @@ def _letter(letters: str, at: Column) -> Column:
 def mgrs(lon: Column, lat: Column, digits: int = 5) -> Column:
     """The grid reference, e.g. 17TPJ3008433438: zone, band, letters of the square of 100 km, and `digits` each of easting and
     northing, rounded down."""
-    u = to_utm(lon, lat)
-    square = F.floor(u.easting / 100_000) - 1
-    column = F.when(u.zone % 3 == 0, _letter(COLUMNS[0], square)).when(u.zone % 3 == 1, _letter(COLUMNS[1], square)).otherwise(_letter(COLUMNS[2], square))
-    row = _letter(ROWS, F.pmod(F.floor(u.northing / 100_000) + F.when(u.zone % 2 == 0, 5).otherwise(0), F.lit(20)))
-    part = lambda v: F.lpad(F.floor(F.pmod(v, F.lit(100_000.0)) / 10 ** (5 - digits)).cast("string"), digits, "0")
-    tail = [part(u.easting), part(u.northing)] if digits else []
-    return F.concat(u.zone.cast("string"), band(lat), column, row, *tail)
+
+    def text(u: Column) -> Column:
+        square = F.floor(u.easting / 100_000) - 1
+        column = F.when(u.zone % 3 == 0, _letter(COLUMNS[0], square)).when(u.zone % 3 == 1, _letter(COLUMNS[1], square)).otherwise(_letter(COLUMNS[2], square))
+        row = _letter(ROWS, F.pmod(F.floor(u.northing / 100_000) + F.when(u.zone % 2 == 0, 5).otherwise(0), F.lit(20)))
+        part = lambda v: F.lpad(F.floor(F.pmod(v, F.lit(100_000.0)) / 10 ** (5 - digits)).cast("string"), digits, "0")
+        tail = [part(u.easting), part(u.northing)] if digits else []
+        return F.concat(u.zone.cast("string"), band(lat), column, row, *tail)
+
+    return _let(to_utm(lon, lat), text)
 
 
 def from_mgrs(reference: Column) -> Column:
