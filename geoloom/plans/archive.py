@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geoloom.operators import aggregates as A
-from geoloom.operators import discovery, temporal, vectors
+from geoloom.operators import discovery, evaluate, temporal, vectors
 from geoloom.plans.dsl import Plan, execute
 from geoloom.plans.registry import query
 from geoloom.plans.sets import DIST
@@ -80,9 +80,7 @@ def _(a):
 @query("a23_cosine_spread", f"SELECT v.label, round(max(round({COS}, 9)) - min(round({COS}, 9)), 6) AS spread FROM vectors v JOIN vectors q ON v.label = q.label AND v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0 GROUP BY v.label")
 def _(a):
     """How far the cosines within a label spread: a stated set of queries against all vectors of their label."""
-    pairs = a.vectors.alias("v").join(a.vectors.where("vec_id % 100 = 0").alias("q"), (F.col("v.label") == F.col("q.label")) & (F.col("v.vec_id") != F.col("q.vec_id")))
-    c = F.round(vectors.cosine("v.embedding", "q.embedding"), 9)
-    return pairs.groupBy("v.label").agg(F.round(F.max(c) - F.min(c), 6).alias("spread"))
+    return evaluate.spreads(a.vectors, F.col("vec_id") % 100 == 0).select(F.col("label").cast("int").alias("label"), F.round("spread", 6).alias("spread"))
 
 
 # --- trajectories -------------------------------------------------------------------------------------------------------
@@ -190,17 +188,13 @@ def _(a):
 d AS (SELECT query_id, sum((pow(2, rel) - 1) / log2(k + 1)) AS dcg FROM h WHERE k <= 10 GROUP BY query_id), i AS (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC) AS k FROM h), j AS (SELECT query_id, sum((pow(2, rel) - 1) / log2(k + 1)) AS idcg FROM i WHERE k <= 10 GROUP BY query_id)
 SELECT query_id, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 1 END, 6) AS ndcg FROM d JOIN j USING (query_id)""")
 def _(a):
-    from geoloom.operators.evaluate import ndcg, neighbours
-
-    return ndcg(neighbours(a.vectors, F.col("vec_id") % 100 == 0), 10).select("query_id", F.round("ndcg", 6).alias("ndcg"))
+    return evaluate.ndcg(a.vectors, F.col("vec_id") % 100 == 0, 10).select("query_id", F.round("ndcg", 6).alias("ndcg"))
 
 
 @query("a24_recall_at_k", f"""WITH h AS (SELECT q.vec_id AS query_id, v.label = q.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, v.entity_id) AS k FROM vectors q JOIN vectors v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, round(count(*) FILTER (hit AND k <= 50) / greatest(1, count(*) FILTER (hit))::DOUBLE, 6) AS recall, min(k) FILTER (hit) AS first_hit FROM h GROUP BY query_id""")
 def _(a):
-    from geoloom.operators.evaluate import neighbours, recall
-
-    return recall(neighbours(a.vectors, F.col("vec_id") % 100 == 0), 50).select("query_id", F.round("recall", 6).alias("recall"), "first_hit")
+    return evaluate.recall(a.vectors, F.col("vec_id") % 100 == 0, 50).select("query_id", F.round("recall", 6).alias("recall"), "first_hit")
 
 
 @query("f22_negative_controls", f"WITH {LIVE}, m AS (SELECT cell_id, max(cusum) AS cusum_max FROM c GROUP BY cell_id) SELECT cell_id, cusum_max, cusum_max <= 4 AS suppressed FROM m")
