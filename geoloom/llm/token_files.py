@@ -10,9 +10,11 @@ all kept, ordered by the hash of their text; an empty table yields no shards and
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -50,13 +52,16 @@ class Encoder:
     are those of its pieces, and a piece met lately is not encoded again. Pieces are remembered in two generations of at most
     PIECES, the older of which is dropped when the younger is full. What is done to a piece beforehand is done to ASCII alone:
     - A-Z are lowered, unless "<|" may begin a special token, which is found before lowering;
-    - a comma or full stop at the end, behind a letter, is a piece by itself, as letters and marks are cut apart;
-    - a piece of a-z alone needs no normalizer and no cutting, and goes to the same model without these steps.
+    - the MARKS at the end, behind a letter a-z or A-Z, are a piece by themselves, as letters and marks are cut apart;
+    - a piece of a-z and the small letters from U+00DF to U+00FF alone needs no normalizer and no cutting, and goes to the
+      same model without these steps, its bytes written as ByteLevel writes them.
     A piece with any other character is encoded as it stands, since capitals compose otherwise than small letters.
     """
 
     #: Between new pieces, which are encoded many at a time; a control character is no part of any other token.
     MARK = b" \x01 "
+    MARKS = b"!#$%&()*+,-./:;=?@[]^_`{}~"
+    SMALL = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str):
         import json
@@ -74,8 +79,9 @@ class Encoder:
         self.by_pieces = known and len(mark) == 1
         if self.by_pieces:
             self.mark = mark[0]
-            self.plain = Tokenizer(self.tokenizer.model)
-            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.model = self.tokenizer.model
+            shown = sorted(pre_tokenizers.ByteLevel.alphabet())  # printable bytes show as themselves, the others from U+0100 on
+            self.shown = dict(zip([b for b in range(256) if chr(b) not in shown], [c for c in shown if ord(c) > 255], strict=True))
 
     @staticmethod
     def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
@@ -96,15 +102,24 @@ class Encoder:
         again = pieces.intersection(self.old)
         self.young.update((p, self.old[p]) for p in again)
         pieces = pieces.difference(again)
-        marked = [p for p in pieces if p[-1:] in (b",", b".") and p[-2:-1].isalpha()]
+        marked = {p: len(q) for p in pieces if p[-1] in self.MARKS and (q := p.rstrip(self.MARKS))[-1:].isalpha()}
         todo = pieces.difference(marked)
-        todo.update({p[:-1] for p in marked}.union([b",", b"."] if marked else []).difference(self.young))
+        todo.update({p[:n] for p, n in marked.items()}.union(p[n:] for p, n in marked.items()).difference(self.young))
         odd = {p for p in todo if b"\x01" in p or len(p) > 255}
-        plain = {p for p in todo.difference(odd) if p.isalpha() and p.islower()}  # of bytes: a-z alone
+        rest, small = [], self.SMALL.fullmatch
+        for p in todo.difference(odd):
+            if p.isalpha() and p.islower():  # of bytes: a-z alone
+                text = p.decode()
+            elif not p.isascii() and small(p.decode("utf-8", "replace")):
+                text = p.decode("latin-1").translate(self.shown)
+            else:
+                rest.append(p)
+                continue
+            ids = [t.id for t in self.model.tokenize(text)]
+            self.young[p] = pack(f"<{len(ids)}I", *ids)
         self.young.update(zip(odd, self._whole(list(odd)), strict=True))
-        self._many(self.plain, list(plain))
-        self._many(self.tokenizer, list(todo.difference(odd, plain)))
-        self.young.update((p, self.young[p[:-1]] + self.young[p[-1:]]) for p in marked)
+        self._many(self.tokenizer, rest)
+        self.young.update((p, self.young[p[:n]] + self.young[p[n:]]) for p, n in marked.items())
 
     @staticmethod
     def _pieces(text: bytes) -> list[bytes]:

@@ -8,7 +8,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from geoloom.llm import warc
+from geoloom.llm import token_files, warc
 
 
 def test_sha1_is_taken_once_for_its_letters(spark):
@@ -18,3 +18,10 @@ def test_sha1_is_taken_once_for_its_letters(spark):
     found = df.select("i", warc.base32_sha1(F.col("p")).alias("d"))
     assert {r.i: r.d for r in found.collect()} == {i: base64.b32encode(hashlib.sha1(p).digest()).decode() for i, p in enumerate(payloads)}
     assert found._jdf.queryExecution().analyzed().toString().count("sha1(") == 1
+
+
+def test_words_with_marks_behind_are_not_new_pieces():
+    encoder = token_files.Encoder(token_files.tokenizer_path())
+    texts = [t.encode() for t in ("thesblest*** thesblest%%% Thesblest!? thesblest", "straße, straße... STRASSE. a÷b. ÿ! Éa, éa,", "á!! a.́ á <|endoftext|>. a<|. b|>.")]
+    assert encoder.encode(texts) == [x.tobytes() for x in encoder._ids(encoder.tokenizer, [t.decode() for t in texts])]
+    assert {b"thesblest", b"***", b"%%%", b"!?", b"..."} <= set(encoder.young)
