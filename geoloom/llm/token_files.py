@@ -14,10 +14,10 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +31,8 @@ SHARD_IDS = 8_000_000
 FOLDER_PARTS = 1000
 #: Pieces of text between white space that are remembered in each of two generations.
 PIECES = 300_000
+#: Bytes of text whose pieces are looked up together.
+TOGETHER = 4 << 20
 
 MANIFEST = "part long, shard long, name string, n_docs long, n_ids long"
 ROWS = "name string, row long, doc_id long, n_before long, n_tokens long, ids_crc32 long"
@@ -52,10 +54,13 @@ class Encoder:
     are those of its pieces, and a piece met lately is not encoded again. Pieces are remembered in two generations of at most
     PIECES, the older of which is dropped when the younger is full. What is done to a piece beforehand is done to ASCII alone:
     - A-Z are lowered, unless "<|" may begin a special token, which is found before lowering;
-    - the MARKS at the end, behind a letter a-z or A-Z, are a piece by themselves, as letters and marks are cut apart;
+    - the MARKS at the end, behind a letter a-z, A-Z or of U+00C0 to U+00FF, are a piece by themselves, as letters and marks
+      are cut apart;
     - a piece of a-z and the small letters from U+00DF to U+00FF alone needs no normalizer and no cutting, and goes to the
-      same model without these steps, its bytes written as ByteLevel writes them.
+      same model without these steps, its bytes written as ByteLevel writes them. Many go at a time: only a piece's last
+      token ends with the model's suffix.
     A piece with any other character is encoded as it stands, since capitals compose otherwise than small letters.
+    Texts are cut and gathered in Arrow and numpy; Python meets each different piece of TOGETHER bytes once.
     """
 
     #: Between new pieces, which are encoded many at a time; a control character is no part of any other token.
@@ -68,20 +73,26 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {b"": b""}, {}
         form = json.loads(self.tokenizer.to_str())
         known = (form["normalizer"] or {}).get("normalizers") == NORMALIZERS and (form["pre_tokenizer"] or {}).get("pretokenizers") == CUTS
-        known = known and form["model"]["type"] == "BPE" and not form["model"]["dropout"] and form["model"]["unk_token"] is None
-        known = known and all(t["content"].startswith("<|") and not t["normalized"] and not set(t["content"]) & set(" \t\n\x0b\x0c\r\x01") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in form["added_tokens"])
+        model, letters = form["model"], sorted(pre_tokenizers.ByteLevel.alphabet())
+        known = known and model["type"] == "BPE" and not model["dropout"] and model["unk_token"] is None and not model["continuing_subword_prefix"]
+        known = known and bool(suffix := model["end_of_word_suffix"]) and all(c in model["vocab"] and c + suffix in model["vocab"] for c in letters)
+        known = known and all(t["content"].startswith("<|") and not t["normalized"] and not set(t["content"]) & set(" \t\n\x0b\x0c\r\x01") and t["content"].encode()[-1] not in self.MARKS and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in form["added_tokens"])
         mark = self._ids(self.tokenizer, ["\x01"])[0]
         self.by_pieces = known and len(mark) == 1
         if self.by_pieces:
             self.mark = mark[0]
-            self.model = self.tokenizer.model
-            shown = sorted(pre_tokenizers.ByteLevel.alphabet())  # printable bytes show as themselves, the others from U+0100 on
-            self.shown = dict(zip([b for b in range(256) if chr(b) not in shown], [c for c in shown if ord(c) > 255], strict=True))
+            rest = {k: v for k, v in model.items() if v is not None and k not in ("type", "vocab", "merges")}
+            self.small = Tokenizer(models.BPE(model["vocab"], [tuple(x) for x in model["merges"]], cache_capacity=0, **rest))  # pieces come once
+            self.small.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.last = np.zeros(max(model["vocab"].values()) + 1, bool)  # whether an id ends a piece of letters
+            self.last[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+            # printable bytes show as themselves, the others from U+0100 on
+            self.shown = dict(zip([b for b in range(256) if chr(b) not in letters], [c for c in letters if ord(c) > 255], strict=True))
 
     @staticmethod
     def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
@@ -90,58 +101,95 @@ class Encoder:
     def _whole(self, texts: list[bytes]) -> list[bytes]:
         return [x.tobytes() for x in self._ids(self.tokenizer, [t.decode("utf-8", "replace") for t in texts])]
 
-    def _many(self, tokenizer, pieces: list[bytes]) -> None:
+    def _many(self, pieces: list[bytes]) -> None:
         groups = [pieces[i : i + 256] for i in range(0, len(pieces), 256)]
-        for group, ids in zip(groups, self._ids(tokenizer, [self.MARK.join(g).decode("utf-8", "replace") for g in groups]), strict=True):
-            raw, cut = ids.tobytes(), np.flatnonzero(ids == self.mark)
-            starts, ends = [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)]
-            self.young.update(zip(group, (raw[a:b] for a, b in zip(starts, ends, strict=True)), strict=True))
-
-    def _learn(self, pieces: set[bytes]) -> None:
-        """Puts the pieces, none of which is in young, there."""
-        again = pieces.intersection(self.old)
-        self.young.update((p, self.old[p]) for p in again)
-        pieces = pieces.difference(again)
-        marked = {p: len(q) for p in pieces if p[-1] in self.MARKS and (q := p.rstrip(self.MARKS))[-1:].isalpha()}
-        todo = pieces.difference(marked)
-        todo.update({p[:n] for p, n in marked.items()}.union(p[n:] for p, n in marked.items()).difference(self.young))
-        odd = {p for p in todo if b"\x01" in p or len(p) > 255}
-        rest, small = [], self.SMALL.fullmatch
-        for p in todo.difference(odd):
-            if p.isalpha() and p.islower():  # of bytes: a-z alone
-                text = p.decode()
-            elif not p.isascii() and small(p.decode("utf-8", "replace")):
-                text = p.decode("latin-1").translate(self.shown)
+        for group, ids in zip(groups, self._ids(self.tokenizer, [self.MARK.join(g).decode("utf-8", "replace") for g in groups]), strict=True):
+            cut = np.flatnonzero(ids == self.mark)
+            self._keep(group, ids, np.append(0, cut + 1), np.append(cut, len(ids)))
+
+    def _many_small(self, pieces: list[bytes], shown: list[str]) -> None:
+        for i in range(0, len(pieces), 256):
+            ids = self._ids(self.small, [" ".join(shown[i : i + 256])])[0]
+            ends = np.flatnonzero(self.last[ids]) + 1
+            self._keep(pieces[i : i + 256], ids, np.append(0, ends[:-1]), ends)
+
+    def _keep(self, pieces: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = ids.tobytes()
+        self.young.update(zip(pieces, [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)], strict=True))
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Puts the pieces, none of which is in young or there twice, there."""
+        small, shown, rest, odd = [], [], [], []
+        for p, ids in zip(pieces, map(self.old.get, pieces), strict=True):
+            if ids is not None:
+                self.young[p] = ids
+            elif p.isalpha() and p.islower():  # of bytes: a-z alone
+                small.append(p)
+                shown.append(p.decode())
+            elif b"\x01" in p or len(p) > 255:
+                odd.append(p)
+            elif not p.isascii() and self.SMALL.fullmatch(p.decode("utf-8", "replace")):
+                small.append(p)
+                shown.append(p.decode("latin-1").translate(self.shown))
             else:
                 rest.append(p)
-                continue
-            ids = [t.id for t in self.model.tokenize(text)]
-            self.young[p] = pack(f"<{len(ids)}I", *ids)
-        self.young.update(zip(odd, self._whole(list(odd)), strict=True))
-        self._many(self.tokenizer, rest)
-        self.young.update((p, self.young[p[:n]] + self.young[p[n:]]) for p, n in marked.items())
-
-    @staticmethod
-    def _pieces(text: bytes) -> list[bytes]:
-        if text.isascii():
-            return (text if b"<|" in text else text.lower()).split()
-        if b"<|" in text:
-            return text.split()
-        return [x.lower() if x.isascii() else x for x in text.split()]
+        self._many_small(small, shown)
+        self._many(rest)
+        self.young.update(zip(odd, self._whole(odd), strict=True))
+
+    @classmethod
+    def _cut(cls, words: pa.Array) -> pa.Array:
+        """Two pieces of each word: all but the marks behind a letter, and these."""
+        data, offsets = np.frombuffer(words.buffers()[2] or b"", np.uint8), _edges(words)
+        ends = offsets[:-1] + pc.binary_length(pc.ascii_rtrim(words, cls.MARKS.decode())).to_numpy()
+        padded = np.append(data, [0, 0])  # read below for words of marks alone, which aren't cut
+        last, before, held = padded[ends - 1], padded[ends - 2], ends > offsets[:-1]
+        accented = (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (ends > offsets[:-1] + 1)
+        ascii_letter = (last | 32 >= 97) & (last | 32 <= 122)
+        ends = np.where(held & (ascii_letter | accented), ends, offsets[1:])
+        edges = np.append(np.stack([offsets[:-1], ends], 1).ravel(), offsets[-1:]).astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(edges) - 1, [None, pa.py_buffer(edges), words.buffers()[2]])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_pieces:
             return self._whole(texts)
+        group = np.cumsum([len(x) for x in texts]) // TOGETHER
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        return [x for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a for x in self._together(texts[a:b])]
+
+    def _together(self, texts: list[bytes]) -> list[bytes]:
         if len(self.young) > PIECES:
-            self.old, self.young = self.young, {}
-        pieces = [self._pieces(x) for x in texts]
-        found = [list(map(self.young.get, x)) for x in pieces]
-        gaps = [[i for i, y in enumerate(f) if y is None] if None in f else () for f in found]
-        self._learn({x[i] for x, g in zip(pieces, gaps, strict=True) for i in g})
-        for x, f, g in zip(pieces, found, gaps, strict=True):
-            for i in g:
-                f[i] = self.young[x[i]]
-        return [b"".join(f) for f in found]
+            self.old, self.young = self.young, {b"": b""}
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        coded = words.values.dictionary_encode()
+        different = coded.dictionary
+        to_lower = pc.and_not(pc.string_is_ascii(different), pc.match_substring(different, "<|"))
+        cut = self._cut(pc.if_else(to_lower, pc.ascii_lower(different), different)).dictionary_encode()
+        pieces = cut.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.young.get, pieces))
+        if None in found:
+            gaps = [i for i, x in enumerate(found) if x is None]
+            self._learn([pieces[i] for i in gaps])
+            for i in gaps:
+                found[i] = self.young[pieces[i]]
+        held = pa.array(found, pa.binary())
+        ids, edges = np.frombuffer(held.buffers()[2] or b"", "<u4"), _edges(held) // 4
+        ids, edges = _gathered(ids, edges, cut.indices.to_numpy())
+        ids, edges = _gathered(ids, edges[::2], coded.indices.to_numpy())
+        raw, edges = ids.tobytes(), (4 * edges[words.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _edges(column: pa.Array) -> np.ndarray:
+    """Where each text or list of bytes starts in its buffer, and where the last ends."""
+    return np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset) if len(column) else np.zeros(1, np.int32)
+
+
+def _gathered(values: np.ndarray, edges: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of values between edges at the given places, in a row, and their edges."""
+    counts = np.diff(edges)[places]
+    out = np.append(0, np.cumsum(counts, dtype=np.int64))
+    return values[np.repeat(edges[:-1][places] - out[:-1], counts) + np.arange(out[-1])], out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -176,7 +224,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
             return pa.RecordBatch.from_pydict({"part": [part], "shard": [n], "name": [name], "n_docs": [len(ids)], "n_ids": [count]})
 
         for batch in batches:
-            for some in slices(batch, 256):
+            for some in slices(batch, 1024):
                 for key, got in zip(some.column(0).to_pylist(), encode(byte_rows(some.column(1))), strict=True):
                     doc_ids.append(key)
                     ids.append(got + end)

@@ -25,3 +25,12 @@ def test_words_with_marks_behind_are_not_new_pieces():
     texts = [t.encode() for t in ("thesblest*** thesblest%%% Thesblest!? thesblest", "straße, straße... STRASSE. a÷b. ÿ! Éa, éa,", "á!! a.́ á <|endoftext|>. a<|. b|>.")]
     assert encoder.encode(texts) == [x.tobytes() for x in encoder._ids(encoder.tokenizer, [t.decode() for t in texts])]
     assert {b"thesblest", b"***", b"%%%", b"!?", b"..."} <= set(encoder.young)
+
+
+def test_a_word_and_its_marks_are_remembered_apart():
+    encoder = token_files.Encoder(token_files.tokenizer_path())
+    texts = [b"", b" \n ", "straße!, Straße. schön!, SCHÖN. été! x÷! ... ×.".encode(), b"broken\xc3! \xe9. \xc3\xa9.", b"a%%% a"]
+    assert encoder.encode([]) == [] and encoder.encode([b""]) == [b""]
+    assert encoder.encode(texts) == [x.tobytes() for x in encoder._ids(encoder.tokenizer, [t.decode("utf-8", "replace") for t in texts])]
+    assert {"straße".encode(), "schön".encode(), b"a", b"!,", b"."} <= set(encoder.young)
+    assert not {"straße!,".encode(), "schön!,".encode(), b"a%%%"} & set(encoder.young)
