@@ -225,6 +225,7 @@ def _rows(x: np.ndarray) -> np.ndarray:
 
 
 def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    found, at = np.unique(keys[order], return_index=True)
-    return found, np.add.reduceat(rows[order], at)
+    order = np.argsort(keys.astype(np.uint16) if keys.max(initial=0) < 1 << 16 else keys, kind="stable")  # 16 bits by radix
+    found = keys[order]
+    at = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+    return found[at], np.add.reduceat(rows[order], at)

@@ -31,6 +31,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,16 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def coded_tokens(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different tokens of all texts, a token's place among them for each token in a row, and the tokens of each text."""
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).view(pa.string())))
+    words = pc.ascii_split_whitespace(plain)  # of an empty text the empty word, which is the end token
+    coded, ends = words.values.dictionary_encode(), words.offsets.to_numpy()
+    different, more = coded.dictionary.view(pa.binary()), pc.binary_length(plain).to_numpy() > 0
+    codes = np.insert(coded.indices.to_numpy(), ends[1:][more], len(different))
+    return pa.concat_arrays([different, pa.array([END], pa.binary())]), codes, np.diff(ends) + more
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word binary, n long) over the texts of docs."""
 
@@ -84,15 +95,17 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def dictionary_limit(counts: DataFrame, most: int) -> int:
-    """The least count that at most `most` words exceed. Each job counts the words over 31 limits, so that no task sorts."""
-    low, high = -1, counts.agg(F.max("n")).first()[0] or 0  # too many exceed low; none exceeds high
-    if counts.count() <= most:
+    """The least count that at most `most` words exceed. Each job counts the words over some limits, so that no task sorts:
+    first powers of two, as most words are rare, then 31 between two of them."""
+    high, words = counts.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
+    if words <= most:
         return 0
+    low, limits = -1, [2**k - 1 for k in range(high.bit_length())]  # too many exceed low; none exceeds high
     while high - low > 1:
-        limits = sorted({low + (high - low) * k // 32 for k in range(1, 32)} - {low})
         over = counts.agg(*(F.count_if(F.col("n") > x) for x in limits)).first()
         fits = [x for x, n in zip(limits, over, strict=True) if n <= most]
         low, high = max([low, *(x for x in limits if x not in fits)]), min([high, *fits])
+        limits = sorted({low + (high - low) * k // 32 for k in range(1, 32)} - {low})
     return high
 
 
@@ -131,8 +144,13 @@ class LocalWords:
         return cls.last[1]
 
 
+def id_type(k: int) -> np.dtype:
+    """Of the ids of a model of k words, which are kept as bytes."""
+    return np.dtype("<u2" if k < 1 << 16 else "<u4")
+
+
 NUMBERS = ("n_tokens", "n_head", "head_log", "tail_log", "n_tail")
-ENCODED = "doc_id long, held_out boolean, n_tokens long, n_head long, head_log double, tail_log double, n_tail long, key binary, ids array<int>, rare array<struct<word: binary, tf: long>>"
+ENCODED = "doc_id long, held_out boolean, n_tokens long, n_head long, head_log double, tail_log double, n_tail long, key binary, ids binary, rare array<struct<word: binary, tf: long>>"
 
 
 def encode(docs: DataFrame, shared) -> DataFrame:
@@ -143,29 +161,29 @@ def encode(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = LocalWords.of(shared)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 1024):
                 yield encoded(part, words)
 
     def encoded(batch: pa.RecordBatch, words: Words) -> pa.RecordBatch:
         texts = byte_rows(batch.column(2))
-        found = [tokens(t) for t in texts]
-        flat = [w for t in found for w in t]
-        sizes = np.array([len(t) for t in found], np.int64)
-        places, doc = words.places(flat), np.repeat(np.arange(len(texts)), sizes)
+        different, codes, sizes = coded_tokens(texts)
+        place_of, doc = words.places(different.to_numpy(zero_copy_only=False).tolist()), np.repeat(np.arange(len(texts)), sizes)
+        places = place_of[codes]
         in_model, is_rare = (places >= 0) & (places < words.k), places < 0
         logs = np.where(is_rare, 0.0, words.log[places]) if len(words.log) else np.zeros(len(places))
         count = lambda x: np.bincount(doc[x], minlength=len(texts))
         add = lambda x: np.bincount(doc[x], logs[x], len(texts))
         numbers = (sizes, count(~is_rare), add(~is_rare), add(~is_rare & ~in_model), sizes - count(in_model))
         columns = [pa.array(x.astype(t)) for x, t in zip(numbers, (np.int64, np.int64, np.float64, np.float64, np.int64), strict=True)]
-        ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(words.ids(places).astype(np.int32)))
-        rare = [Counter() for _ in texts]
+        kind = id_type(words.k)
+        edges = (kind.itemsize * np.append(0, np.cumsum(sizes))).astype(np.int32)
+        ids = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(edges), pa.py_buffer(words.ids(places).astype(kind))])
         beyond = np.flatnonzero(is_rare)
-        for d, i in zip(doc[beyond].tolist(), beyond.tolist(), strict=True):
-            rare[d][flat[i]] += 1
+        found, times = np.unique(doc[beyond] * len(different) + codes[beyond], return_counts=True)  # by document and word
+        of, code = np.divmod(found, max(1, len(different)))
         keys = pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())
-        words_of, times = pa.array([w for x in rare for w in x], pa.binary()), pa.array([n for x in rare for n in x.values()], pa.int64())
-        ends = pa.array(np.append(0, np.cumsum([len(x) for x in rare])), pa.int32())
+        words_of, times = different.take(pa.array(code)), pa.array(times.astype(np.int64))
+        ends = pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=len(texts)))), pa.int32())
         pairs = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([words_of, times], ["word", "tf"]))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, keys, ids, pairs], names=["doc_id", "held_out", *NUMBERS, "key", "ids", "rare"])
 
@@ -179,6 +197,7 @@ def _train_round(dealt: DataFrame, shape, tasks: int) -> DataFrame:
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, tail, vector = shape.value
+        kind = id_type(len(counts))
         shard, model, seen, waiting, size = None, None, 0, [], 0
         total, tokens_of_all = None, 0
 
@@ -207,8 +226,9 @@ def _train_round(dealt: DataFrame, shape, tasks: int) -> DataFrame:
                     if vector is not None:
                         model.load(vector)
                 for part in slices(batch.column(1).slice(a, b - a)):
-                    ids = part.flatten().to_numpy().astype(np.int64)
-                    waiting.append((ids, np.diff(part.offsets.to_numpy())))
+                    found = part.to_pylist()
+                    ids = np.frombuffer(b"".join(found), kind).astype(np.int64)
+                    waiting.append((ids, np.array([len(x) // kind.itemsize for x in found])))
                     size += len(ids)
                     if size >= AT_ONCE:
                         learn()
@@ -231,13 +251,16 @@ def _averaged(rows: pa.Table) -> pa.Table:  # rows of one block, of at most abou
     return pa.table({"block": rows["block"].slice(0, 1), "part": rows["part"].slice(0, 1), "tokens": [float(tokens.sum())], "mean": mean})
 
 
+def _dealt(salt: int, n: int) -> Column:
+    return F.pmod(F.xxhash64("key", "doc_id", F.lit(salt)), F.lit(n))
+
+
 def train(table_of_ids: DataFrame, words: Words, total: int) -> np.ndarray | None:
     """The weights after all rounds; None without training documents."""
     spark, vector = table_of_ids.sparkSession, None
     n_shards = max(SHARDS, -(-total // SHARD_TOKENS))
     tasks = min(n_shards, max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    at = lambda salt, n: F.pmod(F.xxhash64("key", "doc_id", F.lit(salt)), F.lit(n))
-    training = table_of_ids.where("not held_out").select(at(1, ROUNDS).alias("round"), at(2, n_shards).alias("shard"), F.xxhash64("key", "doc_id", F.lit(3)).alias("place"), "ids")
+    training = table_of_ids.select("round", _dealt(2, n_shards).alias("shard"), F.xxhash64("key", "doc_id", F.lit(3)).alias("place"), "ids")
     for turn in range(ROUNDS if total else 0):
         shape = spark.sparkContext.broadcast((words.counts[: words.k], words.tail, vector))
         mine = training.where(F.col("round") == turn).repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "place").select("shard", "ids")
@@ -259,21 +282,23 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     ranked = sorted(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     shared = spark.sparkContext.broadcast((hashlib.sha1(repr(ranked).encode()).hexdigest(), ranked, total))
     words = Words(ranked, total)
-    found = written(encode(docs, shared), "lm-ids")
+    turn = F.when(F.col("held_out"), -1).otherwise(_dealt(1, ROUNDS).cast("int"))
+    found = written(encode(docs, shared).withColumn("round", turn), "lm-ids", "round")  # a round reads its documents alone
     shared.destroy()
     fitted = spark.sparkContext.broadcast((words.counts[: words.k], words.tail, train(found, words, total)))
 
     @F.arrow_udf("double")
     def model_log(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counts, tail, vector = fitted.value
-        model = Gru(counts, tail)
+        model, kind = Gru(counts, tail), id_type(len(counts))
         if vector is not None:
             model.load(vector)
         for ids in columns:
-            yield pa.array(model.score([x.values.to_numpy() for x in ids]) if len(ids) else [], pa.float64())
+            yield pa.array(model.score([np.frombuffer(x, kind) for x in ids.to_pylist()]) if len(ids) else [], pa.float64())
         pa.default_memory_pool().release_unused()
 
-    out = found.select("doc_id", "held_out", *NUMBERS, "key", model_log("ids").alias("model_log"))
+    tasks = max(1, len(found.inputFiles()) // (ROUNDS + 1))  # about as many as wrote it: long batches fill the model's lanes
+    out = found.coalesce(tasks).select("doc_id", "held_out", *NUMBERS, "key", model_log("ids").alias("model_log"))
     if distinct > len(ranked):  # the words beyond the dictionary, and their counts
         rest = counts.where(F.col("n") <= least)
         rare = found.select("key", F.explode("rare").alias("x")).select("key", "x.word", "x.tf").join(rest, "word")

@@ -8,7 +8,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from geoloom.llm import token_files, warc
+from geoloom.llm import common, lm_score, token_files, warc
 
 
 def test_sha1_is_taken_once_for_its_letters(spark):
@@ -34,3 +34,34 @@ def test_a_word_and_its_marks_are_remembered_apart():
     assert encoder.encode(texts) == [x.tobytes() for x in encoder._ids(encoder.tokenizer, [t.decode("utf-8", "replace") for t in texts])]
     assert {"straße".encode(), "schön".encode(), b"a", b"!,", b"."} <= set(encoder.young)
     assert not {"straße!,".encode(), "schön!,".encode(), b"a%%%"} & set(encoder.young)
+
+
+def test_a_round_reads_its_documents_alone(spark, monkeypatch):
+    """The table of ids has a folder for each round, with ids as bytes, and few jobs find the dictionary's limit."""
+    kept, jobs = {}, []
+
+    def written(df, name, *by):
+        kept[name] = out = common.written(df, name, *by)
+        return out
+
+    monkeypatch.setattr(lm_score, "written", written)
+    rows = [(i, " ".join(f"w{j % (i + 2)}" for j in range(30))) for i in range(200)]
+    df = spark.createDataFrame([*rows, (None, None), (200, " \n"), (201, " Two words ")], "doc_id long, text string")
+    assert lm_score.lm_scores(df).count() == 203
+    folders = {x.split("/")[-2] for x in kept["lm-ids"].inputFiles()}
+    assert folders == {f"round={i}" for i in range(-1, lm_score.ROUNDS)}
+    assert dict(kept["lm-ids"].dtypes)["ids"] == "binary"
+    found = {r.doc_id: (r.n_tokens, r.held_out, r.round) for r in kept["lm-ids"].collect()}
+    assert found[None][0] == found[200][0] == 1 and found[201][0] == 3 and all(t == 31 for k, (t, _, _) in found.items() if k is not None and k < 200)
+    assert all(out == (turn < 0) for _, out, turn in found.values())
+    counts = spark.range(1, 3001).select(F.expr("cast(3000000 / id as long)").alias("n"))
+    monkeypatch.setattr(type(counts), "agg", lambda self, *a, agg=type(counts).agg: jobs.append(1) or agg(self, *a))
+    assert lm_score.dictionary_limit(counts, 1000) == 2997  # of 3,000,000 // 1001
+    assert len(jobs) <= 5
+
+
+def test_tokens_by_arrow_are_those_of_bytes():
+    texts = [b"", b"  ", b"A b\x1ca", b"\tb  B\n", "É é  x".encode(), b"\xff Z"]
+    different, codes, sizes = lm_score.coded_tokens(texts)
+    assert [different.to_pylist()[i] for i in codes] == [w for t in texts for w in lm_score.tokens(t)] and sizes.tolist() == [len(lm_score.tokens(t)) for t in texts]
+    assert [x.tolist() for x in lm_score.coded_tokens([])] == [[lm_score.END], [], []]
