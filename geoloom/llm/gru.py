@@ -24,6 +24,8 @@ LANES = 512
 LEAST = 128
 SCORE_WINDOW = 32
 RATE = 0.1
+#: So many rows of one word are added up by a product.
+MANY = 16
 
 
 class Gru:
@@ -59,15 +61,17 @@ class Gru:
                 at += x.size
 
     def _by_class(self, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """An order of the places by class, and (class, from, to) in it, without the tail."""
+        """The places of words of the model by class, and (class, from, to) in this order."""
         ends = np.cumsum(np.bincount(cls, minlength=len(self.p["W"]) + 1)).tolist()
-        return np.argsort(cls.astype(np.int16), kind="stable"), [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends[:-2]], ends[:-1], strict=True)) if b > a]
+        order = np.argsort(cls.astype(np.int16), kind="stable")[: ends[-2]]
+        return order, [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends[:-2]], ends[:-1], strict=True)) if b > a]
 
     def _steps(self, h: np.ndarray, x: np.ndarray, keep: np.ndarray, tape: list | None = None) -> np.ndarray:
-        """States after each step, as steps by features by lanes, so that each feature's lanes lie side by side; h: features
-        by lanes; x, keep: steps by lanes."""
+        """States after each step and a last feature of ones, which the biases weigh, as steps by features by lanes, so that
+        each feature's lanes lie side by side; h: features by lanes; x, keep: steps by lanes."""
         n, u_t = self.h, np.ascontiguousarray(self.p["U"].T)
-        inputs, out = np.ascontiguousarray(self.p["E"][x].transpose(0, 2, 1)), np.empty((len(x), n, x.shape[1]), np.float32)
+        inputs, out = np.ascontiguousarray(self.p["E"].take(x, 0).transpose(0, 2, 1)), np.empty((len(x), n + 1, x.shape[1]), np.float32)
+        out[:, n] = 1
         for t in range(len(x)):
             h = h * keep[t]
             u = u_t @ h
@@ -81,8 +85,8 @@ class Gru:
             new += inputs[t, 2 * n :]
             np.tanh(new, out=new)
             if tape is not None:
-                tape.append((h, z, r, new, u[2 * n :]))
-            h = np.subtract(h, new, out=out[t])
+                tape.append((h, gates, new, u[2 * n :]))
+            h = np.subtract(h, new, out=out[t, :n])
             h *= z
             h += new
         return out
@@ -98,7 +102,7 @@ class Gru:
         before = np.append(self.n + 1, ids[:-1])
         before[starts] = self.n + 1
         shape = lambda x, fill: np.append(x, np.full(pad, fill, x.dtype)).reshape(lanes, steps).T
-        x, y, keep, live = shape(before, 0), shape(ids, 0), shape(1 - starts.astype(np.float32), 0), shape(np.ones(len(ids), np.float32), 0)
+        x, y, keep, live = map(np.ascontiguousarray, (shape(before, 0), shape(ids, 0), shape(1 - starts.astype(np.float32), 0), shape(np.ones(len(ids), np.float32), 0)))
         h = np.zeros((self.h, lanes), np.float32)
         for t in range(0, steps, WINDOW):
             w = slice(t, t + WINDOW)
@@ -106,58 +110,68 @@ class Gru:
 
     def _window(self, h, x, y, keep, live) -> np.ndarray:
         p, squares, n, tape = self.p, self.squares, self.h, []
-        states = self._steps(h, x, keep, tape)
-        flat, target, weight = _rows(states), y.ravel(), live.ravel()[:, None]  # sums: means are small enough for slow subnormal squares
-        some_padding = not live.all()
-        cls = self.cls[target]
-        d = _shares(flat, p["C"], p["c"])
-        d[np.arange(len(d)), cls] -= 1
-        if some_padding:
-            d *= weight
-        order, parts = self._by_class(cls)
-        mine, pos, rows = flat[order], self.pos[target[order]], np.arange(len(flat))
-        grads = {"C": flat.T @ d, "c": d.sum(0), "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
-        inner = np.zeros_like(mine)
+        states, cls = self._steps(h, x, keep, tape), self.cls.take(y)
+        classes, words = self._with_biases()  # gradients are sums: means are small enough for slow subnormal squares
+        back, grad = np.empty((len(x), n, x.shape[1]), classes.dtype), np.zeros_like(classes)
+        e = np.empty((x.shape[1], classes.shape[1]), classes.dtype)
+        for t in range(len(x)):  # a step's lanes at a time stay in the cache
+            total = _powers(np.matmul(states[t].T, classes, out=e))
+            e.reshape(-1)[_places(cls[t], e.shape[1])] -= total
+            share = live[t] / total  # the softmax is e * share
+            grad += (states[t] * share) @ e
+            np.multiply(p["C"] @ e.T, share, out=back[t])
+        order, parts = self._by_class(cls.ravel())
+        mine, pos = _rows(states).take(order, 0), self.pos.take(y.ravel().take(order))
+        e, inner, grads = np.empty((len(order), self.m), words.dtype), np.empty((len(order), n), words.dtype), np.zeros_like(words)
         for k, a, b in parts:
-            e = _shares(mine[a:b], p["W"][k], p["w"][k])
-            e[rows[: b - a], pos[a:b]] -= 1
-            if some_padding:
-                e *= weight[order[a:b]]
-            np.matmul(mine[a:b].T, e, out=grads["W"][k])
-            e.sum(0, out=grads["w"][k])
-            np.matmul(e, p["W"][k].T, out=inner[a:b])
-        back = d @ p["C"].T
-        back[order] += inner
-        back = np.ascontiguousarray(back.reshape(len(x), -1, n).transpose(0, 2, 1))
-        into = np.empty((len(x), 3 * n, x.shape[1]), back.dtype)  # gradients of the inputs
-        through = np.empty(into.shape[1:], back.dtype)  # and of a step's recurrent products
-        dh, grads["U"] = np.zeros_like(h), np.zeros_like(p["U"])
+            np.matmul(mine[a:b], words[k], out=e[a:b])
+        total = _powers(e)
+        e.reshape(-1)[_places(pos, self.m)] -= total
+        e *= (live.ravel().take(order) / total)[:, None]
+        for k, a, b in parts:
+            np.matmul(mine[a:b].T, e[a:b], out=grads[k])
+            np.matmul(e[a:b], p["W"][k].T, out=inner[a:b])
+        rows = np.zeros((x.size, n), inner.dtype)
+        rows[order] = inner
+        back += rows.reshape(len(x), -1, n).transpose(0, 2, 1)
+        grads = {"C": grad[:n], "c": grad[n], "W": grads[:, :n], "w": grads[:, n]}
+        # Gradients of a step's recurrent product for the new state, then of the inputs; rows that lie a power of two apart
+        # would share places in the cache.
+        into = np.empty((len(x), 4 * n, x.shape[1] + 16), back.dtype)[:, :, :-16]
+        u_in, u_grad = np.roll(p["U"], n, 1), np.zeros_like(p["U"])  # columns in that order
+        dh = np.zeros_like(h)
         for t in range(len(x) - 1, -1, -1):
-            was, z, r, new, u = tape[t]
-            dh = dh + back[t]
-            dn = dh * (1 - z)
+            was, gates, new, u = tape[t]
+            z, d, dn = gates[:n], into[t], into[t, 3 * n :]
+            slope = 1 - gates
+            dh += back[t]
+            np.multiply(dh, slope[:n], out=dn)
             dn *= 1 - new * new
-            dz, dr = into[t, :n], into[t, n : 2 * n]
-            np.multiply(dh, was - new, out=dz)
-            dz *= z
-            dz *= 1 - z
-            np.multiply(dn, u, out=dr)
-            dr *= r
-            dr *= 1 - r
-            into[t, 2 * n :] = dn
-            through[: 2 * n] = into[t, : 2 * n]
-            np.multiply(dn, r, out=through[2 * n :])
-            grads["U"] += was @ through.T
+            slope *= gates
+            np.multiply(dh, was - new, out=d[n : 2 * n])
+            np.multiply(dn, u, out=d[2 * n : 3 * n])
+            d[n : 3 * n] *= slope
+            np.multiply(dn, gates[n:], out=d[:n])
+            u_grad += was @ d[: 3 * n].T
             dh *= z
-            dh += p["U"] @ through
+            dh += u_in @ d[: 3 * n]
             dh *= keep[t]
-        rows, g = _summed(x.ravel(), _rows(into))
-        squares["E"][rows] += g * g
-        p["E"][rows] -= RATE * g / np.sqrt(squares["E"][rows])
+        grads["U"] = np.roll(u_grad, -n, 1)
+        rows, g = _summed(x.ravel(), _rows(into[:, n:]))
+        sums = squares["E"].take(rows, 0)
+        sums += g * g
+        squares["E"][rows] = sums
+        g *= RATE
+        g /= np.sqrt(sums, out=sums)
+        p["E"][rows] = p["E"].take(rows, 0) - g
         for name, g in grads.items():
             squares[name] += g * g
             p[name] -= RATE * g / np.sqrt(squares[name])
-        return states[-1]
+        return states[-1, :n]
+
+    def _with_biases(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of classes and of words in classes, with the biases as a last row."""
+        return np.vstack([self.p["C"], self.p["c"]]), np.concatenate([self.p["W"], self.p["w"][:, None]], 1)
 
     # --- scoring ------------------------------------------------------------------------------------------------------
 
@@ -170,53 +184,49 @@ class Gru:
             own[lane].append(d)
             heapq.heappush(heap, (size + int(lengths[d]), lane))
         own.sort(key=lambda x: -sum(int(lengths[d]) for d in x))
-        ids = [np.concatenate([docs[d] for d in x]) for x in own]
-        doc = [np.repeat(x, lengths[x]) for x in own]
-        sizes = np.array([len(x) for x in ids])
-        out, h = np.zeros(len(docs)), np.zeros((self.h, len(own)), np.float32)
-        last = np.full((1, len(own)), -1)  # each lane's document and word before the window
-        word = np.full((1, len(own)), self.n + 1)
+        row, sizes = np.array([d for x in own for d in x], np.int32), np.array([lengths[x].sum() for x in own], np.int64)
+        first, doc = np.cumsum(sizes) - sizes, np.repeat(row, lengths[row])  # lane after lane
+        ids = np.concatenate([docs[d] for d in row]) if len(row) else np.zeros(0, np.int64)
+        starts = np.append(True, doc[1:] != doc[:-1])
+        out, h, packed = np.zeros(len(docs)), np.zeros((self.h, len(own)), np.float32), self._with_biases()
         for t in range(0, int(sizes.max(initial=0)), SCORE_WINDOW):
             active = int((sizes > t).sum())
-            span = min(SCORE_WINDOW, int(sizes[0]) - t)
-            y, d = np.zeros((span, active), np.int64), np.full((span, active), -1)
-            for lane in range(active):
-                part = ids[lane][t : t + span]
-                y[: len(part), lane], d[: len(part), lane] = part, doc[lane][t : t + span]
-            before, old = np.vstack([word[:, :active], y[:-1]]), np.vstack([last[:, :active], d[:-1]])
-            keep = d == old
-            x = np.where(keep, before, self.n + 1)
-            states = self._steps(h[:, :active], x, keep.astype(np.float32))
-            h, last, word = states[-1], d[-1:], y[-1:]
-            live = np.flatnonzero(d.ravel() >= 0)
-            out += np.bincount(d.ravel()[live], self._log_p(_rows(states)[live], y.ravel()[live]), len(docs))
+            steps = np.arange(t, min(t + SCORE_WINDOW, int(sizes[0])))[:, None]
+            live = steps < sizes[:active]
+            at = np.minimum(first[:active] + steps, len(ids) - 1)  # behind a lane's end any word, which is not counted
+            new, y = starts.take(at), ids.take(at)
+            states = self._steps(h[:, :active], np.where(new, np.int64(self.n + 1), ids.take(at - 1)), (~new).astype(np.float32))
+            h = states[-1, : self.h]
+            out += np.bincount(doc[at[live]], self._log_p(packed, states, y, live)[live], len(docs))
         return out / np.log(10)
 
-    def _log_p(self, flat: np.ndarray, target: np.ndarray) -> np.ndarray:
-        cls = self.cls[target]
-        logits = flat @ self.p["C"]
-        logits += self.p["c"]
-        out = logits[np.arange(len(flat)), cls].astype(np.float64)
-        out -= np.log(np.exp(logits, out=logits).sum(1))
-        order, parts = self._by_class(cls)
-        mine, pos, rows = flat[order], self.pos[target[order]], np.arange(len(flat))
-        inside = np.zeros(len(flat))
+    def _log_p(self, packed: tuple[np.ndarray, np.ndarray], states: np.ndarray, y: np.ndarray, live: np.ndarray) -> np.ndarray:
+        classes, words = packed
+        cls, out, e = self.cls.take(y), np.empty(y.shape), np.empty((y.shape[1], classes.shape[1]), classes.dtype)
+        for t in range(len(y)):
+            out[t] = _log_share(np.matmul(states[t].T, classes, out=e), cls[t])
+        order, parts = self._by_class(np.where(live, cls, len(words)).ravel())
+        mine, e = _rows(states).take(order, 0), np.empty((len(order), self.m), words.dtype)
         for k, a, b in parts:
-            inner = mine[a:b] @ self.p["W"][k]
-            inner += self.p["w"][k]
-            inside[a:b] = inner[rows[: b - a], pos[a:b]]
-            inside[a:b] -= np.log(np.exp(inner, out=inner).sum(1))
-        out[order] += inside
+            np.matmul(mine[a:b], words[k], out=e[a:b])
+        out.ravel()[order] += _log_share(e, self.pos.take(y.ravel().take(order)))
         return out
 
 
-def _shares(flat: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Softmax of each row."""
-    out = flat @ weights
-    out += bias
-    np.exp(out, out=out)
-    out /= out.sum(1, keepdims=True)
-    return out
+def _powers(logits: np.ndarray) -> np.ndarray:
+    """Turns logits into powers of e, in place; the sum of each row."""
+    return np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype)
+
+
+def _places(at: np.ndarray, width: int) -> np.ndarray:
+    """Of a column in each row, in all rows laid end to end."""
+    return np.arange(len(at)) * width + at
+
+
+def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of the softmax of each row at a column."""
+    own = logits.ravel().take(_places(at, logits.shape[1])).astype(np.float64)
+    return own - np.log(_powers(logits))
 
 
 def _rows(x: np.ndarray) -> np.ndarray:
@@ -225,7 +235,19 @@ def _rows(x: np.ndarray) -> np.ndarray:
 
 
 def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, the most frequent first, and the sums of their rows: those of MANY rows as products, the others'
+    first rows at once, then their second ones, and so on."""
     order = np.argsort(keys.astype(np.uint16) if keys.max(initial=0) < 1 << 16 else keys, kind="stable")  # 16 bits by radix
     found = keys[order]
     at = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-    return found[at], np.add.reduceat(rows[order], at)
+    times = np.diff(np.append(at, len(found)))
+    by = np.argsort(-times, kind="stable")
+    at, times = at[by], times[by]
+    out, ones = rows.take(order[at], 0), np.ones(times[0], rows.dtype)
+    more = (len(at) - np.cumsum(np.bincount(times, minlength=MANY))).tolist()  # keys of more rows than that
+    many = more[MANY - 1]
+    for i, (a, n) in enumerate(zip(at[:many].tolist(), times[:many].tolist(), strict=True)):
+        out[i] = ones[:n] @ rows.take(order[a : a + n], 0)
+    for j in range(1, MANY - 1):
+        out[many : more[j]] += rows.take(order[at[many : more[j]] + j], 0)
+    return found[at], out

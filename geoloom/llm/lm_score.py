@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -49,6 +48,8 @@ SHARDS = 4  # at least
 ROUNDS = 4
 #: A task trains on so many tokens at a time, whatever its shard's size.
 AT_ONCE = 1 << 20
+#: A task counts so many words before it adds up equal ones, and sends them on if half as many differ.
+COUNTED = 800_000
 #: Weights that are added up together.
 BLOCK = 1 << 13
 END = b""
@@ -72,24 +73,31 @@ def coded_tokens(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pa.concat_arrays([different, pa.array([END], pa.binary())]), codes, np.diff(ends) + more
 
 
+def _added(counts: list[pa.Table]) -> pa.Table:
+    """Tables of (word, n) as one with each word once."""
+    return pa.concat_tables(counts).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word binary, n long) over the texts of docs."""
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-
+        found, size = [], 0
         for batch in batches:
-            for part in slices(batch):
-                for text in byte_rows(part.column(0)):
-                    found.update(tokens(text))
-                if len(found) > 400_000:
-                    yield out()
-                    found.clear()
-        yield out()
+            for part in slices(batch, 1024):
+                words, codes, _ = coded_tokens(byte_rows(part.column(0)))
+                times = np.bincount(codes, minlength=len(words))
+                found.append(pa.table({"word": words, "n": times}).filter(pa.array(times > 0)))  # without texts no end token is there
+                size += len(words)
+                if size > COUNTED:
+                    found = [_added(found)]
+                    size = len(found[0])
+                    if size > COUNTED // 2:
+                        yield from found[0].to_batches()
+                        found, size = [], 0
+        if found:
+            yield from _added(found).to_batches()
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -171,9 +179,9 @@ def encode(docs: DataFrame, shared) -> DataFrame:
         places = place_of[codes]
         in_model, is_rare = (places >= 0) & (places < words.k), places < 0
         logs = np.where(is_rare, 0.0, words.log[places]) if len(words.log) else np.zeros(len(places))
-        count = lambda x: np.bincount(doc[x], minlength=len(texts))
-        add = lambda x: np.bincount(doc[x], logs[x], len(texts))
-        numbers = (sizes, count(~is_rare), add(~is_rare), add(~is_rare & ~in_model), sizes - count(in_model))
+        begin = np.cumsum(sizes) - sizes  # of each document, which has the end token at least
+        add = lambda x, kind: np.add.reduceat(x, begin, dtype=kind) if len(x) else np.zeros(0)
+        numbers = (sizes, sizes - add(is_rare, np.int64), add(logs, float), add(np.where(in_model, 0.0, logs), float), sizes - add(in_model, np.int64))
         columns = [pa.array(x.astype(t)) for x, t in zip(numbers, (np.int64, np.int64, np.float64, np.float64, np.int64), strict=True)]
         kind = id_type(words.k)
         edges = (kind.itemsize * np.append(0, np.cumsum(sizes))).astype(np.int32)

@@ -5,10 +5,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from geoloom.llm import common, lm_score, token_files, warc
+from geoloom.llm import common, gru, lm_score, token_files, warc
 
 
 def test_sha1_is_taken_once_for_its_letters(spark):
@@ -65,3 +68,41 @@ def test_tokens_by_arrow_are_those_of_bytes():
     different, codes, sizes = lm_score.coded_tokens(texts)
     assert [different.to_pylist()[i] for i in codes] == [w for t in texts for w in lm_score.tokens(t)] and sizes.tolist() == [len(lm_score.tokens(t)) for t in texts]
     assert [x.tolist() for x in lm_score.coded_tokens([])] == [[lm_score.END], [], []]
+
+
+def test_words_are_counted_in_arrow(spark, monkeypatch):
+    """No text becomes a list of words; counts that are sent on in parts add up."""
+
+    def cut(text):
+        raise AssertionError("a text was cut in Python")
+
+    rng = random.Random(4)
+    texts = [None, "", " \n\t", "A a\x0bÉ é", *(" ".join(f"w{int(rng.expovariate(0.01))}" for _ in range(rng.randint(1, 60))) for _ in range(3000))]
+    want = Counter(w for t in texts for w in lm_score.tokens((t or "").encode()))
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    monkeypatch.setattr(lm_score, "tokens", cut)
+    for most in (lm_score.COUNTED, 900, 1):
+        monkeypatch.setattr(lm_score, "COUNTED", most)
+        assert {bytes(r.word): r.n for r in lm_score.count_words(df).collect()} == want
+    assert lm_score.count_words(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("times", [[1], [1, 1, 2], [gru.MANY - 1, gru.MANY, gru.MANY + 1], [400, 3, 1, 1, 15, 14, 2], [5000, 70]])
+def test_rows_of_frequent_words_are_added_as_products(times):
+    """The most frequent words come first."""
+    rng = np.random.default_rng(2)
+    for far in (0, 1 << 17):
+        keys = rng.permutation(np.repeat(far + 3 * rng.permutation(len(times)), times))
+        rows = rng.normal(size=(len(keys), 6))
+        found, sums = gru._summed(keys, rows)
+        assert sorted(found) == sorted(set(keys.tolist())) and [int((keys == k).sum()) for k in found] == sorted(times, reverse=True)
+        assert sums == pytest.approx(np.array([rows[keys == k].sum(0) for k in found]))
+
+
+def test_biases_are_weighed_by_a_feature_of_ones():
+    """Softmaxes are products alone, and ids of 16 bits reach the word that opens a document."""
+    model = gru.Gru(np.ones((1 << 16) - 1), 1.0, hidden=2)
+    states = model._steps(np.zeros((2, 3), np.float32), np.full((4, 3), model.n + 1), np.ones((4, 3), np.float32))
+    assert states.shape == (4, 3, 3) and (states[:, 2] == 1).all()
+    docs = [np.array([5, (1 << 16) - 1, 7]), np.array([(1 << 16) - 1])]
+    assert (model.score([d.astype("<u2") for d in docs]) == model.score(docs)).all()
