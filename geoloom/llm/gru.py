@@ -75,14 +75,14 @@ class Gru:
         for t in range(len(x)):
             h = h * keep[t]
             u = u_t @ h
-            gates = inputs[t, : 2 * n] + u[: 2 * n]
+            gates, new = inputs[t, : 2 * n], inputs[t, 2 * n :]  # in place: less memory stays longer in the cache
+            gates += u[: 2 * n]
             np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
             z, r = gates[:n], gates[n:]
-            new = r * u[2 * n :]
-            new += inputs[t, 2 * n :]
+            new += r * u[2 * n :]
             np.tanh(new, out=new)
             if tape is not None:
                 tape.append((h, gates, new, u[2 * n :]))
