@@ -18,9 +18,14 @@ LATE = "1 day"
 
 
 def landed(spark: SparkSession, sf_dir: str, table: str, columns: str, names: str | None = None) -> DataFrame:
-    """A stream of a table's files in a folder (names: a glob for them); new files are new rows."""
-    files = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{table}.parquet").schema).option("pathGlobFilter", names or f"{table}.parquet")
-    return files.parquet(sf_dir).selectExpr(*columns.split(", "))
+    """A stream of a table's files in a folder (names: a glob for them); new files are new rows. A table may be a folder itself, of
+    which all files count."""
+    path = f"{sf_dir}/{table}.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if names is None and at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return rows.parquet(path).selectExpr(*columns.split(", "))
+    return rows.option("pathGlobFilter", names or f"{table}.parquet").parquet(sf_dir).selectExpr(*columns.split(", "))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

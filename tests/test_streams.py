@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import os
 import random
+import sys
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).parent))
+from compare import both, duck
+
 from geoloom.operators import temporal
+from geoloom.plans import catalog  # noqa: F401
+from geoloom.plans.registry import QUERIES, SQL
 from geoloom.streaming import entities, jobs, tracks
 
 ROW = "cell_id string, seq long, ts timestamp, values array<double>, valid_fraction double"
@@ -132,3 +139,15 @@ def test_detections_with_a_kill_between_tables(spark, tmp_path, monkeypatch):
     assert deltas[4] <= 12 and sum(deltas.values()) > len(want)
     assert entities.clear(spark, base) == [0, 1] and read(entities.current(spark, base)) == want
     assert entities.current(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["st2_detection_stream", "st4_deduplicated"])
+def test_streams_of_tables_that_are_folders(spark, sf, tmp_path, name):
+    """Tables of several files in a folder of their own, as Spark writes them, give what a single file gives."""
+    for t in ("embeddings", "events"):
+        (tmp_path / f"{t}.parquet").mkdir()
+        rows = pq.read_table(f"{sf}/{t}.parquet")
+        for i in range(3):
+            pq.write_table(rows.slice(i * (len(rows) // 3), len(rows) if i == 2 else len(rows) // 3), str(tmp_path / f"{t}.parquet" / f"part-{i}.parquet"))
+    got, want = both(spark, QUERIES[name], SQL[name], str(tmp_path), duck(sf))
+    assert got == want and got
