@@ -141,7 +141,7 @@ def test_detections_with_a_kill_between_tables(spark, tmp_path, monkeypatch):
     assert entities.current(spark, str(tmp_path / "none")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["st2_detection_stream", "st4_deduplicated"])
+@pytest.mark.parametrize("name", ["st2_detection_stream", "st2_incremental_ingest", "st4_deduplicated"])
 def test_streams_of_tables_that_are_folders(spark, sf, tmp_path, name):
     """Tables of several files in a folder of their own, as Spark writes them, give what a single file gives."""
     for t in ("embeddings", "events"):
