@@ -257,3 +257,18 @@ def test_first_seen_is_a_table_that_goes_on(spark, tmp_path):
     assert run() == [(1, "a"), (None, "a")]
     put([(1, "a", 4), (None, "a", 5), (2, "b", 6), (2, "b", 7)])
     assert run() == sorted([(1, "a"), (None, "a"), (2, "b")], key=str) == run()
+
+
+def test_connected_parts_of_long_chains(spark):
+    """Many rounds, whose plan does not grow: its size in bytes is that of the labels."""
+    import random
+
+    from geoloom.operators import discovery
+
+    names = [f"{i:04}" for i in range(400)]
+    random.Random(3).shuffle(names)
+    chains = [list(c) for c in (names[:250], names[250:399])]
+    edges = [(a, b) for c in chains for a, b in zip(c, c[1:], strict=False)]
+    labels = discovery.connected(spark.createDataFrame(edges, "a string, b string"), "a", "b")
+    assert {r.id: r.component for r in labels.collect()} == {x: min(c) for c in chains for x in c}
+    assert len(str(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 9
