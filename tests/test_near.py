@@ -45,3 +45,13 @@ def test_nearest(places):
     assert len(got) == len(want) > 50
     # the widest search is left to points that the closer ones have not found, and a pair takes no cosines
     assert any("LeftAnti" in line for line in conditions(near)) and not any("COS(" in line for line in conditions(near))
+
+
+def test_within(places):
+    """A point stops at its first feature: the join of pairs is a semi join."""
+    points, lines, every = places
+    for reach in (200.0, 3000.0, 20000.0):
+        keys = {key for key, _, _, d in every if key is not None and d <= reach}
+        near = geo.within_distance(points, lines, reach)
+        assert sorted(r.entity_id for r in near.collect()) == sorted([*keys, *({"e01"} & keys)])
+    assert all("LeftSemi" in line for line in conditions(near)) and any("_cx" in line for line in conditions(near))
