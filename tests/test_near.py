@@ -55,3 +55,24 @@ def test_within(places):
         near = geo.within_distance(points, lines, reach)
         assert sorted(r.entity_id for r in near.collect()) == sorted([*keys, *({"e01"} & keys)])
     assert all("LeftSemi" in line for line in conditions(near)) and any("_cx" in line for line in conditions(near))
+
+
+def test_pairs_carry_their_relation(spark, sf, places):
+    """Pairs are joined once, on cells; what the query tells of a segment comes with it. Distances are those of the column."""
+    from geoloom.plans import catalog  # noqa: F401
+    from geoloom.plans.registry import QUERIES
+
+    assert len(conditions(QUERIES["j03_relation_table"](spark, sf))) == 1
+    points, lines, every = places
+    got = geo.near_pairs(points, lines.withColumn("kind", F.col("ref_id") % 3), 5000.0, keep=("kind",)).collect()
+    want = {(key, ref, round(d, 6)) for key, _, ref, d in every if d <= 5000}
+    assert {(r.entity_id, r.ref_id, round(r.distance_m, 6)) for r in got} == want and all(r.kind == r.ref_id % 3 for r in got)
+
+
+def test_plan_fields_make_no_pairs(spark, sf):
+    """Relations of a plan are semi joins, however many segments lie near."""
+    from geoloom.plans import catalog  # noqa: F401
+    from geoloom.plans.registry import QUERIES
+
+    joins = conditions(QUERIES["qe_plan_fields"](spark, sf))
+    assert joins and all("LeftSemi" in line for line in joins)
