@@ -74,3 +74,18 @@ def test_phrases(spark, archive):
             if n := sum(w[j : j + len(p)] == p for j in range(len(w))):
                 want[q, i] = n
     assert got == want and any(q == "a" for q, _ in want) and not any(q == "b" for q, _ in want)
+
+
+def test_pairs_of_queries_and_documents_are_not_sent(spark, archive, monkeypatch):
+    """Repeated questions, several shares of sets and of documents: the full result, from k documents of a set and share at most."""
+    docs, queries, path = archive
+    monkeypatch.setattr(keyword, "SETS", 30)
+    monkeypatch.setattr(keyword, "DOCS", 200)
+    queries = queries + [(f"r{q}", " ".join(reversed((t or "").split()))) for q, t in queries]
+    found = keyword.search(spark, path, spark.createDataFrame(queries, "query_id string, text string"), 5)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {q: [i for i, _ in r] for q, r in full(docs, queries, 5).items()}
+    assert "Generate explode(docs" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
