@@ -77,3 +77,27 @@ def test_no_pixels(spark):
 def test_regions_of_the_archive(spark, sf):
     rows = QUERIES["f12_mask_regions"](spark, sf).collect()
     assert sum(r.pixels for r in rows) > 100 and len({(r.cell, r.region) for r in rows}) == len(rows)
+
+
+def test_tiles_are_labelled_together(spark):
+    """Many tiles at once as one by one, and over batches that end within a tile; repeated and null pixels, a null key."""
+    rng = random.Random(6)
+    many = sorted({(rng.randrange(30), rng.randrange(9), rng.randrange(9)) for _ in range(1500)})
+    t, r, c = (np.array(x) for x in zip(*many, strict=True))
+    for diagonal in (False, True):
+        got = regions.tile_labels(r, c, diagonal, t)
+        for k in range(30):
+            own = regions.tile_labels(r[t == k], c[t == k], diagonal)
+            pairs = set(zip(got[t == k].tolist(), own.tolist(), strict=True))
+            assert len(pairs) == len(set(got[t == k].tolist())) == len(set(own.tolist()))
+        assert all(len(set(t[got == x].tolist())) == 1 for x in set(got.tolist()))
+    rows = [(None if k == 3 else k, y - 4, x) for k, y, x in many] * 2 + [(1, None, 2)]
+    mask = spark.createDataFrame(rows, "cell int, row_no int, col_no int")
+    found = lambda: sorted(map(tuple, regions.regions(mask, size=4).collect()), key=str)
+    want = found()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+        assert found() == want and len(want) == len(many)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
